@@ -12,6 +12,7 @@ rise to pairs of later rank, and a whole rank can be applied at once.
 from __future__ import annotations
 
 import json
+from collections import Counter
 from functools import lru_cache
 from itertools import islice
 
@@ -27,10 +28,12 @@ from .common import with_columns
 #: Fixed value: the published split pattern of this family of vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.int32(2**31 - 1)
-#: A worker forgets its known pre-tokens beyond this many.
-KNOWN_LIMIT = 400_000
+#: A worker forgets the pieces that it knows beyond this many.
+KNOWN_LIMIT = 600_000
 #: So many pre-tokens of one text are held as Python objects at once.
 STEP = 400_000
+#: Marks a piece that can't be counted on its own; no text has so many tokens.
+NOT_PLAIN = -(1 << 50)
 
 
 def byte_symbols() -> list[str]:
@@ -97,7 +100,10 @@ class RankMerger:
             stays[at + 1] = False
             moved = at - np.arange(len(at))
             sym, seq, rank = sym[stays], seq[stays], rank[stays]
-            touched = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            near = np.zeros(len(sym), bool)
+            near[moved] = True
+            near[moved[moved > 0] - 1] = True
+            touched = np.flatnonzero(near)
             rank[touched] = NO_RANK
             touched = touched[touched + 1 < len(sym)]
             touched = touched[seq[touched] == seq[touched + 1]]
@@ -112,47 +118,65 @@ def _loaded(path: str) -> tuple[RankMerger, regex.Pattern, regex.Pattern | None,
     return merger, regex.compile(SPLIT), special, {}
 
 
+class TextCounter:
+    """Counts whole texts; what it has counted once it remembers by piece.
+
+    A text is cut at its blanks.  No pre-token reaches over a blank from its
+    left, and one blank goes with what follows it, so the count of a text is
+    the sum over its pieces with their leading blanks - unless white space
+    meets a blank.  Such a text is split as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.merger = RankMerger(path)
+        self.split = regex.compile(SPLIT)
+        special = "|".join(map(regex.escape, self.merger.special))
+        self.special = regex.compile(special) if special else None
+        self.known: dict[str, int] = {}
+
+    def sums(self, strings: list[str]) -> list[int]:
+        """The counts of the strings, each split on its own."""
+        found = [self.split.findall(x) for x in strings]
+        new = list(set().union(*found)) if found else []
+        n = dict(zip(new, self.merger.count([w.encode() for w in new]).tolist(), strict=True))
+        return [sum(map(n.__getitem__, x)) for x in found]
+
+    def whole(self, text: str) -> int:
+        """The count of one text in steps of bounded size."""
+        total, found = 0, self.split.finditer(text)
+        while toks := Counter(m.group() for m in islice(found, STEP)):
+            total += int(self.merger.count([w.encode() for w in toks]) @ np.array(list(toks.values())))
+        return total
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        totals = [0] * len(texts)
+        parts: list[tuple[int, str]] = []
+        for i, text in enumerate(texts):
+            split = self.special.split(text or "") if self.special else [text or ""]
+            totals[i] = len(split) - 1
+            parts += [(i, p) for p in split if p]
+        pieces = [p.split(" ") for _, p in parts]
+        heads = self.sums([p[0] for p in pieces])
+        new = list(set().union(*(p[1:] for p in pieces)).difference(self.known))
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        self.known.update(dict.fromkeys(new, NOT_PLAIN))
+        self.known.update(zip(plain, self.sums([" " + p for p in plain]), strict=True))
+        for (i, text), p, head in zip(parts, pieces, heads, strict=True):
+            n = sum(map(self.known.__getitem__, islice(p, 1, None)), head)
+            totals[i] += n if n >= 0 and not p[0][-1:].isspace() else self.whole(text)
+        if len(self.known) > KNOWN_LIMIT:
+            self.known.clear()
+        return totals
+
+
+@lru_cache(maxsize=2)
+def counter(path: str) -> TextCounter:
+    return TextCounter(path)
+
+
 def count_texts(texts: list[str | None], path: str) -> list[int]:
     """The number of tokens of each text; None counts as the empty text."""
-    merger, split, special, known = _loaded(path)
-    totals = [0] * len(texts)
-    held: list[tuple[int, list[str]]] = []
-    n_held = 0
-
-    def settle() -> None:
-        new = set().union(*(t for _, t in held)).difference(known)
-        if new:
-            words = list(new)
-            known.update(zip(words, merger.count([w.encode() for w in words]).tolist(), strict=True))
-        for i, toks in held:
-            totals[i] += sum(map(known.__getitem__, toks))
-        held.clear()
-        if len(known) > KNOWN_LIMIT:
-            known.clear()
-
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        if special is None:
-            parts = [text]
-        else:
-            parts = special.split(text)
-            totals[i] += len(parts) - 1
-        for part in parts:
-            if len(part) < STEP:
-                held.append((i, split.findall(part)))
-                n_held += len(held[-1][1])
-                if n_held >= STEP:
-                    settle()
-                    n_held = 0
-                continue
-            found = split.finditer(part)
-            while toks := [m.group() for m in islice(found, STEP)]:
-                held.append((i, toks))
-                settle()
-                n_held = 0
-    settle()
-    return totals
+    return counter(path).count(texts)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024) -> DataFrame:
