@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_remainder, table
 from .decontaminate import contamination
+from .language_id import language_id, train_language_id
 from .secrets import secret_spans, span_text
 from .token_counts import token_counts
+from .toxicity import labelled_texts, score_toxicity, train_toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +19,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = train_language_id(docs.where(~held_out))
+    return language_id(docs.select("doc_id", "text"), trees).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(labelled_texts(docs, table(spark, sf_dir, "labels").where(~held_out)))
+    return score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -52,6 +72,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
     "op10_decontamination": op10_decontamination,
