@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, table
 from .decontaminate import contamination
 from .language_id import language_id, train_language_id
+from .near_duplicates import near_duplicates
 from .secrets import secret_spans, span_text
 from .token_counts import token_counts
 from .toxicity import labelled_texts, score_toxicity, train_toxicity
@@ -37,6 +38,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, tokenizer("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -74,6 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
     "op10_decontamination": op10_decontamination,
