@@ -9,6 +9,7 @@ from .common import id_remainder, table
 from .decontaminate import contamination
 from .language_id import language_id, train_language_id
 from .near_duplicates import near_duplicates
+from .packing import packed
 from .secrets import secret_spans, span_text
 from .token_counts import token_counts
 from .toxicity import labelled_texts, score_toxicity, train_toxicity
@@ -63,6 +64,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed(docs, tokenizer("word_bpe_49k.json")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -82,6 +90,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
+    "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
 
