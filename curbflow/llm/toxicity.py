@@ -34,15 +34,19 @@ DIM = 8
 START, SHRINK = 8.0, 8.0
 #: Sharpness of the soft maximum over windows in training.
 SHARP = 3.0
+#: Words whose n-grams are hashed at once.
+STEP = 20_000
 #: A worker forgets the words that it knows beyond this many.
 KNOWN_LIMIT = 600_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram of each word, and the words' numbers of n-grams.
+    """Bucket of each n-gram of each word (taken as `<word>` in UTF-8), and the words' numbers of n-grams."""
+    parts = [some_subwords(words[i : i + STEP]) for i in range(0, len(words), STEP)]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
 
-    A word is taken as `<word>` in UTF-8.
-    """
+
+def some_subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"<" + w.encode() + b">" for w in words]
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     text = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -55,7 +59,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in SIZES:
             ok = left[: len(h)] >= n
             mixed = (h[ok] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            buckets.append((mixed >> np.uint64(64 - 16)).astype(np.int64))
+            buckets.append((mixed >> np.uint64(64 - 16)).astype(np.uint16))
             owners.append(owner[: len(h)][ok])
     owners, buckets = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(owners, kind="stable")
@@ -122,14 +126,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
     order = rng.permutation(len(y))
     n_held = len(y) // 6
     held, used = order[:n_held], order[n_held:]
-    split = [words_of(t) for t in texts]
-    words = sorted(set().union(*split))
+    place: dict[str, int] = {}
+    ids = []
+    for text in texts:
+        ids.append(np.array([place.setdefault(w, len(place)) for w in words_of(text)], np.int32))
+    words = list(place)
     variants = [misspelt(w, rng) for w in words]
     n_words = len(words)
     grams, counts = subwords(words + variants)
+    del words, variants, place
     begin = np.r_[0, np.cumsum(counts)]
-    place = {w: i for i, w in enumerate(words)}
-    ids = [np.fromiter(map(place.__getitem__, w), np.int64, len(w)) for w in split]
     emb = rng.normal(0, 0.01, (BUCKETS, DIM))
     soft = rng.normal(0, 0.1, (DIM, 2))
     bias = np.zeros(2)
@@ -210,7 +216,7 @@ def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train_toxicity(
-    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, max_chars: int = 40_000
+    labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 3000, max_chars: int = 40_000
 ) -> ToxicityModel:
     """A model from at most about ``max_rows`` labelled texts, half of them toxic if there are as many.
 
@@ -248,7 +254,7 @@ def score_toxicity(
     return with_columns(docs, text_col, [T.StructField(score_col, T.DoubleType())], compute)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
     """text and toxic of a bounded number of labelled documents.
 
     Labels are thinned by a hash of doc_id before they meet the texts, toxic
