@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .language_id import language_id, train_language_id
 from .near_duplicates import near_duplicates
 from .packing import packed
+from .repeats import without_repeats
 from .secrets import secret_spans, span_text
 from .token_counts import token_counts
 from .toxicity import labelled_texts, score_toxicity, train_toxicity
@@ -64,6 +65,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packed(docs, tokenizer("word_bpe_49k.json")).select(
@@ -90,6 +102,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_secret_scan": op7_secret_scan,
+    "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
