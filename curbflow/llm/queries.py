@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, table
 from .decontaminate import contamination
+from .hidden_markov import hidden_markov_scores
 from .language_id import language_id, train_language_id
 from .near_duplicates import near_duplicates
 from .packing import packed
@@ -22,6 +23,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hidden_markov_scores(docs, id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 4) == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -97,6 +103,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hidden_markov": op1_hidden_markov,
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
