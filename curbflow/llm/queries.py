@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, table
 from .decontaminate import contamination
 from .hidden_markov import hidden_markov_scores
+from .inner_products import top_products
 from .language_id import language_id, train_language_id
 from .near_duplicates import near_duplicates
 from .packing import packed
@@ -37,6 +38,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 3) == 1
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,6 +110,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_language_id": op2_language_id,
+    "op3_top_products": op3_top_products,
     "op4_toxicity": op4_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
@@ -114,4 +120,23 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_top_products": """
+        WITH usable AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_inner_product([CAST(x AS DOUBLE) FOR x IN q.v], [CAST(x AS DOUBLE) FOR x IN c.v]) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON c.vec_id <> q.vec_id
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}
