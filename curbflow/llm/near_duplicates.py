@@ -8,10 +8,10 @@
    order that depends on the bucket alone.
 3. Bands of five compressed registers are hashed; nodes with an equal band
    meet.  Inside such a bucket nodes are compared with the bucket's leaders by
-   the collision-corrected Jaccard estimate: a node joins each leader that may
-   have a common neighbour with it, and leads itself if none is close.  That
-   costs no pairs of members, and two similar members always meet a common
-   leader.
+   the collision-corrected Jaccard estimate: a node joins the leaders that may
+   have a common neighbour with it (one of those that are connected already),
+   and leads itself if none is close.  That costs no pairs of members, and two
+   similar members always meet a common leader.
 4. Connected leaders and members form candidate clusters.  In each cluster the
    full sets are intersected exactly, in blocks of at most BLOCK nodes (larger
    clusters as pairs of blocks, each its own group), and only links that span
@@ -151,7 +151,7 @@ def bands(nodes: DataFrame) -> DataFrame:
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node of a bucket with the leaders of the bucket that may share a neighbour with it."""
+    """(a, b): edges that connect each node of a bucket with the leaders that may share a neighbour with it."""
     band = bands(nodes)
     met = (
         band.groupBy("bucket")
@@ -165,6 +165,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, names, leaders, n = None, [], np.empty((16, REGISTERS), np.uint16), 0
+        group = np.empty(16, np.int64)  # of each leader: leaders that the edges so far connect share one
         for batch in batches:
             a, b = [], []
             columns = (batch.column(c).to_pylist() for c in ("bucket", "node", "sketch"))
@@ -177,12 +178,16 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
                     est = estimates(regs, leaders[:n])
                     near = np.flatnonzero(est >= REACHABLE)
                     close = bool(len(near)) and est.max() >= CLOSE
-                    a += [node] * len(near)
-                    b += [names[i] for i in near.tolist()]
+                    groups, at = np.unique(group[near], return_index=True)
+                    a += [node] * len(at)
+                    b += [names[i] for i in near[at].tolist()]
+                    group[:n][np.isin(group[:n], groups)] = groups[0] if len(groups) else -1
                 if not close:
                     if n == len(leaders):
                         leaders = np.vstack([leaders, np.empty_like(leaders)])
+                        group = np.r_[group, np.empty_like(group)]
                     leaders[n] = regs
+                    group[n] = groups[0] if n and len(groups) else n
                     names.append(node)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
