@@ -26,17 +26,33 @@ from .common import slices
 #: Tokens of a shard at most, but for one longer document.
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
+#: A term that more of a shard's documents hold than this share says nothing about a seed's neighbours.
+COMMON = 0.25
+#: Stands between words that are encoded together; a token of its own, and words that hold it are encoded alone.
+MARK = b"\x01"
+#: Words encoded together at most.
+STEP = 50_000
 #: A worker forgets the words that it knows beyond this many.
-KNOWN_LIMIT = 500_000
+KNOWN_LIMIT = 300_000
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The library's tokenizer, and the ids that it gave to words so far."""
+    """The library's tokenizer, the ids that it gave to words so far, and the id of the mark between words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+    if len(mark) != 1:
+        raise ValueError("the mark between words should be one token")
+    return tokenizer, {}, mark[0]
+
+
+def encoded(words: list[bytes], tokenizer) -> np.ndarray:
+    """The ids of words, a few hundred at a time as one text."""
+    texts = [b" ".join(words[i : i + 500]).decode() for i in range(0, len(words), 500)]
+    return np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
 
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
@@ -45,13 +61,21 @@ def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     This vocabulary drops white space and joins nothing over it, so a text's
     ids are those of its words (cut at ASCII white space) in order.
     """
-    tokenizer, known = encoder(path)
+    tokenizer, known, mark = encoder(path)
     split = [t.encode().split() if t else [] for t in texts]
     if len(known) > KNOWN_LIMIT:
         known.clear()
-    if new := list(set().union(*split).difference(known)):
-        got = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, got, strict=True))
+    if new := set().union(*split).difference(known):
+        odd = [w for w in new if MARK in w]
+        known.update((w, encoded([w], tokenizer).tobytes()) for w in odd)
+        plain = list(new.difference(odd))
+        for low in range(0, len(plain), STEP):
+            some = plain[low : low + STEP]
+            ids = encoded([MARK + b" " + w for w in some], tokenizer)
+            cut = np.flatnonzero(ids == mark)
+            ends = np.r_[cut[1:], len(ids)] * 4
+            raw = ids.tobytes()
+            known.update(zip(some, [raw[a:b] for a, b in zip((cut * 4 + 4).tolist(), ends.tolist(), strict=True)], strict=True))
     end = np.array([end_id], "<u4").tobytes()
     return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") for words in split]
 
@@ -71,10 +95,11 @@ class ShardIndex:
         idf = np.log1p((len(docs) - held + 0.5) / (held + 0.5))
         norm = K1 * (1 - B + B * sizes / sizes.mean())
         self.weight = np.repeat(idf, held) * times * (K1 + 1) / (times + norm[self.doc])
-        # the terms of each document, as places in `begin`
-        order = np.argsort(self.doc, kind="stable")
-        self.terms = np.repeat(np.arange(len(held)), held)[order]
-        self.terms_of = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=len(docs)))]
+        # the terms of each document that tell something, as places in `begin`
+        telling = np.repeat(held <= max(2, COMMON * len(docs)), held)
+        order = np.argsort(self.doc[telling], kind="stable")
+        self.terms = np.repeat(np.arange(len(held)), held)[telling][order]
+        self.terms_of = np.r_[0, np.cumsum(np.bincount(self.doc[telling], minlength=len(docs)))]
 
     def neighbours(self, seed: int) -> np.ndarray:
         """All documents of the shard, best score first; ties in order."""
