@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 #: A slice of an Arrow batch holds at most about this many bytes of text, so
 #: that what a task builds beside its input stays bounded (one longer text is
 #: a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,11 +44,24 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Frees what a task leaves behind: its worker serves other tasks, and stages with memory of their own."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_columns(
-    df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[list], list[pa.Array]]
+    df: DataFrame,
+    text_col: str,
+    fields: list[T.StructField],
+    compute: Callable[[list], list[pa.Array]],
+    finish: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """df with the columns that ``compute`` derives from its texts.
 
+    ``finish`` is called at the end of a task, to forget what it gathered.
+
     ``compute`` gets the texts of some rows (str or None) and returns one array
     for each field.  All other columns pass through; an old column of the same
     name as a new one gives way to it.
@@ -64,5 +79,7 @@ def with_columns(
             for part in slices(batch, at):
                 got = compute(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *got], names=names)
+        finish()
+        give_back()
 
     return kept.mapInArrow(run, schema)

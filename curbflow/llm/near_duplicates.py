@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 from .components import connected_components
 from .shared_tables import written
 
@@ -45,7 +45,7 @@ CLOSE, REACHABLE = 0.75, 0.45
 #: Nodes of a cluster that are intersected as one matrix.
 BLOCK = 256
 #: A worker forgets the word hashes that it knows beyond this many.
-KNOWN_LIMIT = 800_000
+KNOWN_LIMIT = 300_000
 
 _probe = np.random.default_rng(11).integers(0, REGISTERS, (48, REGISTERS))
 _known: dict[bytes, int] = {}
@@ -124,6 +124,8 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                     ],
                     names=["doc_id", "n_shingles", "node", "sketch"],
                 )
+        _known.clear()
+        give_back()
 
     return rows.mapInArrow(run, SKETCHED)
 
@@ -295,6 +297,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, si
                     [part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["node", "cluster", "hashes"]
                 )
                 yield out.filter(keep)
+        _known.clear()
+        give_back()
 
     return rows.mapInArrow(run, "node binary, cluster binary, hashes binary").dropDuplicates(["node"])
 

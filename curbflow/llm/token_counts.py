@@ -192,7 +192,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     def compute(texts: list) -> list[pa.Array]:
         return [pa.array(count_texts(texts, tokenizer_path), pa.int64())]
 
-    out = with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], compute)
+    def finish() -> None:
+        counter(tokenizer_path).known.clear()
+
+    out = with_columns(docs, text_col, [T.StructField("n_tokens", T.LongType())], compute, finish)
     return out.withColumns(
         {
             "n_bytes": F.coalesce(F.octet_length(F.col(f"`{text_col}`")).cast("long"), F.lit(0).cast("long")),

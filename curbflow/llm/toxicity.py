@@ -37,7 +37,7 @@ SHARP = 3.0
 #: Words whose n-grams are hashed at once.
 STEP = 20_000
 #: A worker forgets the words that it knows beyond this many.
-KNOWN_LIMIT = 600_000
+KNOWN_LIMIT = 300_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,10 @@ def score_toxicity(
     def compute(texts: list) -> list[pa.Array]:
         return [pa.array(shared.value.score(texts), pa.float64())]
 
-    return with_columns(docs, text_col, [T.StructField(score_col, T.DoubleType())], compute)
+    def finish() -> None:
+        shared.value.known.clear()
+
+    return with_columns(docs, text_col, [T.StructField(score_col, T.DoubleType())], compute, finish)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> DataFrame:
