@@ -1,4 +1,6 @@
 """Registered queries over the given tables, and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import cleaning, joining, learning, pricing, profiling, series, sources, spatial  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
