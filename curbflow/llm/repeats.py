@@ -13,7 +13,8 @@ a document with a smaller id, or earlier in the same one.
    two-stage sorting: only suffixes smaller than their successors are sorted
    directly, the rest is induced by scanning buckets in order.  Neighbours in
    it with a common prefix of LENGTH bytes are equal windows; all but the
-   earliest are repeats.
+   earliest are repeats.  Stretches that are equal as a whole enter a block
+   once, for the earliest of them; the later ones are repeats throughout.
 4. The repeats go back to their documents.
 
 A document is identified by its id and its text's hash.  The texts are shuffled
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -197,19 +199,31 @@ class Block:
 
     def __init__(self):
         self.rows: list[tuple[int, int, int, int, bytes]] = []
+        self.last: tuple | None = None
+        self.distinct: set[bytes] = set()  # the stretches of the last hash
+        self.copies: list[tuple[int, int, int, int]] = []
         self.size = 0
         self.seen = np.empty(0, np.uint64)  # windows of the last hash, if it began in an earlier block
         self.seen_hash = None
 
     def add(self, row: tuple[int, int, int, int, bytes]) -> None:
-        if not self.rows or self.rows[-1][:4] != row[:4]:  # a repeated row of the table is one document
-            self.rows.append(row)
-            self.size += len(row[4])
+        if self.last == row[:4]:  # a repeated row of the table is one document
+            return
+        if self.last is None or self.last[0] != row[0]:
+            self.distinct.clear()
+        self.last = row[:4]
+        if row[4] in self.distinct:  # a whole stretch again: one of its kind is enough in a block
+            self.copies.append((row[1], row[2], row[3], row[3] + len(row[4])))
+            return
+        self.distinct.add(row[4])
+        self.rows.append(row)
+        self.size += len(row[4])
 
     def settle(self, goes_on: bool) -> list[tuple[int, int, int, int]]:
         """The repeats (doc_id, mark, begin, end); goes_on: the last hash has more rows."""
+        out, self.copies = self.copies, []
         if not self.rows:
-            return []
+            return out
         lens = np.array([len(r[4]) for r in self.rows])
         ends = np.cumsum(lens)
         text = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8)
@@ -222,7 +236,6 @@ class Block:
             marks = self.across(self.rows[-1][0], text, lens, starts, marks)
         if not goes_on:
             self.seen, self.seen_hash = np.empty(0, np.uint64), None
-        out = []
         edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
         rows = np.searchsorted(ends, edges[::2], side="right").tolist()
         # a run of marks stays in its stretch, since a stretch ends with places that start no window
@@ -264,7 +277,7 @@ def repeat_rows(stretches: DataFrame) -> DataFrame:
             found = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if block.size >= BLOCK:
-                    found += block.settle(row[0] == block.rows[-1][0])
+                    found += block.settle(row[0] == block.last[0])
                 block.add(row)
             yield batch_of(found)
         yield batch_of(block.settle(False))
@@ -288,11 +301,15 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document with one result; rows that repeat an id with other texts are
     ordered by a hash of the text.  Other columns are not looked at.
     """
+    # a renaming that changes nothing would keep Spark from seeing that both joins read equal exchanges
+    as_is = id_col == "doc_id" and docs.schema[id_col].dataType == T.LongType()
     base = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+        F.col("doc_id") if as_is else F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    known = base.where("doc_id is not null")
-    held = known.join(shared_anchors(known), ["doc_id", "mark"])
+    # one exchange of the texts, which both joins read
+    known = base.where("doc_id is not null").repartition("doc_id", "mark")
+    scanned = base.where("doc_id is not null")
+    held = known.join(shared_anchors(scanned), ["doc_id", "mark"])
     repeats = repeat_rows(stretch_rows(held.select("doc_id", "mark", "text", "shared")))
     runs = repeats.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
     whole = known.join(runs, ["doc_id", "mark"], "left").unionByName(
