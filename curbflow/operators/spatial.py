@@ -138,16 +138,19 @@ def pairs_within(lines: DataFrame, places: DataFrame, radius: float) -> DataFram
 
 
 def category_counts(
-    lines: DataFrame, places: DataFrame, key: str, category: str, categories: list, radii: list[float]
+    lines: DataFrame, places: DataFrame, key: str, category: str, categories: list, radii: list[float], unit: float = 1.0
 ) -> DataFrame:
-    """Count and presence for each (category, radius), 0 and false where nothing is near: one join, one aggregate."""
+    """Count and presence for each (category, radius), 0 and false where nothing is near: one join, one aggregate.
+
+    ``unit`` is the metres that a unit of length stands for, in the columns' names.
+    """
     pairs = pairs_within(lines, places, max(radii))
     counts, flags = [], []
     for c in categories:
         for r in radii:
-            name = f"poi_{c}_count_{r:g}"
+            name = f"poi_{c}_count_{r * unit:g}m"
             counts.append(F.count_if((F.col(category) == c) & (F.col("distance") <= r)).alias(name))
-            flags.append((name, f"poi_{c}_present_{r:g}"))
+            flags.append((name, f"poi_{c}_present_{r * unit:g}m"))
     found = pairs.groupBy(key).agg(*counts)
     out = lines.select(key).join(found, key, "left").na.fill(0, [n for n, _ in flags])
     return out.withColumns({p: F.col(n) > 0 for n, p in flags})

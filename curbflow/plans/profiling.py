@@ -63,7 +63,7 @@ def a6(spark, sf):
 
 @query(
     "a7_group_distribution",
-    f"WITH {PANEL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INTEGER) AS hour, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY CAST(ts AS DATE), CAST(hour(ts) AS INTEGER)), 6) AS share FROM panel GROUP BY 1, 2, 3",
+    f"WITH {PANEL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INTEGER) AS hour, state, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY CAST(CAST(ts AS DATE) AS VARCHAR), CAST(hour(ts) AS INTEGER)), 6) AS share FROM panel GROUP BY 1, 2, 3",
 )
 def a7(spark, sf):
     p = panel(spark, sf).withColumns({"day": F.to_date("ts").cast("string"), "hour": F.hour("ts")})

@@ -36,11 +36,11 @@ def j11(spark, sf):
 @query(
     "a25_category_counts",
     f"WITH {SEGMENTS} SELECT seg, "
-    + ", ".join(f'count(*) FILTER (label = {c} AND d <= {r}) AS "poi_{c}_count_{r}", count(*) FILTER (label = {c} AND d <= {r}) > 0 AS "poi_{c}_present_{r}"' for c in (0, 1) for r in (0.02, 0.05, 0.1))
+    + ", ".join(f'count(*) FILTER (label = {c} AND d <= {r}) AS "poi_{c}_count_{r * 1000:g}m", count(*) FILTER (label = {c} AND d <= {r}) > 0 AS "poi_{c}_present_{r * 1000:g}m"' for c in (0, 1) for r in (0.02, 0.05, 0.1))
     + " FROM near GROUP BY 1",
 )
 def a25(spark, sf):
-    return sp.category_counts(segments(spark, sf), places(spark, sf).select("label", "x", "y"), "seg", "label", [0, 1], [0.02, 0.05, 0.1])
+    return sp.category_counts(segments(spark, sf), places(spark, sf).select("label", "x", "y"), "seg", "label", [0, 1], [0.02, 0.05, 0.1], unit=1000)
 
 
 @query(
