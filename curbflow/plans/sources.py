@@ -49,10 +49,8 @@ def io3(spark, sf):
     o = table(spark, sf, "orders")
     line = F.when(F.col("o_orderkey") % 10 == 0, "x,broken").otherwise(F.concat_ws(",", "o_custkey", F.lit("20240101000000"), F.lit("1"), F.lit("2")))
     o.select(line.alias("value")).write.text(folder)
-    rows = spark.read.schema(f"{landing.HISTORY_SCHEMA}, _corrupt_record STRING").csv(folder).select("idTram", "_corrupt_record")
-    # the parsed columns are asked for too, so the record column is filled
-    bad = F.col("_corrupt_record").isNotNull() & (F.col("idTram").isNull() | F.col("idTram").isNotNull())
-    return rows.agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"))
+    bad = F.col("_corrupt_record").isNotNull()
+    return landing.read_lines(spark, folder, landing.HISTORY_SCHEMA).agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"))
 
 
 @query(
@@ -70,9 +68,7 @@ def io4(spark, sf):
     record = F.struct(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("FH_INICIO"), parts.alias("TRAMOS"))
     by_customer = o.groupBy("o_custkey").agg(F.collect_list(record).alias("OPENDATA_PSIU_APPARKB")).drop("o_custkey")
     by_customer.write.json(folder)
-    raw = spark.read.schema(landing.PREDICTION_SCHEMA).json(folder)
-    parts = raw.select(F.explode("OPENDATA_PSIU_APPARKB").alias("r")).select("r.FH_INICIO", F.explode("r.TRAMOS").alias("t"))
-    return parts.select("FH_INICIO", F.explode("t.features").alias("f")).select("f.properties.ID_TRAMO", "FH_INICIO", "f.properties.PREDICCIONES")
+    return landing.read_predictions(spark, folder, multi_line=False).select("ID_TRAMO", "FH_INICIO", "PREDICCIONES")
 
 
 @query(
@@ -111,10 +107,40 @@ def io13(spark, sf):
     return files.groupBy("missing").agg(F.sum("n_rows").alias("n_rows"))
 
 
+@query(
+    "io5_forecast_json",
+    """SELECT o_orderdate AS ts, round(avg(o_totalprice), 4) AS temp_c, o_orderstatus AS condition FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1, 3""",
+)
+def io5(spark, sf):
+    folder = landing_folder(spark)
+    o = table(spark, sf, "orders").where("o_orderkey % 50 = 0")
+    daily = o.groupBy("o_orderdate", "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("t"))
+    hour = F.struct(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("time"),
+        F.col("t").alias("temp_c"),
+        F.struct(F.col("o_orderstatus").alias("text")).alias("condition"),
+    )
+    days = F.collect_list(F.struct(F.array(hour).alias("hour")))
+    by_status = daily.groupBy("o_orderstatus").agg(F.struct(days.alias("forecastday")).alias("forecast"))
+    by_status.drop("o_orderstatus").write.json(folder)
+    return landing.read_forecast(spark, folder, multi_line=False).select("ts", "temp_c", "condition")
+
+
+@query("io7_gtfs", "SELECT CAST(o_orderkey AS VARCHAR) AS trip_id, CAST((o_orderkey % 30) * 3600 AS INTEGER) AS arrival_s FROM orders")
+def io7(spark, sf):
+    folder = landing_folder(spark)
+    clock = F.concat(F.lpad((F.col("o_orderkey") % 30).cast("string"), 2, "0"), F.lit(":00:00"))
+    times = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("trip_id"), F.col("o_custkey").cast("string").alias("stop_id"), clock.alias("arrival_time")
+    )
+    times.write.option("header", True).csv(f"{folder}/stop_times.txt")
+    read = landing.read_csv(spark, f"{folder}/stop_times.txt", landing.GTFS_SCHEMAS["stop_times"])
+    return read.select("trip_id", landing.gtfs_seconds(F.col("arrival_time")).alias("arrival_s"))
+
+
 @query("io14_api_records", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def io14(spark, sf):
     folder = landing_folder(spark)
     c = table(spark, sf, "customer").select("c_nationkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("r"))
     c.groupBy("c_nationkey").agg(F.struct(F.collect_list("r").alias("records")).alias("result")).drop("c_nationkey").write.json(folder)
-    raw = spark.read.schema("result STRUCT<records: ARRAY<STRUCT<id: BIGINT, name: STRING>>>").json(folder)
-    return raw.select(F.explode("result.records").alias("r")).select("r.*")
+    return landing.read_records(spark, folder, "id: BIGINT, name: STRING", multi_line=False)

@@ -25,12 +25,16 @@ GTFS_SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str, keep_bad: bool = False) -> DataFrame:
-    """CSV with a header; with keep_bad, `_corrupt_record` holds lines that don't parse, which else are dropped."""
-    reader = spark.read.option("header", True)
-    if keep_bad:
-        return reader.schema(f"{schema}, _corrupt_record STRING").option("mode", "PERMISSIVE").csv(path)
-    return reader.schema(schema).option("mode", "DROPMALFORMED").csv(path)
+def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """CSV with a header; lines that don't parse are dropped."""
+    return spark.read.option("header", True).schema(schema).option("mode", "DROPMALFORMED").csv(path)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of CSV without a header; `_corrupt_record` holds a line that doesn't parse, to be counted and dropped."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_csv("value", F.lit(f"{schema}, _corrupt_record STRING"), options)
+    return spark.read.text(path).select(parsed.alias("r")).select("r.*")
 
 
 def read_history(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -47,17 +51,17 @@ def read_history(spark: SparkSession, path: str, start: str | None = None, end:
     return rows.where(month <= end) if end else rows
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each segment of each record, properties flattened."""
-    raw = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", True).json(path)
+def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row for each segment of each record, properties flattened; a file holds one answer, or one in each line."""
+    raw = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", multi_line).json(path)
     records = raw.select(F.explode("OPENDATA_PSIU_APPARKB").alias("r"))
     parts = records.select(F.col("r.FH_INICIO").alias("FH_INICIO"), F.explode("r.TRAMOS").alias("t"))
     return parts.select("FH_INICIO", F.explode("t.features").alias("f")).select("FH_INICIO", "f.properties.*")
 
 
-def read_forecast(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each forecast hour."""
-    raw = spark.read.schema(FORECAST_SCHEMA).option("multiLine", True).json(path)
+def read_forecast(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row for each forecast hour; a file holds one answer, or one in each line."""
+    raw = spark.read.schema(FORECAST_SCHEMA).option("multiLine", multi_line).json(path)
     hours = raw.select(F.explode("forecast.forecastday").alias("d")).select(F.explode("d.hour").alias("h"))
     return hours.select(
         F.try_to_timestamp("h.time", F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("ts"),
@@ -70,9 +74,9 @@ def read_forecast(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a landed API answer: {"result": {"records": [...]}}."""
-    raw = spark.read.schema(f"result STRUCT<records: ARRAY<STRUCT<{schema}>>>").option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Rows of landed API answers: {"result": {"records": [...]}}."""
+    raw = spark.read.schema(f"result STRUCT<records: ARRAY<STRUCT<{schema}>>>").option("multiLine", multi_line).json(path)
     return raw.select(F.explode("result.records").alias("r")).select("r.*")
 
 
