@@ -40,6 +40,8 @@ UNKNOWN = HEAD + SHARED  # the symbol of a word that training has not seen
 SINGLE = 1 << 15  # marks a token whose word training saw once
 #: Training cuts texts into sequences of so many tokens; scoring never cuts.
 CHUNK = 256
+#: Texts whose sequences run side by side in training.
+GROUP = 1024
 DISCOUNT = 0.5
 END = b""
 
@@ -224,11 +226,10 @@ def expected_counts(model: HiddenMarkov, symbols: np.ndarray, lens: np.ndarray,
     """Adds to ``into`` the expected counts: symbol rows, then the moves, the starts, and the single words."""
     k = model.states
     emit = model.emit
-    for low in range(0, len(lens), 512):
-        a, b = int(lens[:low].sum()), int(lens[: low + 512].sum())
-        part = symbols[a:b]
-        table, size = padded(part & (SINGLE - 1), lens[low : low + 512], CHUNK)
-        single, _ = padded((part & SINGLE) >> 15, lens[low : low + 512], CHUNK)
+    for low in range(0, len(lens), GROUP):
+        a, b = int(lens[:low].sum()), int(lens[: low + GROUP].sum())
+        marked, size = padded(symbols[a:b], lens[low : low + GROUP], CHUNK)
+        table, single = marked & (SINGLE - 1), marked >= SINGLE
         steps = len(table)
         active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
         forward = np.zeros((steps, len(size), k))
@@ -244,14 +245,19 @@ def expected_counts(model: HiddenMarkov, symbols: np.ndarray, lens: np.ndarray,
             n = active[t]
             state = forward[t, :n] * later[:n]
             state /= np.maximum(state.sum(1), 1e-300)[:, None]
-            np.add.at(into, table[t, :n], state)
-            into[UNKNOWN + 2 + k] += state[single[t, :n] == 1].sum(0)
+            into[UNKNOWN + 2 + k] += state[single[t, :n]].sum(0)
             if t == 0:
                 into[UNKNOWN + 1 + k] += state.sum(0)
+                forward[t, :n] = state
                 break
             seen = emit[table[t, :n]] * later[:n] / scale[t, :n, None]
             into[UNKNOWN + 1 : UNKNOWN + 1 + k] += model.move * (forward[t - 1, :n].T @ seen)
             later[:n] = seen @ model.move.T
+            forward[t, :n] = state  # from here on the states' shares, summed up by symbol below
+        here = np.arange(len(size)) < active[:, None]
+        flat, shares = table[here], forward[here]
+        for s in range(k):
+            into[: UNKNOWN + 1, s] += np.bincount(flat, shares[:, s], UNKNOWN + 1)
 
 
 def baum_welch_round(shards: DataFrame, model: HiddenMarkov) -> np.ndarray:
