@@ -17,67 +17,78 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .token_counts import RankMerger
 
 #: Tokens of a shard at most, but for one longer document.
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 #: A term that more of a shard's documents hold than this share says nothing about a seed's neighbours.
 COMMON = 0.25
-#: Stands between words that are encoded together; a token of its own, and words that hold it are encoded alone.
-MARK = b"\x01"
-#: Words encoded together at most.
-STEP = 50_000
+#: Fixed value: the published split pattern of this family of vocabularies, for lower-case text.
+WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: A worker forgets the words that it knows beyond this many.
 KNOWN_LIMIT = 300_000
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The library's tokenizer, the ids that it gave to words so far, and the id of the mark between words."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """The ids of words, remembered.
+
+    The vocabulary lower-cases, drops white space and joins nothing over it,
+    so a text's ids are those of its words (cut at ASCII white space).  Words in
+    plain Latin letters are cut and merged here, all new ones at once; words
+    with other characters or a special string go to the library, one by one.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    mark = tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-    if len(mark) != 1:
-        raise ValueError("the mark between words should be one token")
-    return tokenizer, {}, mark[0]
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.merger = RankMerger(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        pieces: dict[bytes, list[str]] = {}
+        for w in words:
+            text = w.decode()
+            if (w.isascii() or max(text) < "\u0250" and "\u0130" not in text) and "<|" not in text:
+                text = text.lower()
+                pieces[w] = [text] if text.isalpha() else WORD_SPLIT.findall(text)
+            else:
+                ids = self.library.encode(text, add_special_tokens=False).ids
+                self.known[w] = np.array(ids, "<u4").tobytes()
+        new = list(set().union(*pieces.values()))
+        place, ids = self.merger.merge([p.encode() for p in new])
+        edges = (np.r_[0, np.cumsum(np.bincount(place, minlength=len(new)))] * 4).tolist()
+        raw = ids.astype("<u4").tobytes()
+        of = {p: raw[a:b] for p, a, b in zip(new, edges, edges[1:], strict=False)}
+        self.known.update((w, b"".join([of[p] for p in found])) for w, found in pieces.items())
+
+    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
+        """The ids of each text, then the end id."""
+        split = [t.encode().split() if t else [] for t in texts]
+        if len(self.known) > KNOWN_LIMIT:
+            self.known.clear()
+        if new := set().union(*split).difference(self.known):
+            self.learn(list(new))
+        end = np.array([end_id], "<u4").tobytes()
+        return [np.frombuffer(b"".join([*map(self.known.__getitem__, words), end]), "<u4") for words in split]
 
 
-def encoded(words: list[bytes], tokenizer) -> np.ndarray:
-    """The ids of words, a few hundred at a time as one text."""
-    texts = [b" ".join(words[i : i + 500]).decode() for i in range(0, len(words), 500)]
-    return np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
-    """The ids of each text, then the end id.
-
-    This vocabulary drops white space and joins nothing over it, so a text's
-    ids are those of its words (cut at ASCII white space) in order.
-    """
-    tokenizer, known, mark = encoder(path)
-    split = [t.encode().split() if t else [] for t in texts]
-    if len(known) > KNOWN_LIMIT:
-        known.clear()
-    if new := set().union(*split).difference(known):
-        odd = [w for w in new if MARK in w]
-        known.update((w, encoded([w], tokenizer).tobytes()) for w in odd)
-        plain = list(new.difference(odd))
-        for low in range(0, len(plain), STEP):
-            some = plain[low : low + STEP]
-            ids = encoded([MARK + b" " + w for w in some], tokenizer)
-            cut = np.flatnonzero(ids == mark)
-            ends = np.r_[cut[1:], len(ids)] * 4
-            raw = ids.tobytes()
-            known.update(zip(some, [raw[a:b] for a, b in zip((cut * 4 + 4).tolist(), ends.tolist(), strict=True)], strict=True))
-    end = np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), "<u4") for words in split]
+    """The ids of each text, then the end id."""
+    return encoder(path).encode(texts, end_id)
 
 
 class ShardIndex:

@@ -54,7 +54,9 @@ class RankMerger:
         vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[s] for s in byte_symbols()], dtype=np.int64)
+        self.last = np.array([vocab[s + suffix] for s in byte_symbols()], dtype=np.int64)
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
@@ -71,9 +73,16 @@ class RankMerger:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each (non-empty) byte string."""
+        return np.bincount(self.merge(words)[0], minlength=len(words))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of (non-empty) byte strings: the places of their strings, in order, and their ids."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(words), np.int64)
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        done_seq, done_sym = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym = self.first[raw]
+        ends = np.cumsum(lens) - 1
+        sym[ends] = self.last[raw[ends]]
         seq = np.repeat(np.arange(len(words)), lens)
         rank = np.full(len(sym), NO_RANK, np.int32)
         same = np.flatnonzero(seq[:-1] == seq[1:])
@@ -84,8 +93,9 @@ class RankMerger:
             lowest = np.minimum.reduceat(rank, starts)
             live = lowest != NO_RANK
             if not live.all():
-                out[seq[starts[~live]]] = sizes[~live]
                 keep = np.repeat(live, sizes)
+                done_seq.append(seq[~keep])
+                done_sym.append(sym[~keep])
                 sym, seq, rank = sym[keep], seq[keep], rank[keep]
                 sizes, lowest = sizes[live], lowest[live]
                 if not len(sym):
@@ -108,7 +118,9 @@ class RankMerger:
             touched = touched[touched + 1 < len(sym)]
             touched = touched[seq[touched] == seq[touched + 1]]
             rank[touched] = self.ranks(sym[touched], sym[touched + 1])
-        return out
+        place = np.concatenate(done_seq)
+        order = np.argsort(place, kind="stable")
+        return place[order], np.concatenate(done_sym)[order]
 
 
 @lru_cache(maxsize=2)
