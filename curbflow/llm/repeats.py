@@ -17,7 +17,7 @@ a document with a smaller id, or earlier in the same one.
    once, for the earliest of them; the later ones are repeats throughout.
 4. The repeats go back to their documents.
 
-A document is identified by its id and its text's hash.  The texts are shuffled
+A document is identified by its id and some bits of its text's hash.  The texts are shuffled
 once, by that key; both joins read the same exchange.
 """
 
@@ -40,6 +40,8 @@ SPAN = LENGTH - GRAM + 1  # grams in a window
 CHUNK = 1 << 19
 #: Bytes of a block; a group of stretches beyond it is cut into several.
 BLOCK = 1 << 20
+#: The part of a text's hash that tells rows apart which repeat an id with other texts.
+MARK_BITS = (1 << 20) - 1
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -305,7 +307,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_is = id_col == "doc_id" and docs.schema[id_col].dataType == T.LongType()
     base = docs.select(
         F.col("doc_id") if as_is else F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    ).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    ).select("doc_id", F.xxhash64("text").bitwiseAND(MARK_BITS).alias("mark"), "text")
     # one exchange of the texts, which both joins read
     known = base.where("doc_id is not null").repartition("doc_id", "mark")
     scanned = base.where("doc_id is not null")
