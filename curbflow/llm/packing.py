@@ -112,12 +112,13 @@ class ShardIndex:
         self.terms = np.repeat(np.arange(len(held)), held)[telling][order]
         self.terms_of = np.r_[0, np.cumsum(np.bincount(self.doc[telling], minlength=len(docs)))]
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """All documents of the shard, best score first; ties in order."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents of the shard, best score first; ties in order."""
         terms = self.terms[self.terms_of[seed] : self.terms_of[seed + 1]]
         sizes = self.begin[terms + 1] - self.begin[terms]
         at = np.repeat(self.begin[terms] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        return np.argsort(-np.bincount(self.doc[at], self.weight[at], self.n_docs), kind="stable")
+        score = np.bincount(self.doc[at], self.weight[at], self.n_docs)[unused]
+        return unused[np.argsort(-score, kind="stable")]
 
 
 def pack(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
@@ -150,8 +151,7 @@ def pack(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]
         put(seed, n)
         room -= n
         if room:
-            order = index.neighbours(seed)
-            order = order[left[order] > 0]
+            order = index.neighbours(seed, np.flatnonzero(left > 0))
             for i in order.tolist():
                 if left[i] <= room:
                     n = int(left[i])
