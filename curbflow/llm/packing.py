@@ -28,8 +28,10 @@ from .token_counts import RankMerger
 #: Tokens of a shard at most, but for one longer document.
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
-#: A term that more of a shard's documents hold than this share says nothing about a seed's neighbours.
-COMMON = 0.25
+#: A term that more of a shard's documents hold than this share has its weights as a row over all documents.
+COMMON = 0.125
+#: Weights are whole numbers, this many to one, so that sums are exact in any order and equal documents tie.
+EXACT = 2.0**28
 #: Fixed value: the published split pattern of this family of vocabularies, for lower-case text.
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: A worker forgets the words that it knows beyond this many.
@@ -98,27 +100,57 @@ class ShardIndex:
         sizes = np.array([len(d) for d in docs])
         owner = np.repeat(np.arange(len(docs)), sizes)
         key, times = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-        term, self.doc = key // len(docs), key % len(docs)
+        term, doc = key // len(docs), key % len(docs)
         first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        self.begin = np.r_[first, len(term)]
-        self.n_docs = len(docs)
-        held = np.diff(self.begin)
+        held = np.diff(np.r_[first, len(term)])
         idf = np.log1p((len(docs) - held + 0.5) / (held + 0.5))
         norm = K1 * (1 - B + B * sizes / sizes.mean())
-        self.weight = np.repeat(idf, held) * times * (K1 + 1) / (times + norm[self.doc])
-        # the terms of each document that tell something, as places in `begin`
-        telling = np.repeat(held <= max(2, COMMON * len(docs)), held)
-        order = np.argsort(self.doc[telling], kind="stable")
-        self.terms = np.repeat(np.arange(len(held)), held)[telling][order]
-        self.terms_of = np.r_[0, np.cumsum(np.bincount(self.doc[telling], minlength=len(docs)))]
+        weight = np.rint(EXACT * np.repeat(idf, held) * times * (K1 + 1) / (times + norm[doc]))
+        number = np.repeat(np.arange(len(held)), held)
+        # the terms of each document
+        order = np.argsort(doc, kind="stable")
+        self.terms = number[order]
+        self.terms_of = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(docs)))]
+        # common terms are rows over the documents, the others have lists of them
+        common = held > COMMON * len(docs)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        listed = ~common[number]
+        self.dense = np.zeros((int(common.sum()), len(docs)))
+        self.dense[self.row[number[~listed]], doc[~listed]] = weight[~listed]
+        self.number, self.doc, self.weight = number[listed], doc[listed], weight[listed]
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.number, minlength=len(held)))]
+        self.place = np.arange(len(docs))  # of each document in the rows and lists
+        self.n_docs = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents of the shard, best score first; ties in order."""
+    def keep(self, unused: np.ndarray) -> None:
+        """From now on only these documents are scored; their weights stay."""
+        stays = np.zeros(self.n_docs, bool)
+        stays[self.place[unused]] = True
+        place = np.cumsum(stays) - 1
+        self.dense = self.dense[:, stays]
+        listed = stays[self.doc]
+        self.number, self.doc, self.weight = self.number[listed], place[self.doc[listed]], self.weight[listed]
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.number, minlength=len(self.row)))]
+        self.place[unused] = place[self.place[unused]]
+        self.n_docs = len(unused)
+
+    def scores(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """BM25 of the unused documents for all terms of the seed."""
+        if 2 * len(unused) < self.n_docs:
+            self.keep(unused)
         terms = self.terms[self.terms_of[seed] : self.terms_of[seed + 1]]
+        row = self.row[terms]
+        terms = terms[row < 0]
         sizes = self.begin[terms + 1] - self.begin[terms]
         at = np.repeat(self.begin[terms] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        score = np.bincount(self.doc[at], self.weight[at], self.n_docs)[unused]
-        return unused[np.argsort(-score, kind="stable")]
+        score = np.bincount(self.doc[at], self.weight[at], self.n_docs).astype(np.float64)
+        for r in row[row >= 0].tolist():
+            score += self.dense[r]
+        return score[self.place[unused]]
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents of the shard, best score first; ties in order."""
+        return unused[np.argsort(-self.scores(seed, unused), kind="stable")]
 
 
 def pack(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:

@@ -17,7 +17,7 @@ from curbflow.llm.hidden_markov import hidden_markov_scores
 from curbflow.llm.inner_products import top_products
 from curbflow.llm.language_id import language_id, train_language_id
 from curbflow.llm.near_duplicates import near_duplicates
-from curbflow.llm.packing import packed
+from curbflow.llm.packing import B, K1, ShardIndex, pack, packed
 from curbflow.llm.repeats import suffix_order, without_repeats
 from curbflow.llm.secrets import redact_secrets, secret_spans
 from curbflow.llm.token_counts import count_texts, token_counts
@@ -239,6 +239,34 @@ def test_packing(docs, rows, empty):
     assert packed(empty, path).count() == 0
 
 
+def test_packing_scores_all_terms():
+    rng = np.random.default_rng(5)
+    hot = np.arange(20)  # copies of one document are more than a third of the shard
+    docs = [rng.integers(0, 60, rng.integers(5, 40)) if i % 5 < 3 else hot for i in range(60)]
+    counts = [Counter(d.tolist()) for d in docs]
+    held, mean = Counter(t for c in counts for t in c), np.mean([len(d) for d in docs])
+
+    def score(seed, i):
+        norm = K1 * (1 - B + B * len(docs[i]) / mean)
+        return sum(math.log1p((60 - held[t] + 0.5) / (held[t] + 0.5)) * counts[i][t] * (K1 + 1) / (counts[i][t] + norm) for t in counts[seed] if t in counts[i])
+
+    index = ShardIndex(docs)
+    for unused in (np.arange(60), np.arange(10, 60), np.arange(0, 60, 3), np.arange(0, 60, 6)):
+        for seed in (3, 4, 0, 7):
+            want = np.array([score(seed, i) for i in unused])
+            assert np.allclose(index.scores(seed, unused) / 2**28, want, atol=1e-6)
+            order = sorted(range(len(unused)), key=lambda j, want=want: (-round(want[j], 6), j))
+            assert index.neighbours(seed, unused).tolist() == unused[order].tolist()
+
+
+def test_packing_puts_copies_together():
+    hot = [np.arange(20)] * 6
+    others = [np.arange(100 + 20 * i, 120 + 20 * i) for i in range(8)]
+    docs = [d for pair in zip(others, hot, strict=False) for d in pair] + others[6:]
+    of_seed = [sequence for sequence in pack(docs, 60) if sequence[0][0] % 2 and sequence[0][0] < 12]
+    assert of_seed and all(i % 2 and i < 12 for i, _, _ in of_seed[0])
+
+
 def test_hidden_markov(docs, rows, empty):
     held = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 == 2
     got = hidden_markov_scores(docs, held, states=3, rounds=2).collect()
