@@ -93,9 +93,10 @@ class Best:
             need = np.where(self.bound[q] > 0, self.bound[q] / np.maximum(self.norm[q], 1e-300), 0).min() * (1 - 1e-9)
             m = int(np.searchsorted(-norm, -need, side="right"))
             s = products(self.vectors[q], vectors[:m])
+            s[self.ids[q][:, None] == ids[:m]] = LOWEST  # rows of the query's id, however many, are no candidates
             cut = self.bound[q]
             if m > 4 * self.k:
-                cut = np.maximum(cut, np.partition(s, m - self.k - 1, axis=1)[:, m - self.k - 1])
+                cut = np.maximum(cut, np.partition(s, m - self.k, axis=1)[:, m - self.k])
             rows, cols = np.nonzero(s >= cut[:, None])
             self.offer(q[rows], cols, s[rows, cols], ids)
         by_coordinate: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -371,5 +371,18 @@ def test_top_products(spark):
     assert [tuple(r) for r in top_products(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, -65536)]
 
 
+def test_top_products_of_a_repeated_query_id(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 4))
+    v[0] *= 9
+    made = [(i, row.tolist()) for i, row in enumerate(v)] + [(0, v[0].tolist())] * 9
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>")
+    q = np.floor(v * 256).astype(np.int64)
+    s = q @ q[0]
+    order = sorted(range(1, 60), key=lambda j: (-s[j], j))[:5]
+    got = top_products(df, F.col("vec_id") == 0).collect()
+    assert {r["rank"]: (r["vec_id"], r["score"]) for r in got} == {k + 1: (j, int(s[j])) for k, j in enumerate(order)}
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"0") % 7 >= 0
