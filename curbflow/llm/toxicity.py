@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its hashed character n-grams; a window of ``WINDOW`` words
-is the mean of its words' vectors, and a linear softmax turns that into two
+(one begins at each word) is the mean of its words' vectors, and a linear softmax turns that into two
 classes.  Embeddings and softmax are trained jointly in numpy on a bounded
 sample of labelled texts.  A label belongs to a text, not to a window, so the
 windows of a text are pooled: softly (log-sum-exp) in training, by the largest
@@ -97,8 +97,8 @@ class ToxicityModel:
         for i, w in enumerate(split):
             if w:
                 v = np.fromiter(map(self.known.__getitem__, w), np.float64, len(w))
-                v[1:][[a == b for a, b in zip(w, w[1:], strict=False)]] = 0  # a word said again adds nothing
-                out[i] += max(0.0, np.add.reduceat(v, np.arange(0, len(v), WINDOW)).max() / WINDOW)
+                total, n = np.r_[0.0, np.cumsum(v)], min(WINDOW, len(v))
+                out[i] += max(0.0, (total[n:] - total[:-n]).max() / WINDOW)
         if len(self.known) > KNOWN_LIMIT:
             self.known.clear()
         return out
@@ -153,9 +153,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
         n = np.array([len(ids[r]) for r in rows])
         flat = np.concatenate([ids[r] for r in rows])
         flat = np.where(rng.random(len(flat)) < 0.15, flat + n_words, flat)
-        wins = -(-n // WINDOW)
+        wins = np.maximum(n - WINDOW, 0) + 1  # one from each word on that has WINDOW words
         first = np.r_[0, np.cumsum(wins)]
-        win = np.repeat(first[:-1], n) + (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)) // WINDOW
+        start = np.arange(first[-1]) + np.repeat(np.cumsum(n) - n - first[:-1], wins)
+        end = start + np.repeat(np.minimum(n, WINDOW), wins)
         uniq, at = np.unique(flat, return_inverse=True)
         k = counts[uniq]
         own = np.repeat(np.arange(len(uniq)), k)
@@ -163,7 +164,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
         gram_vec = emb[g]
         vec = np.stack([np.bincount(own, gram_vec[:, d], len(uniq)) for d in range(DIM)], 1)
         vec /= np.maximum(k, 1)[:, None]
-        hidden = np.stack([np.bincount(win, vec[at, d], first[-1]) for d in range(DIM)], 1) / WINDOW
+        total = np.vstack([np.zeros(DIM), np.cumsum(vec[at], axis=0)])
+        hidden = (total[end] - total[start]) / WINDOW
         logit = hidden @ soft + bias
         margin = logit[:, 1] - logit[:, 0]
         top = np.maximum.reduceat(margin, first[:-1])
@@ -175,7 +177,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
         d_logit = np.stack([-d_margin, d_margin], 1)
         d_soft, d_bias = hidden.T @ d_logit, d_logit.sum(0)
         d_hidden = d_logit @ soft.T / WINDOW
-        d_vec = np.stack([np.bincount(at, d_hidden[win, d], len(uniq)) for d in range(DIM)], 1)
+        d_word = np.zeros((len(flat) + 1, DIM))  # no two windows begin or end at one word
+        d_word[start] += d_hidden
+        d_word[end] -= d_hidden
+        d_word = np.cumsum(d_word, axis=0)
+        d_vec = np.stack([np.bincount(at, d_word[:-1, d], len(uniq)) for d in range(DIM)], 1)
         d_vec /= np.maximum(k, 1)[:, None]
         d_emb = np.stack([np.bincount(g, d_vec[own, d], BUCKETS) for d in range(DIM)], 1) + 1e-7 * emb
         g_emb += (d_emb**2).sum(1)

@@ -21,7 +21,7 @@ from curbflow.llm.packing import B, K1, ShardIndex, pack, packed
 from curbflow.llm.repeats import suffix_order, without_repeats
 from curbflow.llm.secrets import redact_secrets, secret_spans
 from curbflow.llm.token_counts import count_texts, token_counts
-from curbflow.llm.toxicity import fit, labelled_texts, score_toxicity, train_toxicity
+from curbflow.llm.toxicity import BUCKETS, ToxicityModel, fit, labelled_texts, score_toxicity, train_toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["the", "of", "stone", "river", "Light", "wind.", "market", "çava", "straße", "x1", "--", "night"]
@@ -351,6 +351,33 @@ def test_toxicity(spark, empty):
     assert fit([], []).score(["x", None]).tolist() == [0.0, 0.0]
 
 
+def test_toxicity_at_every_offset():
+    model = ToxicityModel(np.zeros(BUCKETS), 0.0, 1.0, 0.0, {"bad": 8.0, "worse": 4.0, "x": 0.0, "y": 0.0})
+    assert {model.raw(["x y " * i + "x " * j + "bad worse bad worse" + " x y" * 10])[0] for i in range(9) for j in (0, 1)} == {3.0}
+    assert model.raw(["bad " * 8])[0] == 8.0 and model.raw(["bad"])[0] == 1.0
+
+
+def test_toxicity_of_held_out_offsets_and_repeats():
+    rng = random.Random(8)
+    bad = ["slimeball", "rotbrain", "vilefool"]
+
+    def clean(n):
+        return [f"{rng.choice(['ther', 'on', 'esh', 'ble'])}{rng.choice(['an', 'wh', 'ing'])}" for _ in range(n)]
+
+    texts, labels = [], []
+    for i in range(600):
+        t, at = clean(rng.randrange(10, 60)), rng.randrange(10)
+        if i % 3 == 0:
+            t[at:at] = rng.choices(bad, k=4)
+        texts.append(" ".join(t))
+        labels.append(int(i % 3 == 0))
+    model = fit(texts, labels)
+    at_offsets = [" ".join([*clean(i), *rng.choices(bad, k=4), *clean(30 - i)]) for i in range(31)]
+    assert (model.score(at_offsets) >= 0.7).all()
+    assert (model.score([" ".join([w] * 8) for w in bad]) >= 0.7).all()
+    assert (model.score([" ".join(clean(30)) for _ in range(40)]) < 0.7).mean() > 0.95
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)) * rng.uniform(0.1, 3, (300, 1))
