@@ -156,39 +156,53 @@ def category_counts(
     return out.withColumns({p: F.col(n) > 0 for n, p in flags})
 
 
-def nearest(points_: DataFrame, places: DataFrame, key: str, place: str, cell: float, max_rings: int = 24) -> DataFrame:
-    """(key, place, distance) of the nearest place (ties to the smaller place) for points (key, x, y).
+def nearest(
+    points_: DataFrame, places: DataFrame, key: str, place: str, cell: float, max_rings: int = 24, few: int = 10_000
+) -> DataFrame:
+    """(key, place, distance) of the nearest place (ties to the smaller place), one row for each row of points (key, x, y).
 
-    Looks into growing rings of grid cells and accepts what is surely nearest;
-    points that no ring settles are compared with every place's cell centre
-    first.  A table of places that is small by count is broadcast instead.
+    Places without finite coordinates take no part; points without them, and
+    all points where there are no places, get nulls.  Equal locations are looked
+    at once.  Looks into growing rings of grid cells and accepts what is surely
+    nearest; points that no ring settles are compared with every place.  A table
+    of at most ``few`` places by count is broadcast instead.
     """
-    asks = points_.select(key, F.col("x").alias("__x"), F.col("y").alias("__y"))
-    if places.limit(10_001).count() <= 10_000:
-        every = asks.crossJoin(F.broadcast(places.select(place, "x", "y")))
-        found = every.withColumn("distance", F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")))
-        best = F.min(F.struct("distance", place)).alias("b")
-        return found.groupBy(key).agg(best).select(key, f"b.{place}", "b.distance")
-    done, size = None, cell
-    at = places.select(place, "x", "y")
-    left = asks
-    for _ in range(max_rings):
-        def of(v: Column, size: float = size) -> Column:
-            return F.floor(v / size)
-
-        around = left.withColumn("__cx", F.explode(F.sequence(of(F.col("__x")) - 1, of(F.col("__x")) + 1)))
-        around = around.withColumn("__cy", F.explode(F.sequence(of(F.col("__y")) - 1, of(F.col("__y")) + 1)))
-        here = at.withColumns({"__cx": of(F.col("x")), "__cy": of(F.col("y"))})
-        near = around.join(here, ["__cx", "__cy"])
-        near = near.withColumn("distance", F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y")))
-        sure = near.where(F.col("distance") <= size).groupBy(key).agg(F.min(F.struct("distance", place)).alias("b"))
-        sure = sure.select(key, f"b.{place}", "b.distance").persist()
-        done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure, key, "left_anti")
-        if left.isEmpty():
-            break
-        size *= 4
-    return done
+
+    def finite(name: str) -> Column:
+        return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf"))
+
+    asks = points_.where(finite("x") & finite("y")).select(F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
+    at = places.where(finite("x") & finite("y")).groupBy("x", "y").agg(F.min(place).alias(place)).persist()
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("__x", "__y").agg(F.min(F.struct("distance", place)).alias("b")).select("__x", "__y", f"b.{place}", "b.distance")
+
+    distance = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y"))
+    if at.limit(few + 1).count() <= few:
+        done = best(asks.crossJoin(F.broadcast(at)).withColumn("distance", distance))
+    else:
+        done, left, size = None, asks, cell
+        for _ in range(max_rings):
+            def of(v: Column, size: float = size) -> Column:
+                return F.floor(v / size)
+
+            # cells whose number is too large to be exact wait for a larger size
+            around = left.where((F.abs(F.col("__x") / size) < 2.0**52) & (F.abs(F.col("__y") / size) < 2.0**52))
+            around = around.withColumn("__cx", F.explode(F.sequence(of(F.col("__x")) - 1, of(F.col("__x")) + 1)))
+            around = around.withColumn("__cy", F.explode(F.sequence(of(F.col("__y")) - 1, of(F.col("__y")) + 1)))
+            here = at.withColumns({"__cx": of(F.col("x")), "__cy": of(F.col("y"))})
+            near = around.join(here, ["__cx", "__cy"]).withColumn("distance", distance)
+            sure = best(near.where(F.col("distance") <= size)).persist()
+            done = sure if done is None else done.unionByName(sure)
+            left = left.join(sure, ["__x", "__y"], "left_anti")
+            if left.isEmpty():
+                break
+            size *= 4
+        else:
+            rest = best(left.crossJoin(at).withColumn("distance", distance))
+            done = rest if done is None else done.unionByName(rest)
+    same = (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))
+    return points_.select(key, "x", "y").join(done, same, "left").select(key, place, "distance")
 
 
 def route_coverage(pairs: DataFrame, stop_times: DataFrame, trips: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,25 @@ def test_transit(spark):
     assert {r["id"]: r["count"] for r in near.groupBy("id").count().collect()} == {1: 2, 2: 2}
 
 
+@pytest.mark.parametrize(("few", "rings"), [(10_000, 24), (0, 3), (0, 0)])
+def test_nearest_of_places_without_coordinates(spark, few, rings):
+    nan, inf = float("nan"), float("inf")
+    where = [(1.0, 1.0), (1.0, 1.0), (-3.0, 2.0), (40.0, 40.0), (None, 0.0), (0.0, None), (nan, 0.0), (0.0, inf)]
+    stops = spark.createDataFrame([(i, *p) for i, p in enumerate(where)], "stop long, x double, y double")
+    asked = [(0.9, 1.0), (0.9, 1.0), (-1.0, 1.5), (5000.0, 5000.0), (1e200, 0.0), (None, 1.0), (nan, 1.0), (1.0, -inf)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "id long, x double, y double")
+    got = {r["id"]: (r["stop"], r["distance"]) for r in spatial.nearest(points, stops, "id", "stop", 0.5, rings, few).collect()}
+    want = {}
+    for i, (x, y) in enumerate(asked):
+        usable = x is not None and np.isfinite([x, y]).all()
+        d = sorted((float(np.hypot(x - a, y - b)), k) for k, (a, b) in enumerate(where[:4])) if usable else [(None, None)]
+        want[i] = d[0][::-1]
+    assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in want.items()}
+    assert all(want[i][1] == pytest.approx(d) if d is not None else want[i][1] is None for i, (_, d) in got.items())
+    none = spatial.nearest(points, stops.limit(0), "id", "stop", 0.5, 2, -1 if few == 0 else few)
+    assert [(r["stop"], r["distance"]) for r in none.collect()] == [(None, None)] * 8
+
+
 def test_density_clusters(spark):
     rows = [
         (1, 40.7128, -74.0060), (2, 40.7129, -74.0061), (3, 40.7130, -74.0059), (4, 40.7580, -73.9850),
