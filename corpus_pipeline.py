@@ -21,6 +21,8 @@ from curbflow.llm.toxicity import labelled_texts, score_toxicity, train_toxicity
 
 #: Score from which a document counts as toxic.
 TOXIC = 0.7
+#: Percent of common shingles of five words from which documents are near-duplicates.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id and text count as one; rows without a doc_id stay.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
     mark = F.xxhash64("text")
     one = docs.join(kept, "doc_id", "left_semi").withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -152,7 +152,7 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
+def candidate_edges(nodes: DataFrame, reachable: float = REACHABLE) -> DataFrame:
     """(a, b): edges that connect each node of a bucket with the leaders that may share a neighbour with it."""
     band = bands(nodes)
     met = (
@@ -178,7 +178,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
                 close = False
                 if n:
                     est = estimates(regs, leaders[:n])
-                    near = np.flatnonzero(est >= REACHABLE)
+                    near = np.flatnonzero(est >= reachable)
                     close = bool(len(near)) and est.max() >= CLOSE
                     groups, at = np.unique(group[near], return_index=True)
                     a += [node] * len(at)
@@ -323,7 +323,8 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"))
     )
     nodes = written(nodes)
-    edges = written(candidate_edges(nodes))
+    # a lower threshold lets linked nodes differ by more in their distance to a leader
+    edges = written(candidate_edges(nodes, REACHABLE - max(0, 85 - threshold) / 100))
     clusters = connected_components(edges).withColumnRenamed("label", "cluster")
     wanted = clusters.join(nodes.select("node", F.col("least_id").alias("doc_id")), "node")
     sets = written(full_sets(docs, wanted, id_col, text_col, shingle))

@@ -28,6 +28,41 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"] or -1) for r in out.collect()) == [-1, 3, 7]
 
 
+def kept_by_brute_force(docs):
+    """The ids that stay: the smallest of each group linked by a Jaccard of 0.8 or more."""
+    sets = {}
+    for r in docs:
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((root(a), root(b)))
+                group[high] = low
+    return {i for i in ids if root(i) == i}
+
+
+def test_near_duplicate_stage_against_brute_force(spark):
+    docs = table(spark, SF, "documents").limit(400)
+    made = [r.asDict() for r in docs.collect()]
+    words = [f"w{i}" for i in range(204)]
+    for k, changed in enumerate((24, 22, 20, 19, 17)):  # a cut end: Jaccard (204 - 2 n) / 200, 0.78 to 0.85
+        of = [f"{w}g{k}" for w in words]
+        made += [made[0] | {"doc_id": 10**9 + 2 * k, "text": " ".join(of)}, made[0] | {"doc_id": 10**9 + 2 * k + 1, "text": " ".join(of[: 204 - 2 * changed + 4])}]
+    docs = spark.createDataFrame([tuple(m.values()) for m in made], docs.schema)
+    out = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert out == kept_by_brute_force(docs.collect())
+
+
 def test_contaminated_documents_go(spark):
     item = table(spark, SF, "benchmark").where(F.length("text") > 80).first()["text"]
     made = [(1, f"before {item} after"), (2, "clean words only, nothing else to see here at all today my friend")]
