@@ -6,43 +6,58 @@ a document with a smaller id, or earlier in the same one.
 1. Every window of LENGTH bytes has an anchor: the 32-byte gram with the
    smallest hash in it, the leftmost if some are equal.  Equal windows have
    equal anchors at equal offsets, and neighbouring windows mostly share one,
-   so a text of n bytes has some n / 35 anchors.
-2. Anchors whose hash occurs once are done.  For the others, the stretch of text
-   that the anchor's windows cover goes where all stretches of that hash go.
-3. There, stretches make up blocks of text.  Each block gets a suffix array by
+   so a text of n bytes has some n / 35 anchors.  The stretch of an anchor is
+   the text that its windows cover.
+2. Anchors meet by hash, with a digest of their stretch.  A stretch that is
+   equal to an earlier one as a whole (the gram's and the stretch's hashes, 128
+   bits, agree) is a repeat throughout and goes no further; of each kind of
+   stretch only the first goes on, and only if its hash has other kinds.
+3. Hashes with at most NARROW kinds: the first stretches make up blocks of
+   text, a hash whole in one block.  Each block gets a suffix array by
    two-stage sorting: only suffixes smaller than their successors are sorted
    directly, the rest is induced by scanning buckets in order.  Neighbours in
    it with a common prefix of LENGTH bytes are equal windows; all but the
-   earliest are repeats.  Stretches that are equal as a whole enter a block
-   once, for the earliest of them; the later ones are repeats throughout.
-4. The repeats go back to their documents.
-
-A document is identified by its id and some bits of its text's hash.  The texts are shuffled
-once, by that key; both joins read the same exchange.
+   earliest are repeats.
+4. Hashes with more kinds (a common line among other texts), and the most
+   frequent hashes, which meet in salted parts: their windows meet one by one
+   under a 128-bit digest, summed up before they are shuffled, so that no group
+   has to fit into a task.
+5. The repeats go back to their documents.
+
+The texts are shuffled once, by id; all joins read that exchange.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import slices
+from .shared_tables import written
 
 LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
 #: Window starts that are looked at together.
 CHUNK = 1 << 19
-#: Bytes of a block; a group of stretches beyond it is cut into several.
-BLOCK = 1 << 20
-#: The part of a text's hash that tells rows apart which repeat an id with other texts.
-MARK_BITS = (1 << 20) - 1
+#: Bytes from which a block of stretches is full; a hash is never cut.
+BLOCK = 1 << 19
+#: Kinds of stretches of a hash that a suffix array takes in.
+NARROW = 4096
+#: One document in SAMPLE is asked for the most frequent hashes (at most HOT, if seen HOT_FROM times), which only
+#: decides how rows are dealt: such a hash meets in SALTS parts.
+SAMPLE, HOT, HOT_FROM, SALTS = 64, 256, 64, 16
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: A place is a run of window starts of a text: which text of the id, the first start, and how many more follow.
+MORE_BITS, FIRST_BITS, TEXT_BITS = 7, 31, 21
+MORE, FIRST, TEXT = (1 << MORE_BITS) - 1, (1 << FIRST_BITS) - 1, (1 << TEXT_BITS) - 1
+SALTED = 1 << (MORE_BITS + FIRST_BITS + TEXT_BITS)  # set in the places of the most frequent hashes
+#: What becomes of a met stretch: a repeat, one for a suffix array, or one whose windows meet one by one.
+AGAIN, NARROW_KIND, WIDE_KIND = 0, 1, 2
 
 
 def gram_hashes(data: np.ndarray, doublings: int) -> np.ndarray:
@@ -60,8 +75,31 @@ def scrambled(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+class RangeDigests:
+    """64-bit digests of ranges of bytes: sums of random values of the bytes, each times a power for its position."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.value = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factor = int(rng.integers(1 << 61, 1 << 62)) * 4 + 1
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """The digests of data[a:b]; equal ranges have equal digests wherever they lie."""
+        if len(self.power) <= len(data):
+            n = max(2 * len(data), 1 << 16)
+            one = np.ones(1, np.uint64)
+            self.power = np.cumprod(np.r_[one, np.full(n, self.factor, np.uint64)])
+            self.inverse = np.cumprod(np.r_[one, np.full(n, pow(self.factor, -1, 1 << 64), np.uint64)])
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.power[: len(data)])]
+        return lambda a, b: scrambled((sums[b] - sums[a]) * self.inverse[a])
+
+
+DIGEST, OTHER_DIGEST = RangeDigests(17), RangeDigests(23)
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each anchor, and its first and last window start, over the whole text."""
+    """Hash, digest of the stretch, first window start and number of further ones of each anchor, over the whole text."""
     out = []
     for low in range(0, len(text) - LENGTH + 1, CHUNK):
         data = np.frombuffer(text, np.uint8, min(CHUNK + LENGTH - 1, len(text) - low), low)
@@ -73,7 +111,8 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
             best = np.where(right, best[n:], best[: len(best) - n])
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], len(at)] - 1
-        out.append((h[at[first]].view(np.int64), low + at[first], low + first, low + last))
+        digest = DIGEST.of(data)(first, last + LENGTH)
+        out.append((h[at[first]].view(np.int64), digest.view(np.int64), low + first, last - first))
     if not out:
         return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -143,155 +182,196 @@ def repeat_marks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return starts & (first != np.arange(len(text)))
 
 
-ANCHORS = "hash long, doc_id long, mark long, place long"
-REPEATS = "doc_id long, mark long, begin long, end long"
+def place_of(nth: np.ndarray, first: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (nth << (FIRST_BITS + MORE_BITS)) | (first << MORE_BITS) | more
+
+
+def run_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text of the id, the first window start, and how many more."""
+    return place >> (FIRST_BITS + MORE_BITS) & TEXT, place >> MORE_BITS & FIRST, place & MORE
 
 
-def anchor_rows(texts: DataFrame) -> DataFrame:
-    """One row for each anchor of texts (doc_id, mark, text); place packs the first and the last window start."""
+ANCHORS = "hash long, digest long, doc_id long, place long"
+
+
+def anchor_rows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """One row for each anchor of texts (doc_id, nth, text); the hashes in ``hot`` are salted and marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 found = [anchors(t.encode()) for t in part.column(2).to_pylist()]
-                n = [len(f[0]) for f in found]
-                rows = pa.array(np.repeat(np.arange(len(n)), n))
-                h, _, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [[]] * 4
+                n = np.array([len(f[0]) for f in found], np.int64)
+                ids = np.repeat(part.column(0).to_numpy(), n)
+                nth = np.repeat(part.column(1).to_numpy().astype(np.int64), n)
+                h, digest, first, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = place_of(nth, first, more)
+                if len(hot):
+                    near = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                    salt = scrambled(ids[near].view(np.uint64) * FACTOR) % np.uint64(SALTS) + np.uint64(1)
+                    h[near] = scrambled(h[near].view(np.uint64) + salt * FACTOR).view(np.int64)
+                    place[near] |= SALTED
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), part.column(0).take(rows), part.column(1).take(rows), pa.array(first << 8 | last - first)],
-                    names=["hash", "doc_id", "mark", "place"],
+                    [pa.array(h), pa.array(digest), pa.array(ids), pa.array(place)], names=["hash", "digest", "doc_id", "place"]
                 )
 
-    return texts.where(F.octet_length("text") >= LENGTH).mapInArrow(run, ANCHORS)
+    return texts.where(F.octet_length("text") >= LENGTH).select("doc_id", "nth", "text").mapInArrow(run, ANCHORS)
+
+
+def hot_hashes(texts: DataFrame) -> np.ndarray:
+    """The most frequent hashes of some documents, sorted: at most HOT."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).withColumn("nth", F.lit(0))
+    counted = anchor_rows(some, np.empty(0, np.int64)).groupBy("hash").count().where(F.col("count") >= HOT_FROM)
+    return np.sort(np.array([r["hash"] for r in counted.orderBy(F.desc("count"), "hash").limit(HOT).collect()], np.int64))
+
+
+def met_anchors(rows: DataFrame) -> DataFrame:
+    """(doc_id, met): for each document the (hash, place, kind) of its stretches that repeat or may hold repeats."""
+    group = Window.partitionBy("hash")
+    ordered = group.orderBy("digest", "doc_id", "place")
+    salted = F.col("place").bitwiseAND(SALTED) != 0
+    rows = rows.withColumns({"before": F.lag("digest").over(ordered), "n": F.count(F.lit(1)).over(group)})
+    rows = rows.where(salted | (F.col("n") > 1)).withColumn("new", ~F.col("digest").eqNullSafe(F.col("before")))
+    rows = rows.withColumn("kinds", F.sum(F.col("new").cast("long")).over(group))
+    kind = (
+        F.when(~F.col("new"), AGAIN)
+        .when(salted | (F.col("kinds") > NARROW), WIDE_KIND)
+        .when(F.col("kinds") > 1, NARROW_KIND)
+    )
+    met = rows.withColumn("kind", kind).where("kind is not null")
+    needed = F.when(F.col("kind") == NARROW_KIND, F.col("hash")).otherwise(F.lit(0).cast("long"))
+    return met.groupBy("doc_id").agg(F.collect_list(F.struct(needed.alias("hash"), "place", "kind")).alias("met"))
+
+
+def entries(column: pa.Array, fields: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """For each row of an array of structs, the values of the fields."""
+    offsets = column.offsets.to_numpy()
+    values = [column.values.field(f).to_numpy() for f in fields]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield [v[a:b] for v in values]
+
+
+def of_kind(kind: int) -> Column:
+    return F.exists("met", lambda x: x["kind"] == kind)
 
 
 def stretch_rows(held: DataFrame) -> DataFrame:
-    """(hash, doc_id, mark, first, stretch) for texts with the anchors that they share."""
+    """(hash, doc_id, place, stretch) of the stretches of held (doc_id, nth, text, met) that go into suffix arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                h, rows, firsts, cut = [], [], [], []
+                columns: list[list] = [[], [], [], []]
+                ids, nths = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts = part.column(2).to_pylist()
-                for i, shared in enumerate(part.column(3).to_pylist()):
-                    raw = texts[i].encode()
-                    for x in shared:
-                        first, more = x["place"] >> 8, x["place"] & 255
-                        h.append(x["hash"])
-                        rows.append(i)
-                        firsts.append(first)
-                        cut.append(raw[first : first + more + LENGTH])
-                at = pa.array(rows, pa.int64())
+                for doc_id, own, text, (h, place, kind) in zip(
+                    ids, nths, texts, entries(part.column(3), ("hash", "place", "kind")), strict=True
+                ):
+                    nth, first, more = run_of(place)
+                    pick = (kind == NARROW_KIND) & (nth == own)
+                    raw = text.encode()
+                    columns[0].append(h[pick])
+                    columns[1].append(np.full(int(pick.sum()), doc_id))
+                    columns[2].append(place[pick])
+                    ends = (first + more + LENGTH)[pick].tolist()
+                    columns[3] += [raw[a:b] for a, b in zip(first[pick].tolist(), ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h, pa.int64()),
-                        part.column(0).take(at),
-                        part.column(1).take(at),
-                        pa.array(firsts, pa.int64()),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    names=["hash", "doc_id", "mark", "first", "stretch"],
+                    [*[pa.array(np.concatenate(c)) for c in columns[:3]], pa.array(columns[3], pa.binary())],
+                    names=["hash", "doc_id", "place", "stretch"],
                 )
 
-    return held.mapInArrow(run, "hash long, doc_id long, mark long, first long, stretch binary")
+    return held.where(of_kind(NARROW_KIND)).mapInArrow(run, "hash long, doc_id long, place long, stretch binary")
+
+
+def window_rows(held: DataFrame) -> DataFrame:
+    """(a, b, doc_id, place): two digests of each window of the stretches whose windows meet one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                ids, nths = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for doc_id, own, text, (place, kind) in zip(
+                    ids, nths, part.column(2).to_pylist(), entries(part.column(3), ("place", "kind")), strict=True
+                ):
+                    nth, first, more = run_of(place)
+                    pick = np.flatnonzero((kind == WIDE_KIND) & (nth == own))
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    for low in range(0, len(pick), 4096):
+                        some = pick[low : low + 4096]
+                        n = more[some] + 1
+                        start = np.repeat(first[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        size = n + LENGTH - 1
+                        ends = np.cumsum(size)
+                        bytes_at = np.repeat(first[some] - ends + size, size) + np.arange(ends[-1])
+                        cut = data[bytes_at]
+                        at = np.repeat(ends - size - np.cumsum(n) + n, n) + np.arange(n.sum())
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[pa.array(d.of(cut)(at, at + LENGTH).view(np.int64)) for d in (DIGEST, OTHER_DIGEST)],
+                                pa.array(np.full(len(at), doc_id)),
+                                pa.array(place_of(np.full(len(at), own), start, np.zeros(len(at), np.int64))),
+                            ],
+                            names=["a", "b", "doc_id", "place"],
+                        )
+
+    return held.where(of_kind(WIDE_KIND)).mapInArrow(run, "a long, b long, doc_id long, place long")
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """(doc_id, place) of windows (a, b, doc_id, place) that have an equal one with an earlier place."""
+    low = windows.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("low"), F.count(F.lit(1)).alias("n"))
+    own = F.struct("doc_id", "place")
+    return windows.join(low.where("n > 1").select("a", "b", "low"), ["a", "b"]).where(own != F.col("low")).select("doc_id", "place")
 
 
 class Block:
     """Stretches, in order of hash, document and place, whose repeats are found together."""
 
     def __init__(self):
-        self.rows: list[tuple[int, int, int, int, bytes]] = []
-        self.last: tuple | None = None
-        self.distinct: set[bytes] = set()  # the stretches of the last hash
-        self.copies: list[tuple[int, int, int, int]] = []
+        self.rows: list[tuple[int, int, int, bytes]] = []
         self.size = 0
-        self.seen = np.empty(0, np.uint64)  # windows of the last hash, if it began in an earlier block
-        self.seen_hash = None
-
-    def add(self, row: tuple[int, int, int, int, bytes]) -> None:
-        if self.last == row[:4]:  # a repeated row of the table is one document
-            return
-        if self.last is None or self.last[0] != row[0]:
-            self.distinct.clear()
-        self.last = row[:4]
-        if row[4] in self.distinct:  # a whole stretch again: one of its kind is enough in a block
-            self.copies.append((row[1], row[2], row[3], row[3] + len(row[4])))
-            return
-        self.distinct.add(row[4])
+
+    def add(self, row: tuple[int, int, int, bytes]) -> None:
         self.rows.append(row)
-        self.size += len(row[4])
+        self.size += len(row[3])
 
-    def settle(self, goes_on: bool) -> list[tuple[int, int, int, int]]:
-        """The repeats (doc_id, mark, begin, end); goes_on: the last hash has more rows."""
-        out, self.copies = self.copies, []
+    def settle(self) -> tuple[list[int], list[int]]:
+        """The repeats: ids and places."""
         if not self.rows:
-            return out
-        lens = np.array([len(r[4]) for r in self.rows])
+            return [], []
+        lens = np.array([len(r[3]) for r in self.rows])
         ends = np.cumsum(lens)
-        text = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8)
+        text = np.frombuffer(b"".join(r[3] for r in self.rows), np.uint8)
         place = np.arange(len(text)) - np.repeat(ends - lens, lens)
-        starts = place <= np.repeat(lens, lens) - LENGTH
-        marks = repeat_marks(text, starts)
-        if self.seen_hash == self.rows[0][0]:
-            marks = self.across(self.seen_hash, text, lens, starts, marks)
-        if goes_on and self.seen_hash != self.rows[-1][0]:
-            marks = self.across(self.rows[-1][0], text, lens, starts, marks)
-        if not goes_on:
-            self.seen, self.seen_hash = np.empty(0, np.uint64), None
+        marks = repeat_marks(text, place <= np.repeat(lens, lens) - LENGTH)
         edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
-        rows = np.searchsorted(ends, edges[::2], side="right").tolist()
+        rows = np.searchsorted(ends, edges[::2], side="right")
         # a run of marks stays in its stretch, since a stretch ends with places that start no window
-        for i, a, b in zip(rows, edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            _, doc_id, mark, begin, _ = self.rows[i]
-            low = begin + a - int(ends[i] - lens[i])
-            out.append((doc_id, mark, low, low + b - a - 1 + LENGTH))
+        nth, first, _ = run_of(np.array([self.rows[i][2] for i in rows.tolist()], np.int64))
+        begin = first + edges[::2] - (ends - lens)[rows]
+        out = [self.rows[i][1] for i in rows.tolist()], place_of(nth, begin, edges[1::2] - edges[::2] - 1).tolist()
         self.rows, self.size = [], 0
         return out
 
-    def across(self, h: int, text: np.ndarray, lens: np.ndarray, starts: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """marks, with windows that an earlier block of the same hash held."""
-        part = gram_hashes(np.r_[text, np.zeros(64, np.uint8)], 6)
-        own = np.repeat(np.array([r[0] == h for r in self.rows]), lens) & starts
-        at = np.flatnonzero(own)
-        keys = scrambled(part[at]) * FACTOR + part[np.minimum(at + LENGTH - 64, len(part) - 1)]
-        if h == self.seen_hash and len(self.seen):
-            near = np.minimum(np.searchsorted(self.seen, keys), len(self.seen) - 1)
-            marks = marks.copy()
-            marks[at] |= self.seen[near] == keys
-            keys = np.r_[self.seen, keys]
-        self.seen, self.seen_hash = np.unique(keys), h
-        return marks
-
-
-def repeat_rows(stretches: DataFrame) -> DataFrame:
-    """(doc_id, mark, begin, end): runs of bytes that equal windows with an earlier place cover."""
-    ordered = stretches.repartition("hash").sortWithinPartitions("hash", "doc_id", "mark", "first")
-
-    def batch_of(found: list) -> pa.RecordBatch:
-        columns = zip(*found, strict=True) if found else [[]] * 4
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["doc_id", "mark", "begin", "end"]
-        )
+
+def repeated_runs(stretches: DataFrame) -> DataFrame:
+    """(doc_id, place): runs of windows of the stretches that have an equal one with an earlier place."""
+    ordered = stretches.repartition("hash").sortWithinPartitions("hash", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
+        def settled() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in block.settle()], names=["doc_id", "place"])
+
+        block, last = Block(), None
         for batch in batches:
-            found = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if block.size >= BLOCK:
-                    found += block.settle(row[0] == block.last[0])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if block.size >= BLOCK and row[0] != last:
+                    yield settled()
+                last = row[0]
                 block.add(row)
-            yield batch_of(found)
-        yield batch_of(block.settle(False))
+        yield settled()
 
-    return ordered.mapInArrow(run, REPEATS)
-
-
-def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(doc_id, mark, shared): the anchors of each document that occur elsewhere too."""
-    rows = anchor_rows(texts)
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("hash"))).where("n > 1")
-    return counted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("hash", "place")).alias("shared"))
+    return ordered.mapInArrow(run, "doc_id long, place long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,24 +380,30 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts count as UTF-8 bytes; a null text is empty.  Which strings repeat is
     judged on the input, not on what is left; overlaps count.  Rows with a null
     id take no part and lose nothing.  Rows that repeat an id and text count as
-    one document with one result; rows that repeat an id with other texts are
-    ordered by a hash of the text.  Other columns are not looked at.
+    one document with one result; an id's different texts are ordered by their
+    bytes.  Texts of any length count whole (one text is one task's work), an
+    empty table gives an empty one, and other columns are not looked at.
     """
-    # a renaming that changes nothing would keep Spark from seeing that both joins read equal exchanges
-    as_is = id_col == "doc_id" and docs.schema[id_col].dataType == T.LongType()
+    # a renaming that changes nothing would keep Spark from seeing that the joins read equal exchanges
+    as_is = id_col == "doc_id" and docs.schema[id_col].dataType.typeName() == "long"
     base = docs.select(
-        F.col("doc_id") if as_is else F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    ).select("doc_id", F.xxhash64("text").bitwiseAND(MARK_BITS).alias("mark"), "text")
-    # one exchange of the texts, which both joins read
-    known = base.where("doc_id is not null").repartition("doc_id", "mark")
-    scanned = base.where("doc_id is not null")
-    held = known.join(shared_anchors(scanned), ["doc_id", "mark"])
-    repeats = repeat_rows(stretch_rows(held.select("doc_id", "mark", "text", "shared")))
-    runs = repeats.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
-    whole = known.join(runs, ["doc_id", "mark"], "left").unionByName(
-        base.where("doc_id is null").withColumn("runs", F.lit(None).cast("array<struct<begin:bigint,end:bigint>>"))
+        F.col("doc_id") if as_is else F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+    )
+    some = base.where("doc_id is not null")
+    by_text = Window.partitionBy("doc_id").orderBy("text")
+    known = some.withColumns(
+        {"nth": F.dense_rank().over(by_text) - 1, "twin": F.row_number().over(by_text) > F.rank().over(by_text)}
+    )
+    met = met_anchors(anchor_rows(known.where("not twin"), hot_hashes(some)))
+    held = known.where("not twin").join(met, "doc_id").select("doc_id", "nth", "text", "met")
+    runs = repeated_runs(stretch_rows(held)).unionByName(repeated_windows(written(window_rows(held))))
+    runs = runs.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
+    whole = known.join(met, "doc_id", "left").join(runs, "doc_id", "left").select("doc_id", "nth", "text", "met", "runs")
+    nothing = base.where("doc_id is null").select(
+        "doc_id", F.lit(0).alias("nth"), "text", F.lit(None).cast(met.schema["met"].dataType).alias("met"), F.lit(None).cast("array<bigint>").alias("runs")
     )
-    return whole.select("doc_id", "text", "runs").mapInArrow(cut_out, CUT)
+    return whole.unionByName(nothing).mapInArrow(cut_out, CUT)
 
 
 CUT = "doc_id long, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary"
@@ -326,20 +412,23 @@ ARROW_RUNS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 2):
             sizes, removed, kept = [], [], []
-            for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            offsets, values = part.column(4).offsets.to_numpy(), part.column(4).values.to_numpy()
+            for i, (own, text, (place, kind)) in enumerate(
+                zip(part.column(1).to_pylist(), part.column(2).to_pylist(), entries(part.column(3), ("place", "kind")), strict=True)
+            ):
                 raw = text.encode()
-                merged: list[list[int]] = []
-                for begin, end in sorted((r["begin"], r["end"]) for r in runs or ()):
-                    if merged and begin <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], end)
-                    else:
-                        merged.append([begin, end])
-                edges = [0, *(x for run in merged for x in run), len(raw)]
+                nth, first, more = run_of(np.r_[place[kind == AGAIN], values[offsets[i] : offsets[i + 1]]])
+                here = np.flatnonzero(nth == own)
+                here = here[np.argsort(first[here], kind="stable")]
+                begin, end = first[here], first[here] + more[here] + LENGTH
+                end = np.maximum.accumulate(end)
+                new = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]]) if len(begin) else np.empty(0, np.int64)
+                begin, end = begin[new].tolist(), end[np.r_[new[1:], len(end)] - 1].tolist() if len(new) else []
                 sizes.append(len(raw))
-                removed.append([{"begin": a, "end": b} for a, b in merged])
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                removed.append([{"begin": a, "end": b} for a, b in zip(begin, end, strict=True)])
+                kept.append(b"".join(raw[a:b] for a, b in zip([0, *end], [*begin, len(raw)], strict=True)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(removed, ARROW_RUNS), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "removed", "kept"],
