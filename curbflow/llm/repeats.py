@@ -37,7 +37,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
-from .shared_tables import written
 
 LENGTH = 100
 GRAM = 32
@@ -397,7 +396,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     met = met_anchors(anchor_rows(known.where("not twin"), hot_hashes(some)))
     held = known.where("not twin").join(met, "doc_id").select("doc_id", "nth", "text", "met")
-    runs = repeated_runs(stretch_rows(held)).unionByName(repeated_windows(written(window_rows(held))))
+    runs = repeated_runs(stretch_rows(held)).unionByName(repeated_windows(window_rows(held)))
     runs = runs.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
     whole = known.join(met, "doc_id", "left").join(runs, "doc_id", "left").select("doc_id", "nth", "text", "met", "runs")
     nothing = base.where("doc_id is null").select(
