@@ -48,8 +48,8 @@ BLOCK = 1 << 19
 #: Kinds of stretches of a hash that a suffix array takes in.
 NARROW = 4096
 #: One document in SAMPLE is asked for the most frequent hashes (at most HOT, if seen HOT_FROM times), which only
-#: decides how rows are dealt: such a hash meets in SALTS parts.
-SAMPLE, HOT, HOT_FROM, SALTS = 64, 256, 64, 16
+#: decides how rows are dealt: such a hash meets in parts, one for each HOT_FROM times, at most SALTS.
+SAMPLE, HOT, HOT_FROM, SALTS = 64, 256, 64, 1024
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A place is a run of window starts of a text: which text of the id, the first start, and how many more follow.
 MORE_BITS, FIRST_BITS, TEXT_BITS = 7, 31, 21
@@ -193,8 +193,8 @@ def run_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 ANCHORS = "hash long, digest long, doc_id long, place long"
 
 
-def anchor_rows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """One row for each anchor of texts (doc_id, nth, text); the hashes in ``hot`` are salted and marked."""
+def anchor_rows(texts: DataFrame, hot: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """One row for each anchor of texts (doc_id, nth, text); the hashes in ``hot`` are marked and salted into so many parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +206,9 @@ def anchor_rows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 h, digest, first, more = (np.concatenate(x) for x in zip(*found, strict=True))
                 place = place_of(nth, first, more)
                 if len(hot):
-                    near = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-                    salt = scrambled(ids[near].view(np.uint64) * FACTOR) % np.uint64(SALTS) + np.uint64(1)
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    near = hot[at] == h
+                    salt = scrambled(ids[near].view(np.uint64) * FACTOR) % parts[at[near]] + np.uint64(1)
                     h[near] = scrambled(h[near].view(np.uint64) + salt * FACTOR).view(np.int64)
                     place[near] |= SALTED
                 yield pa.RecordBatch.from_arrays(
@@ -217,11 +218,14 @@ def anchor_rows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     return texts.where(F.octet_length("text") >= LENGTH).select("doc_id", "nth", "text").mapInArrow(run, ANCHORS)
 
 
-def hot_hashes(texts: DataFrame) -> np.ndarray:
-    """The most frequent hashes of some documents, sorted: at most HOT."""
+def hot_hashes(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent hashes of some documents, sorted, at most HOT; and the number of parts of each."""
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).withColumn("nth", F.lit(0))
-    counted = anchor_rows(some, np.empty(0, np.int64)).groupBy("hash").count().where(F.col("count") >= HOT_FROM)
-    return np.sort(np.array([r["hash"] for r in counted.orderBy(F.desc("count"), "hash").limit(HOT).collect()], np.int64))
+    none = np.empty(0, np.int64)
+    counted = anchor_rows(some, none, none).groupBy("hash").count().where(F.col("count") >= HOT_FROM)
+    rows = sorted((r["hash"], r["count"]) for r in counted.orderBy(F.desc("count"), "hash").limit(HOT).collect())
+    hashes, counts = np.array(rows, np.int64).reshape(-1, 2).T
+    return np.ascontiguousarray(hashes), np.minimum(1 + counts // HOT_FROM, SALTS).astype(np.uint64)
 
 
 def met_anchors(rows: DataFrame) -> DataFrame:
@@ -394,7 +398,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = some.withColumns(
         {"nth": F.dense_rank().over(by_text) - 1, "twin": F.row_number().over(by_text) > F.rank().over(by_text)}
     )
-    met = met_anchors(anchor_rows(known.where("not twin"), hot_hashes(some)))
+    met = met_anchors(anchor_rows(known.where("not twin"), *hot_hashes(some)))
     held = known.where("not twin").join(met, "doc_id").select("doc_id", "nth", "text", "met")
     runs = repeated_runs(stretch_rows(held)).unionByName(repeated_windows(window_rows(held)))
     runs = runs.groupBy("doc_id").agg(F.collect_list("place").alias("runs"))
