@@ -35,7 +35,15 @@ EXACT = 2.0**28
 #: Fixed value: the published split pattern of this family of vocabularies, for lower-case text.
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: A worker forgets the words that it knows beyond this many.
-KNOWN_LIMIT = 300_000
+KNOWN_LIMIT = 400_000
+
+
+@lru_cache(maxsize=1)
+def piece_classes() -> np.ndarray:
+    """By code point as far as lower-casing Latin letters leads: 0 white space, 1 letter, 2 number, 3 other."""
+    kinds = [regex.compile(k) for k in (r"\s", r"\p{L}", r"\p{N}")]
+    found = [[bool(k.match(chr(c))) for c in range(0x2C70)] for k in kinds]
+    return np.select(found, (0, 1, 2), 3).astype(np.uint8)
 
 
 class WordEncoder:
@@ -43,8 +51,9 @@ class WordEncoder:
 
     The vocabulary lower-cases, drops white space and joins nothing over it,
     so a text's ids are those of its words (cut at ASCII white space).  Words in
-    plain Latin letters are cut and merged here, all new ones at once; words
-    with other characters or a special string go to the library, one by one.
+    Latin letters are cut and merged here, all new ones at once as one ragged
+    array; words with an apostrophe are cut by the pattern; words with other
+    characters or a special string go to the library, one by one.
     """
 
     def __init__(self, path: str):
@@ -56,21 +65,46 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        pieces: dict[bytes, list[str]] = {}
-        for w in words:
-            text = w.decode()
-            if (w.isascii() or max(text) < "\u0250" and "\u0130" not in text) and "<|" not in text:
-                text = text.lower()
-                pieces[w] = [text] if text.isalpha() else WORD_SPLIT.findall(text)
-            else:
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                self.known[w] = np.array(ids, "<u4").tobytes()
-        new = list(set().union(*pieces.values()))
-        place, ids = self.merger.merge([p.encode() for p in new])
-        edges = (np.r_[0, np.cumsum(np.bincount(place, minlength=len(new)))] * 4).tolist()
+        joined = b"\n".join(words)
+        raw = np.frombuffer(joined, np.uint8)
+        after = np.r_[raw[1:], np.uint8(0)]
+        # beyond U+024F, the one letter that lower-cases to two, the beginning of a special string
+        odd = (raw >= 0xCA) | ((raw == 0xC9) & (after >= 0x90)) | ((raw == 0xC4) & (after == 0xB0)) | ((raw == 60) & (after == 124))
+        starts = np.cumsum(raw == 10)
+        kind = np.zeros(len(words), np.uint8)
+        kind[starts[raw == 39]] = 1
+        kind[starts[odd]] = 2
+        for i in np.flatnonzero(kind == 2).tolist():
+            ids = self.library.encode(words[i].decode(), add_special_tokens=False).ids
+            self.known[words[i]] = np.array(ids, "<u4").tobytes()
+        plain = [words[i] for i in np.flatnonzero(kind == 0).tolist()] if kind.any() else words
+        if plain:
+            self.learn_plain(plain)
+        cut = [words[i] for i in np.flatnonzero(kind == 1).tolist()]
+        if cut:
+            pieces = [WORD_SPLIT.findall(w.decode().lower()) for w in cut]
+            flat = [p.encode() for found in pieces for p in found]
+            self.remember(cut, np.repeat(np.arange(len(cut)), [len(p) for p in pieces]), *self.merger.merge(flat))
+
+    def learn_plain(self, words: list[bytes]) -> None:
+        """Cuts where the class of characters changes, and around each number."""
+        text = b"\n".join(words).decode().lower()
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        size = 1 + (points >= 0x80) + (points >= 0x800)
+        kind = piece_classes()[points]
+        inside = kind > 0
+        begins = inside & ((kind == 2) | np.r_[True, kind[1:] != kind[:-1]])
+        raw = np.frombuffer(text.encode(), np.uint8)[np.repeat(inside, size)]
+        word = np.cumsum(points == 10)[begins]
+        at = np.flatnonzero(begins[inside])
+        lens = np.add.reduceat(size[inside], at) if len(at) else np.empty(0, np.int64)
+        self.remember(words, word, *self.merger.merge_ragged(raw, lens))
+
+    def remember(self, words: list[bytes], word: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the words; ``word`` is that of each piece, ``place`` the piece of each id."""
+        edges = (np.r_[0, np.cumsum(np.bincount(word[place], minlength=len(words)))] * 4).tolist()
         raw = ids.astype("<u4").tobytes()
-        of = {p: raw[a:b] for p, a, b in zip(new, edges, edges[1:], strict=False)}
-        self.known.update((w, b"".join([of[p] for p in found])) for w, found in pieces.items())
+        self.known.update(zip(words, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         """The ids of each text, then the end id."""

@@ -77,13 +77,15 @@ class RankMerger:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of (non-empty) byte strings: the places of their strings, in order, and their ids."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
+        return self.merge_ragged(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def merge_ragged(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for byte strings that lie in one array, with their lengths."""
         done_seq, done_sym = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        raw = np.frombuffer(b"".join(words), np.uint8)
         sym = self.first[raw]
         ends = np.cumsum(lens) - 1
         sym[ends] = self.last[raw[ends]]
-        seq = np.repeat(np.arange(len(words)), lens)
+        seq = np.repeat(np.arange(len(lens)), lens)
         rank = np.full(len(sym), NO_RANK, np.int32)
         same = np.flatnonzero(seq[:-1] == seq[1:])
         rank[same] = self.ranks(sym[same], sym[same + 1])
