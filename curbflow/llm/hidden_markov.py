@@ -15,6 +15,9 @@ has SHARD_TOKENS tokens).  Word counts of all shards meet by word and go back to
 the shards.  Then each Baum-Welch round runs forward-backward over all training
 tokens where they lie, and only expected counts by symbol and state are shuffled
 and summed.  Scoring runs the scaled forward recursion over each whole text.
+
+Skew: a word has one row a shard at most, so the commonest word's share of the
+rows that meet by word is one over a shard's number of distinct words.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
-from .shared_tables import written
+from .shared_tables import forget, written
 
 #: Tokens of a shard at most, but for one longer text.
 SHARD_TOKENS = 1_500_000
@@ -38,8 +41,9 @@ SHARD_TOKENS = 1_500_000
 HEAD, SHARED = 8192, 8191
 UNKNOWN = HEAD + SHARED  # the symbol of a word that training has not seen
 SINGLE = 1 << 15  # marks a token whose word training saw once
-#: Training cuts texts into sequences of so many tokens; scoring never cuts.
-CHUNK = 256
+#: Training counts texts in pieces of so many tokens, each read with MARGIN tokens more on both sides, from which the
+#: states at its edges are known; only a text's beginning counts as a start.  Scoring never cuts.
+CHUNK, MARGIN = 512, 32
 #: Texts whose sequences run side by side in training.
 GROUP = 1024
 DISCOUNT = 0.5
@@ -50,6 +54,17 @@ CODED = (
 )
 
 
+def squeezed(codes: np.ndarray) -> bytes:
+    """32-bit codes, compressed byte by byte of the number, so that less is shuffled."""
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(raw: pa.Buffer, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def coded_shards(texts: DataFrame) -> DataFrame:
     """Shards of texts (doc_id, text, held): tokens as places in the shard's word list, training counts by word."""
 
@@ -69,7 +84,7 @@ def coded_shards(texts: DataFrame) -> DataFrame:
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([held], pa.list_(pa.bool_())),
                     pa.array([lens], pa.list_(pa.int32())),
-                    pa.array([flat.astype("<u4").tobytes()], pa.binary()),
+                    pa.array([squeezed(flat)], pa.binary()),
                     pa.array([list(place)], pa.list_(pa.binary())),
                     pa.array([counts], pa.list_(pa.int64())),
                 ],
@@ -126,8 +141,14 @@ def count_words(shards: DataFrame) -> tuple[DataFrame, Vocabulary]:
     ).select("shard", "at", "count", F.when(F.col("nth") == 1, F.col("word")).alias("word"))
     counted = written(counted)
     known = counted.where("word is not null and count > 0").select("word", "count")
-    top = known.orderBy(F.desc("count"), "word").limit(HEAD).collect()
-    head = {bytes(r["word"]): i for i, r in enumerate(top)}
+    # the head is bounded: words from a size class on, of which there are at most HEAD
+    size = F.floor(F.log2("count") * 16)
+    room, least = HEAD, 1 << 20
+    for r in sorted(known.groupBy(size.alias("size")).count().collect(), reverse=True):
+        room -= r["count"]
+        least = r["size"] if room >= 0 else least
+    top = known.where(size >= least).select("word").collect()
+    head = {w: i for i, w in enumerate(sorted(bytes(r["word"]) for r in top))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, types = np.zeros(UNKNOWN, np.int64), np.zeros(UNKNOWN, np.int64)
@@ -178,8 +199,8 @@ def with_symbols(shards: DataFrame, counted: DataFrame, vocabulary: Vocabulary)
                 rest[c == 0] = 0
                 symbol[c == 0] = UNKNOWN
                 symbol[c == 1] |= SINGLE
-                codes = np.frombuffer(row.column("codes")[0].as_buffer(), "<u4")
                 lens = row.column("lens")[0].values.to_numpy()
+                codes = unsqueezed(row.column("codes")[0].as_buffer(), int(lens.sum()))
                 begin = np.cumsum(lens) - lens
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -208,35 +229,42 @@ class HiddenMarkov:
         return len(self.start)
 
 
-def padded(symbols: np.ndarray, lens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of at most ``width`` symbols, longest first, one column each; and their lengths."""
-    at = np.arange(len(symbols)) - np.repeat(np.cumsum(lens) - lens, lens)
-    pieces = -(-lens // width)
-    piece = np.repeat(np.cumsum(pieces) - pieces, lens) + at // width
-    size = np.bincount(piece, minlength=int(pieces.sum()))
-    order = np.argsort(-size, kind="stable")
-    column = np.empty_like(order)
-    column[order] = np.arange(len(order))
+def padded(symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts with their margins, longest first, one column each; their lengths, and where what counts begins and ends."""
+    pieces = np.maximum(-(-lens // CHUNK), 1)
+    text = np.repeat(np.arange(len(lens)), pieces)
+    low = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * CHUNK
+    high = np.minimum(low + CHUNK, lens[text])
+    begin, end = np.maximum(low - MARGIN, 0), np.minimum(high + MARGIN, lens[text])
+    order = np.argsort(begin - end, kind="stable")
+    text, low, high, begin, end = text[order], low[order], high[order], begin[order], end[order]
+    size = end - begin
+    column = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size)
     table = np.full((int(size.max(initial=0)), len(size)), UNKNOWN, np.int64)
-    table[at % width, column[piece]] = symbols
-    return table, size[order]
+    table[at, column] = symbols[(np.cumsum(lens) - lens)[text][column] + begin[column] + at]
+    return table, size, low - begin, high - begin
 
 
 def expected_counts(model: HiddenMarkov, symbols: np.ndarray, lens: np.ndarray, into: np.ndarray) -> None:
     """Adds to ``into`` the expected counts: symbol rows, then the moves, the starts, and the single words."""
     k = model.states
     emit = model.emit
+    inside = np.linalg.matrix_power(model.move, 64)[0]  # where a piece begins inside a text
+    ends = np.r_[0, np.cumsum(lens)]
     for low in range(0, len(lens), GROUP):
-        a, b = int(lens[:low].sum()), int(lens[: low + GROUP].sum())
-        marked, size = padded(symbols[a:b], lens[low : low + GROUP], CHUNK)
+        group = lens[low : low + GROUP]
+        marked, size, first, last = padded(symbols[ends[low] : ends[min(low + GROUP, len(lens))]], group)
         table, single = marked & (SINGLE - 1), marked >= SINGLE
         steps = len(table)
         active = np.searchsorted(-size, -np.arange(1, steps + 1), side="right")
+        counts = (np.arange(steps)[:, None] >= first) & (np.arange(steps)[:, None] < last)
         forward = np.zeros((steps, len(size), k))
         scale = np.ones((steps, len(size)))
+        start = np.where((first == 0)[:, None], model.start, inside)
         for t in range(steps):
             n = active[t]
-            now = (model.start if t == 0 else forward[t - 1, :n] @ model.move) * emit[table[t, :n]]
+            now = (start if t == 0 else forward[t - 1, :n] @ model.move) * emit[table[t, :n]]
             total = np.maximum(now.sum(1), 1e-300)
             forward[t, :n] = now / total[:, None]
             scale[t, :n] = total
@@ -245,17 +273,16 @@ def expected_counts(model: HiddenMarkov, symbols: np.ndarray, lens: np.ndarray,
             n = active[t]
             state = forward[t, :n] * later[:n]
             state /= np.maximum(state.sum(1), 1e-300)[:, None]
-            into[UNKNOWN + 2 + k] += state[single[t, :n]].sum(0)
+            into[UNKNOWN + 2 + k] += state[single[t, :n] & counts[t, :n]].sum(0)
             if t == 0:
-                into[UNKNOWN + 1 + k] += state.sum(0)
+                into[UNKNOWN + 1 + k] += state[first == 0].sum(0)
                 forward[t, :n] = state
                 break
             seen = emit[table[t, :n]] * later[:n] / scale[t, :n, None]
-            into[UNKNOWN + 1 : UNKNOWN + 1 + k] += model.move * (forward[t - 1, :n].T @ seen)
+            into[UNKNOWN + 1 : UNKNOWN + 1 + k] += model.move * (forward[t - 1, :n].T @ (seen * counts[t, :n, None]))
             later[:n] = seen @ model.move.T
             forward[t, :n] = state  # from here on the states' shares, summed up by symbol below
-        here = np.arange(len(size)) < active[:, None]
-        flat, shares = table[here], forward[here]
+        flat, shares = table[counts], forward[counts]
         for s in range(k):
             into[: UNKNOWN + 1, s] += np.bincount(flat, shares[:, s], UNKNOWN + 1)
 
@@ -319,7 +346,9 @@ def first_model(shards: DataFrame, vocabulary: Vocabulary, k: int, sample_docs:
                 out += [(symbols[ends[j] - lens[j] : ends[j]] & (SINGLE - 1)).astype("<u2").tobytes() for j in rows]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["symbols"])
 
-    some = shards.orderBy(F.xxhash64("shard")).limit(20).select("held", "lens", "symbols").mapInArrow(run, "symbols binary")
+    # the ids of some shards first, so that no shard's content is sorted
+    chosen = [r["shard"] for r in shards.select("shard").orderBy(F.xxhash64("shard")).limit(20).collect()]
+    some = shards.where(F.col("shard").isin(chosen)).select("held", "lens", "symbols").mapInArrow(run, "symbols binary")
     texts = [np.frombuffer(r["symbols"], "<u2") for r in some.limit(sample_docs).collect()]
     counts = np.zeros((UNKNOWN + 3 + k, k))
     if texts:
@@ -410,20 +439,27 @@ def hidden_markov_scores(
     the model's log10 probability of the text, base_score that of add-one
     smoothed word counts.  Without training tokens every token is unknown and
     both scores are 0.  Repeated rows count and are scored each on their own; a
-    null id stays null; other columns are not looked at.
+    null id stays null; other columns are not looked at; an empty table gives an
+    empty one.  A text of any length is scored whole, in one task.
     """
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.col(f"`{text_col}`").alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held"),
     )
+    coded, model, vocabulary = trained(texts, states, rounds, sample_docs)
+    return score_texts(coded, model, vocabulary)
+
+
+def trained(texts: DataFrame, states: int, rounds: int, sample_docs: int) -> tuple[DataFrame, HiddenMarkov, Vocabulary]:
+    """The coded shards of texts (doc_id, text, held), the model learned from those not held out, and the vocabulary."""
     shards = written(coded_shards(texts))
     counted, vocabulary = count_words(shards)
     coded = written(with_symbols(shards, counted, vocabulary))
-    if vocabulary.tokens:
-        model = first_model(coded, vocabulary, states, sample_docs)
-        for _ in range(rounds):
-            model = reestimated(baum_welch_round(coded, model), vocabulary, states)
-    else:
-        model = HiddenMarkov(np.ones(1), np.ones((1, 1)), np.vstack([np.zeros((UNKNOWN, 1)), np.ones((1, 1))]))
-    return score_texts(coded, model, vocabulary)
+    forget(shards, counted)
+    if not vocabulary.tokens:
+        return coded, HiddenMarkov(np.ones(1), np.ones((1, 1)), np.vstack([np.zeros((UNKNOWN, 1)), np.ones((1, 1))])), vocabulary
+    model = first_model(coded, vocabulary, states, sample_docs)
+    for _ in range(rounds):
+        model = reestimated(baum_welch_round(coded, model), vocabulary, states)
+    return coded, model, vocabulary

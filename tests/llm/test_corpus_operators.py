@@ -413,3 +413,65 @@ def test_top_products_of_a_repeated_query_id(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"0") % 7 >= 0
+
+
+def test_hidden_markov_scores_equal_a_plain_recursion(docs, rows, monkeypatch):
+    from curbflow.llm import hidden_markov as hm
+
+    monkeypatch.setattr(hm, "SHARD_TOKENS", 400)  # several shards in a task
+    held = F.coalesce(F.col("doc_id"), F.lit(0)) % 7 == 2
+    texts = docs.select("doc_id", "text", held.alias("held"))
+    coded, model, vocabulary = hm.trained(texts, 3, 2, 50)
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in hm.score_texts(coded, model, vocabulary).collect())
+    train = Counter()
+    for r in rows:
+        if (r[0] or 0) % 7 != 2:
+            train.update([*words(r[1]), b""])
+
+    def emission(word):
+        if not train[word]:
+            return model.emit[hm.UNKNOWN]
+        s = vocabulary.symbol(word)
+        return model.emit[s] * (train[word] - hm.DISCOUNT) / vocabulary.symbol_mass[s]
+
+    want = Counter()
+    for doc_id, t, *_ in rows:
+        state, total = model.start, 0.0
+        for i, w in enumerate([*words(t), b""]):
+            state = (state if i == 0 else state @ model.move) * emission(w)
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        want[doc_id, round(total, 6)] += 1
+    assert got == want
+    assert vocabulary.tokens == sum(train.values()) and vocabulary.types == len(train)
+
+
+def test_hidden_markov_expected_counts_equal_plain_ones(monkeypatch):
+    from curbflow.llm import hidden_markov as hm
+
+    monkeypatch.setattr(hm, "CHUNK", 40)
+    rng = np.random.default_rng(3)
+    k, lens = 3, np.array([150, 1, 40, 97, 41])
+    symbols = rng.integers(0, 6, lens.sum())
+    emit = np.zeros((hm.UNKNOWN + 1, k))
+    emit[:6] = rng.dirichlet(np.ones(6), k).T
+    model = hm.HiddenMarkov(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emit)
+    got = np.zeros((hm.UNKNOWN + 3 + k, k))
+    hm.expected_counts(model, symbols, lens, got)
+    want = np.zeros_like(got)
+    at = 0
+    for n in lens.tolist():
+        s = symbols[at : at + n]
+        at += n
+        f, b = np.zeros((n, k)), np.ones((n, k))
+        f[0] = model.start * emit[s[0]]
+        for t in range(1, n):
+            f[t] = f[t - 1] @ model.move * emit[s[t]]
+        for t in range(n - 2, -1, -1):
+            b[t] = model.move @ (emit[s[t + 1]] * b[t + 1])
+        p = f[-1].sum()
+        np.add.at(want, s, f * b / p)
+        want[hm.UNKNOWN + 1 + k] += f[0] * b[0] / p
+        for t in range(1, n):
+            want[hm.UNKNOWN + 1 : hm.UNKNOWN + 1 + k] += model.move * np.outer(f[t - 1], emit[s[t]] * b[t]) / p
+    assert np.allclose(got, want, atol=1e-6)
