@@ -44,6 +44,43 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+#: Keys that rows repeat most, at most so many and each so often at least, are looked up in a broadcast table.
+HEAVY_KEYS, HEAVY_FROM = 1000, 256
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """rows with the other columns of values, which has one row for each key; rows with a null key stay as they are.
+
+    The most frequent keys of rows, HEAVY_KEYS at most, are looked up in a
+    broadcast table, so that a key with a third of all rows isn't one task's;
+    the others meet by key.  ``counts`` (key, n) are the rows by key, if known;
+    ``how`` says what becomes of rows whose key has no value (left or inner).
+    """
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), key).limit(HEAVY_KEYS).select(key).collect()
+    others = [c for c in values.columns if c != key]
+    if not top:
+        light, out = rows, []
+    else:
+        spark = rows.sparkSession
+        keys = spark.createDataFrame(top, values.select(key).schema)
+        heavy = spark.createDataFrame(
+            values.join(F.broadcast(keys), key, "left_semi").collect(), values.schema
+        ).withColumn("__heavy", F.lit(True))
+        marked = rows.join(F.broadcast(keys.withColumn("__asked", F.lit(True))), key, "left")
+        light = marked.where("__asked is null").drop("__asked")
+        out = [marked.where("__asked").drop("__asked").join(F.broadcast(heavy), key, how).drop("__heavy")]
+    if how == "left":
+        out.append(light.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in others]))
+    out.append(light.where(F.col(key).isNotNull()).join(values, key, how))
+    columns = [key, *[c for c in rows.columns if c != key], *others]
+    both = out[0].select(*columns)
+    for part in out[1:]:
+        both = both.unionByName(part.select(*columns))
+    return both
+
+
 def give_back() -> None:
     """Frees what a task leaves behind: its worker serves other tasks, and stages with memory of their own."""
     pa.default_memory_pool().release_unused()

@@ -11,11 +11,13 @@
    the collision-corrected Jaccard estimate: a node joins the leaders that may
    have a common neighbour with it (one of those that are connected already),
    and leads itself if none is close.  That costs no pairs of members, and two
-   similar members always meet a common leader.
+   similar members always meet a common leader.  A large bucket is dealt into
+   parts, whose leaders meet afterwards.
 4. Connected leaders and members form candidate clusters.  In each cluster the
-   full sets are intersected exactly, in blocks of at most BLOCK nodes (larger
-   clusters as pairs of blocks, each its own group), and only links that span
-   what is linked are returned.
+   full sets are intersected exactly, in blocks of about BLOCK nodes.  Blocks of
+   a larger cluster share some hubs, which connect near-copies; only nodes that
+   stay outside the cluster's largest component meet all its blocks.  Links that
+   span what is linked are returned.
 5. The links' connected components are the groups.
 """
 
@@ -26,12 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices
+from .common import give_back, looked_up, slices
 from .components import connected_components
-from .shared_tables import written
+from .shared_tables import forget, written
 
 REGISTERS = 128
 BUCKET_BITS = 7
@@ -42,8 +44,12 @@ BAND_ROWS = 5
 #: Two sets with distance 0.15 or less can differ by so much in their distance to a leader, and
 #: the estimate's standard error is at most 0.044.
 CLOSE, REACHABLE = 0.75, 0.45
-#: Nodes of a cluster that are intersected as one matrix.
-BLOCK = 256
+#: The same between leaders of different parts of a bucket, whose followers may be similar.
+LEADERS_REACHABLE = 0.2
+#: Nodes of a part of a bucket.
+PART = 2048
+#: Nodes of a cluster that are intersected as one matrix, and nodes of a larger cluster that all its blocks hold.
+BLOCK, HUBS = 256, 64
 #: A worker forgets the word hashes that it knows beyond this many.
 KNOWN_LIMIT = 300_000
 
@@ -152,28 +158,25 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "bucket long, node binary")
 
 
-def candidate_edges(nodes: DataFrame, reachable: float = REACHABLE) -> DataFrame:
-    """(a, b): edges that connect each node of a bucket with the leaders that may share a neighbour with it."""
-    band = bands(nodes)
-    met = (
-        band.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where(F.col("low") != F.col("high"))
-        .select("bucket")
-    )
-    rows = band.join(met, "bucket", "left_semi").join(nodes.select("node", "sketch"), "node")
-    # a bucket's rows lie together and in order, and are read one by one
-    sorted_rows = rows.select("bucket", "node", "sketch").repartition("bucket").sortWithinPartitions("bucket", "node")
+def leader_edges(rows: DataFrame, reachable: float) -> DataFrame:
+    """(bucket, a, b) of rows (bucket, parts, part, node, sketch), part by part.
+
+    a and b are an edge between a node and a leader of its part that may share a
+    neighbour with it; in buckets of several parts also (bucket, leader, null).
+    """
+    ordered = rows.select("bucket", "part", "parts", "node", "sketch").repartition("bucket", "part")
+    # a part's rows lie together and in order, and are read one by one
+    ordered = ordered.sortWithinPartitions("bucket", "part", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, names, leaders, n = None, [], np.empty((16, REGISTERS), np.uint16), 0
+        place, names, leaders, n = None, [], np.empty((16, REGISTERS), np.uint16), 0
         group = np.empty(16, np.int64)  # of each leader: leaders that the edges so far connect share one
         for batch in batches:
-            a, b = [], []
-            columns = (batch.column(c).to_pylist() for c in ("bucket", "node", "sketch"))
-            for key, node, sketch in zip(*columns, strict=True):
-                if key != bucket:
-                    bucket, names, n = key, [], 0
+            buckets, a, b = [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "part", "parts", "node", "sketch"))
+            for bucket, part, parts, node, sketch in zip(*columns, strict=True):
+                if (bucket, part) != place:
+                    place, names, n = (bucket, part), [], 0
                 regs = np.frombuffer(sketch, np.uint16)
                 close = False
                 if n:
@@ -183,6 +186,7 @@ def candidate_edges(nodes: DataFrame, reachable: float = REACHABLE) -> DataFrame
                     groups, at = np.unique(group[near], return_index=True)
                     a += [node] * len(at)
                     b += [names[i] for i in near[at].tolist()]
+                    buckets += [bucket] * len(at)
                     group[:n][np.isin(group[:n], groups)] = groups[0] if len(groups) else -1
                 if not close:
                     if n == len(leaders):
@@ -192,9 +196,41 @@ def candidate_edges(nodes: DataFrame, reachable: float = REACHABLE) -> DataFrame
                     group[n] = groups[0] if n and len(groups) else n
                     names.append(node)
                     n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    if parts > 1:
+                        buckets.append(bucket)
+                        a.append(node)
+                        b.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "a", "b"]
+            )
+
+    return ordered.mapInArrow(run, "bucket long, a binary, b binary")
 
-    return sorted_rows.mapInArrow(run, "a binary, b binary").distinct()
+
+def candidate_edges(nodes: DataFrame, slack: float = 0.0) -> DataFrame:
+    """(a, b): edges that connect each node of a bucket with the leaders that may share a neighbour with it.
+
+    A bucket of more than PART nodes is dealt into parts; the parts' leaders meet
+    afterwards.  Two similar nodes of different parts have leaders that are less
+    alike than nodes and leaders are, by the distance of one more step.
+    """
+    band = bands(nodes)
+    met = written(
+        band.groupBy("bucket")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("low") != F.col("high"))
+        .select("bucket", "n")
+    )
+    sketches = nodes.select("node", "sketch")
+    rows = looked_up(band, met, "bucket", met, "inner").join(sketches, "node")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    first = written(leader_edges(rows, REACHABLE - slack))
+    leaders = first.where("b is null").select("bucket", F.col("a").alias("node")).join(sketches, "node")
+    second = leader_edges(leaders.withColumns({"parts": F.lit(1), "part": F.lit(0)}), LEADERS_REACHABLE - slack)
+    edges = written(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")).distinct())
+    forget(first, met)
+    return edges
 
 
 def linked_in(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
@@ -233,23 +269,8 @@ def linked_in(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     return links
 
 
-def verified_links(members: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) links of members (cluster, node, hashes), clusters being compared whole or by pairs of blocks."""
-    size = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("node"), blocks)
-    placed = members.join(size, "cluster").withColumn("blocks", blocks).withColumn("own", own)
-    others = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0)))
-    # with k > 1 blocks each pair of different blocks is a group; a block meets itself in each of its groups
-    group = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))))
-    group = group.otherwise(
-        F.transform(
-            F.filter(others, lambda x: x != F.col("own")),
-            lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")),
-        )
-    )
-    spread = placed.select("cluster", "node", "hashes", F.explode(group).alias("g"))
-    rows = spread.select("cluster", "g.i", "g.j", "node", "hashes").repartition("cluster", "i", "j")
+def links_in_groups(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) links among the sets of each group of rows (cluster, i, j, node, hashes), enough to span them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, sets = None, [], []
@@ -259,26 +280,71 @@ def verified_links(members: DataFrame, threshold: int) -> DataFrame:
             if len(sets) > 1:
                 found.extend((names[i], names[j]) for i, j in linked_in(sets, threshold))
 
+        def links() -> pa.RecordBatch:
+            out = [pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]
+            found.clear()
+            return pa.RecordBatch.from_arrays(out, names=["a", "b"])
+
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "hashes"))
             for cluster, i, j, node, hashes in zip(*columns, strict=True):
                 if (cluster, i, j) != key:
                     settle()
                     key, names, sets = (cluster, i, j), [], []
-                names.append(node)
-                sets.append(np.frombuffer(hashes, np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())],
-                names=["a", "b"],
-            )
-            found.clear()
+                if not names or names[-1] != node:
+                    names.append(node)
+                    sets.append(np.frombuffer(hashes, np.uint64))
+            yield links()
         settle()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"]
-        )
+        yield links()
+
+    placed = rows.select("cluster", "i", "j", "node", "hashes").repartition("cluster", "i", "j")
+    return placed.sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "a binary, b binary").distinct()
+
 
-    ordered = rows.sortWithinPartitions("cluster", "i", "j", "node")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+def blocks_of(count: Column, node: Column, size: int) -> tuple[Column, Column]:
+    """The number of blocks of about ``size`` for so many nodes, and a node's block."""
+    blocks = F.greatest(F.ceil(count / size).cast("long"), F.lit(1).cast("long"))
+    return blocks, F.pmod(F.xxhash64(node), blocks)
+
+
+def verified_links(members: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) links of members (cluster, node, hashes) that connect what is linked.
+
+    First each block of a cluster is compared in itself and with the cluster's
+    hubs, some HUBS of its nodes, which connects a cluster of near-copies at a
+    cost in proportion to its size.  What that leaves outside a cluster's largest
+    component is then compared with all nodes of the cluster, block by block.
+    """
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    placed = looked_up(members, size, "cluster", size)
+    blocks, own = blocks_of(F.col("n"), F.col("node"), BLOCK)
+    # about HUBS of the nodes of a cluster of more than one block are in each of its blocks
+    hub = (blocks > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(F.floor(F.col("n") / HUBS), F.lit(1))) == 0)
+    everywhere = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    spread = placed.withColumn("i", F.explode(F.when(hub, everywhere).otherwise(F.array(own)))).withColumn("j", F.lit(0).cast("long"))
+    first = written(links_in_groups(spread, threshold))
+    labels = connected_components(first)
+    large = placed.where(F.col("n") > BLOCK).select("cluster", "node", "n")
+    state = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = state.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    main = written(
+        parts.groupBy("cluster").agg(F.max(F.struct("m", "label")).alias("main"), F.first("n").alias("n")).where(F.col("main.m") < F.col("n"))
+    )
+    if main.isEmpty():
+        return first
+    main = main.select("cluster", F.col("main.label").alias("main"), (F.col("n") - F.col("main.m")).alias("rest"))
+    todo = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    todo = looked_up(todo, size, "cluster", size)
+    todo = looked_up(todo, main, "cluster", size, "inner")
+    n_rest, at_rest = blocks_of(F.col("rest"), F.col("node"), BLOCK // 2)
+    _, at = blocks_of(F.col("n"), F.col("node"), BLOCK // 2)
+    left = todo.where(F.col("label") != F.col("main")).withColumn("i", at_rest)
+    n_all, _ = blocks_of(F.col("n"), F.col("node"), BLOCK // 2)
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), n_all - 1)))
+    right = todo.withColumn("j", at).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n_rest - 1)))
+    columns = ["cluster", "i", "j", "node", "hashes"]
+    return first.unionByName(links_in_groups(left.select(*columns).unionByName(right.select(*columns)), threshold))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -320,22 +386,30 @@ def near_duplicates(
     nodes = (
         base.where("doc_id is not null and node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
     )
     nodes = written(nodes)
     # a lower threshold lets linked nodes differ by more in their distance to a leader
-    edges = written(candidate_edges(nodes, REACHABLE - max(0, 85 - threshold) / 100))
+    edges = candidate_edges(nodes, max(0, 85 - threshold) / 100)
     clusters = connected_components(edges).withColumnRenamed("label", "cluster")
     wanted = clusters.join(nodes.select("node", F.col("least_id").alias("doc_id")), "node")
     sets = written(full_sets(docs, wanted, id_col, text_col, shingle))
     links = connected_components(written(verified_links(sets, threshold)))
-    least = nodes.select("node", "least_id")
+    forget(edges, sets)
+    least = nodes.select("node", "least_id", "n")
     reached = links.join(least, "node")
     of_label = reached.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    linked = reached.join(of_label, "label").select("node", "component_id")
-    result = least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "node").join(result, "node", "left")
+    linked = looked_up(reached, of_label, "label").select("node", "component_id")
+    result = written(
+        least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"), "n")
+    )
+    out = looked_up(
+        base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")),
+        result.select("node", "component_id"),
+        "node",
+        result.select("node", "n"),
+    )
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )

@@ -475,3 +475,48 @@ def test_hidden_markov_expected_counts_equal_plain_ones(monkeypatch):
         for t in range(1, n):
             want[hm.UNKNOWN + 1 : hm.UNKNOWN + 1 + k] += model.move * np.outer(f[t - 1], emit[s[t]] * b[t]) / p
     assert np.allclose(got, want, atol=1e-6)
+
+
+def test_near_duplicates_in_small_parts_and_blocks(spark, monkeypatch):
+    """Buckets of several parts, clusters of several blocks with nodes outside the main component, broadcast keys."""
+    from curbflow.llm import common
+    from curbflow.llm import near_duplicates as nd
+
+    for module, name, value in ((nd, "PART", 8), (nd, "BLOCK", 6), (nd, "HUBS", 2), (common, "HEAVY_FROM", 3), (common, "HEAVY_KEYS", 5)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(15)
+    made = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(100)]
+        for i in range(60):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            made.append((1000 * family + i, " ".join(w)))
+    made += [(9000 + i, made[0][1]) for i in range(20)] + [(None, made[0][1]), (9100, None), (9101, "")]
+    got = near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_near(made)
+
+
+def test_repeats_in_small_blocks_and_salted_hashes(spark, monkeypatch):
+    """Every path: suffix arrays over several hashes, windows of wide and of frequent hashes, texts beyond a chunk."""
+    from curbflow.llm import repeats
+
+    for name, value in (("NARROW", 3), ("SAMPLE", 1), ("HOT_FROM", 6), ("BLOCK", 2000), ("CHUNK", 300)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(18)
+    line = "".join(rng.choices("abcdefgh ", k=130))
+    made = [(i, "".join(rng.choices("abé ", k=rng.randrange(200))) + line * (i % 3) + "".join(rng.choices("ab ", k=rng.randrange(200)))) for i in range(60)]
+    made += [(70, "ab" * 900), (71, line * 9), (5, made[6][1]), (5, made[5][1]), (72, made[7][1][:150])]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["kept"]) for r in without_repeats(df).collect())
+    seen, want = set(), {}
+    for i, t in sorted(set(made), key=lambda x: (x[0], x[1].encode())):
+        raw = t.encode()
+        hit = np.zeros(len(raw), bool)
+        for s in range(len(raw) - 99):
+            w = raw[s : s + 100]
+            hit[s : s + 100] |= w in seen
+            seen.add(w)
+        want[i, t] = np.frombuffer(raw, np.uint8)[~hit].tobytes()
+    assert got == Counter((i, want[i, t]) for i, t in made)
