@@ -48,37 +48,48 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
 HEAVY_KEYS, HEAVY_FROM = 1000, 256
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame | None = None, how: str = "left") -> DataFrame:
-    """rows with the other columns of values, which has one row for each key; rows with a null key stay as they are.
+def looked_up(
+    rows: DataFrame, values: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "left"
+) -> DataFrame:
+    """rows with the other columns of values, which has one row for each key; rows with a null key have no value.
 
     The most frequent keys of rows, HEAVY_KEYS at most, are looked up in a
-    broadcast table, so that a key with a third of all rows isn't one task's;
-    the others meet by key.  ``counts`` (key, n) are the rows by key, if known;
-    ``how`` says what becomes of rows whose key has no value (left or inner).
+    broadcast table, and their rows and those with a null key are dealt out by
+    the column ``spread``, so that a key with a third of all rows isn't one
+    task's; the others meet by key.  ``counts`` (key, n) are the rows by key, if
+    known; ``how`` says what becomes of rows whose key has no value (left or
+    inner).
     """
     if counts is None:
         counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), key).limit(HEAVY_KEYS).select(key).collect()
+    frequent = counts.where(F.col(key).isNotNull() & (F.col("n") >= HEAVY_FROM)).orderBy(F.desc("n"), key)
+    top = frequent.limit(HEAVY_KEYS).select(key).collect()
     others = [c for c in values.columns if c != key]
-    if not top:
-        light, out = rows, []
-    else:
+    marked, apart = rows, F.col(key).isNull()
+    if top:
         spark = rows.sparkSession
-        keys = spark.createDataFrame(top, values.select(key).schema)
-        heavy = spark.createDataFrame(
-            values.join(F.broadcast(keys), key, "left_semi").collect(), values.schema
-        ).withColumn("__heavy", F.lit(True))
-        marked = rows.join(F.broadcast(keys.withColumn("__asked", F.lit(True))), key, "left")
-        light = marked.where("__asked is null").drop("__asked")
-        out = [marked.where("__asked").drop("__asked").join(F.broadcast(heavy), key, how).drop("__heavy")]
-    if how == "left":
-        out.append(light.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(values.schema[c].dataType).alias(c) for c in others]))
-    out.append(light.where(F.col(key).isNotNull()).join(values, key, how))
-    columns = [key, *[c for c in rows.columns if c != key], *others]
-    both = out[0].select(*columns)
-    for part in out[1:]:
-        both = both.unionByName(part.select(*columns))
-    return both
+        keys = F.broadcast(spark.createDataFrame(top, values.select(key).schema))
+        held = {r[key]: r for r in values.join(keys, key, "left_semi").collect()}
+        table = [(r[key], r[key] in held, *(held[r[key]][c] if r[key] in held else None for c in others)) for r in top]
+        fields = [
+            values.schema[key],
+            T.StructField("__has", T.BooleanType()),
+            *[T.StructField(f"__of_{c}", values.schema[c].dataType) for c in others],
+        ]
+        heavy = spark.createDataFrame(table, T.StructType(fields))
+        marked = rows.join(F.broadcast(heavy), key, "left")
+        apart = apart | F.col("__has").isNotNull()
+    salt = F.when(apart, 1 + F.pmod(F.xxhash64(spread), F.lit(4096))).otherwise(0)
+    marked = marked.withColumns({"__key": F.when(~apart, F.col(key)), "__salt": salt})
+    found = values.select(
+        F.col(key).alias("__key"), F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__found"), *[F.col(c).alias(f"__{c}") for c in others]
+    )
+    both = marked.join(found, ["__key", "__salt"], "left")
+    has = F.coalesce(F.col("__has"), F.col("__found")) if top else F.col("__found")
+    if how == "inner":
+        both = both.where(has)
+    of = {c: F.when(F.col("__has"), F.col(f"__of_{c}")).otherwise(F.col(f"__{c}")) if top else F.col(f"__{c}") for c in others}
+    return both.select(key, *[c for c in rows.columns if c != key], *[v.alias(c) for c, v in of.items()])
 
 
 def give_back() -> None:

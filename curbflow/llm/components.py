@@ -26,11 +26,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(max_rounds):
         of_b = labels.withColumnRenamed("node", "b")
-        near = looked_up(both, of_b, "b", degrees).groupBy("a").agg(F.min("label").alias("near"))
+        near = looked_up(both, of_b, "b", "a", degrees).groupBy("a").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         joined = written(labels.join(near.withColumnRenamed("a", "node"), "node"))
         new = written(
-            looked_up(joined, jump, "label").select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("old"))
+            looked_up(joined, jump, "label", "node").select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("old"))
         )
         forget(labels, joined)
         done = new.where(F.col("label") != F.col("old")).isEmpty()

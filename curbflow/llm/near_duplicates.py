@@ -222,13 +222,17 @@ def candidate_edges(nodes: DataFrame, slack: float = 0.0) -> DataFrame:
         .select("bucket", "n")
     )
     sketches = nodes.select("node", "sketch")
-    rows = looked_up(band, met, "bucket", met, "inner").join(sketches, "node")
+    rows = looked_up(band, met, "bucket", "node", met, "inner").join(sketches, "node")
     parts = F.ceil(F.col("n") / PART).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     first = written(leader_edges(rows, REACHABLE - slack))
     leaders = first.where("b is null").select("bucket", F.col("a").alias("node")).join(sketches, "node")
     second = leader_edges(leaders.withColumns({"parts": F.lit(1), "part": F.lit(0)}), LEADERS_REACHABLE - slack)
-    edges = written(first.where("b is not null").select("a", "b").unionByName(second.select("a", "b")).distinct())
+    found = first.where("b is not null").select("a", "b").unionByName(second.select("a", "b"))
+    # a node's leaders (a few of each of its buckets) are connected by way of their smallest
+    stars = found.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("leaders"))
+    pairs = F.transform("leaders", lambda x, i: F.struct(F.when(i == 0, F.col("a")).otherwise(x).alias("a"), F.col("leaders")[0].alias("b")))
+    edges = written(stars.select(F.inline(pairs)).distinct())
     forget(first, met)
     return edges
 
@@ -317,7 +321,7 @@ def verified_links(members: DataFrame, threshold: int) -> DataFrame:
     component is then compared with all nodes of the cluster, block by block.
     """
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    placed = looked_up(members, size, "cluster", size)
+    placed = looked_up(members, size, "cluster", "node", size)
     blocks, own = blocks_of(F.col("n"), F.col("node"), BLOCK)
     # about HUBS of the nodes of a cluster of more than one block are in each of its blocks
     hub = (blocks > 1) & (F.pmod(F.xxhash64(F.lit(1), "node"), F.greatest(F.floor(F.col("n") / HUBS), F.lit(1))) == 0)
@@ -335,8 +339,8 @@ def verified_links(members: DataFrame, threshold: int) -> DataFrame:
         return first
     main = main.select("cluster", F.col("main.label").alias("main"), (F.col("n") - F.col("main.m")).alias("rest"))
     todo = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    todo = looked_up(todo, size, "cluster", size)
-    todo = looked_up(todo, main, "cluster", size, "inner")
+    todo = looked_up(todo, size, "cluster", "node", size)
+    todo = looked_up(todo, main, "cluster", "node", size, "inner")
     n_rest, at_rest = blocks_of(F.col("rest"), F.col("node"), BLOCK // 2)
     _, at = blocks_of(F.col("n"), F.col("node"), BLOCK // 2)
     left = todo.where(F.col("label") != F.col("main")).withColumn("i", at_rest)
@@ -399,7 +403,7 @@ def near_duplicates(
     least = nodes.select("node", "least_id", "n")
     reached = links.join(least, "node")
     of_label = reached.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    linked = looked_up(reached, of_label, "label").select("node", "component_id")
+    linked = looked_up(reached, of_label, "label", "node").select("node", "component_id")
     result = written(
         least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"), "n")
     )
@@ -407,6 +411,7 @@ def near_duplicates(
         base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")),
         result.select("node", "component_id"),
         "node",
+        "doc_id",
         result.select("node", "n"),
     )
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
