@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import exact_quantiles
+
 
 def between_dates(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     """Rows from the start date to the last second of the end date; the bounds are literals, so scans can use them."""
@@ -34,7 +36,7 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def fill_median(df: DataFrame, column: str, kind: str = "int") -> DataFrame:
     """Nulls of a column become its exact median, cast to a type; one row is broadcast."""
-    middle = df.agg(F.median(column).alias("__median"))
+    middle = exact_quantiles(df, column, [0.5]).select(F.col("quantiles")[0].alias("__median"))
     filled = df.crossJoin(F.broadcast(middle))
     return filled.withColumn(column, F.coalesce(column, "__median").cast(kind)).drop("__median")
 

@@ -36,8 +36,41 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return stats.unpivot([], columns, "feature", "s").select("feature", "s.*")
 
 
-def five_numbers(c: str) -> Column:
-    return F.percentile(c, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+FIVE = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, quantiles): the exact quantiles of a column, interpolated between neighbours; nulls don't count.
+
+    Values are counted first.  The counts are range-partitioned, a partition
+    learns how many values lie before it (one row for each partition and group),
+    and the neighbours of each quantile are the rows whose range of places holds
+    its place.  No buffer holds a group's values, and no task all of them.
+    Without values there is one row with nulls (by nothing) or no row.
+    """
+    by = by or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    order = [*by, "__v"]
+    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = placed.withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33))
+    sizes = placed.groupBy("__p", *by).agg(F.sum("__n").alias("__size"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("__size").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__p", *by, F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__size").over(group).alias("__all"))
+    inside = Window.partitionBy("__p", *by).orderBy("__v")
+    ranked = placed.withColumn("__upto", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.join(starts if by else F.broadcast(starts), ["__p", *by])
+    end = F.col("__start") + F.col("__upto")
+    picks = []
+    for i, q in enumerate(shares):
+        at = F.lit(q) * (F.col("__all") - 1)
+        for name, place in (("a", F.floor(at)), ("b", F.ceil(at))):
+            held = (place < end) & (place >= end - F.col("__n"))
+            picks.append(F.max(F.when(held, F.col("__v").cast("double"))).alias(f"__{name}{i}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"__f{i}"))
+    row = ranked.groupBy(*by).agg(*picks)
+    of = [F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__f{i}") for i in range(len(shares))]
+    return row.select(*by, F.array(*of).alias("quantiles"))
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,7 +99,7 @@ def varying_in_duplicates(df: DataFrame, key: str, columns: list[str]) -> DataFr
     return row.unpivot([], columns, "feature", "varies")
 
 
-def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+def histogram(df: DataFrame, column: str, low: float | Column, high: float | Column, bins: int) -> DataFrame:
     """(bin, n) of equal-width bins from 1; the upper bound belongs to the last bin, values outside are left out."""
     inside = df.where((F.col(column) >= low) & (F.col(column) <= high))
     place = F.least(F.floor((F.col(column) - low) / ((high - low) / bins)) + 1, F.lit(bins))
@@ -75,7 +108,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def above_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """One row: the exact quantile and how many rows lie above it."""
-    cut = F.broadcast(df.agg(F.percentile(column, q).alias("threshold")))
+    cut = F.broadcast(exact_quantiles(df, column, [q]).select(F.col("quantiles")[0].alias("threshold")))
     return df.crossJoin(cut).groupBy("threshold").agg(F.count_if(F.col(column) > F.col("threshold")).alias("n_above"))
 
 

@@ -7,6 +7,8 @@ from math import radians, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbflow.sources.scratch import checkpointed
+
 #: The WGS84 / GRS80 ellipsoid's half axis and flattening (they agree to the millimetre), UTM scale.
 HALF_AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
 
@@ -83,6 +85,29 @@ def usable_parts(parts: Column) -> Column:
     return F.when(F.size(lines) >= 1, lines)
 
 
+def repaired_line(coordinates: Column) -> tuple[Column, Column]:
+    """A line of finite points from [x, y] arrays, and why there is none: the reason of a reject table."""
+
+    def number(v: Column) -> Column:
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+    finite = F.filter(coordinates, lambda p: (F.size(p) >= 2) & F.coalesce(number(p[0]) & number(p[1]), F.lit(False)))
+    line = F.transform(finite, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    reason = (
+        F.when(coordinates.isNull() | (F.size(coordinates) == 0), "no coordinates")
+        .when((F.size(finite) < 2) & (F.size(finite) < F.size(coordinates)), "not finite")
+        .when(F.size(finite) < 2, "too few points")
+        .when(~(line_length(line) > 0), "no length")
+        .otherwise("usable")
+    )
+    return F.when(reason == "usable", line), reason
+
+
+def within_boundary(points_: DataFrame, boundaries: DataFrame, zone: str) -> DataFrame:
+    """The points (x, y) inside the ring of their zone, from a table (zone, ring); zones without a ring keep none."""
+    return points_.join(boundaries, zone).where(in_polygon(F.col("x"), F.col("y"), F.col("ring"))).drop("ring")
+
+
 def wkt_line(line: Column) -> Column:
     pairs = F.transform(line, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return F.concat(F.lit("LINESTRING ("), F.array_join(pairs, ", "), F.lit(")"))
@@ -156,52 +181,58 @@ def category_counts(
     return out.withColumns({p: F.col(n) > 0 for n, p in flags})
 
 
-def nearest(
-    points_: DataFrame, places: DataFrame, key: str, place: str, cell: float, max_rings: int = 24, few: int = 10_000
-) -> DataFrame:
+def nearest(points_: DataFrame, places: DataFrame, key: str, place: str, cell: float, other: bool = False) -> DataFrame:
     """(key, place, distance) of the nearest place (ties to the smaller place), one row for each row of points (key, x, y).
 
-    Places without finite coordinates take no part; points without them, and
-    all points where there are no places, get nulls.  Equal locations are looked
-    at once.  Looks into growing rings of grid cells and accepts what is surely
-    nearest; points that no ring settles are compared with every place.  A table
-    of at most ``few`` places by count is broadcast instead.
+    With ``other`` a place whose id is the point's own key doesn't count.  Places
+    without finite coordinates take no part; points without them, and points for
+    which there is no place, get nulls.  Equal locations are looked at once.
+    Rings of grid cells grow from ``cell`` on, four times as wide each or as wide
+    as the points left are away from all places, and a ring settles the points
+    with a place within its width; they grow until every point is settled.
     """
 
     def finite(name: str) -> Column:
         return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf"))
 
-    asks = points_.where(finite("x") & finite("y")).select(F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
-    at = places.where(finite("x") & finite("y")).groupBy("x", "y").agg(F.min(place).alias(place)).persist()
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("__x", "__y").agg(F.min(F.struct("distance", place)).alias("b")).select("__x", "__y", f"b.{place}", "b.distance")
-
+    own = [F.col(key).alias("__k")] if other else []
+    asks = points_.where(finite("x") & finite("y")).select(*own, F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
+    nth = F.row_number().over(Window.partitionBy("x", "y").orderBy(place))
+    at = places.where(finite("x") & finite("y") & F.col(place).isNotNull()).select(place, "x", "y").distinct()
+    at = checkpointed(at.withColumn("__nth", nth).where(F.col("__nth") <= (2 if other else 1)).drop("__nth"))
+    names = ["__k", "__x", "__y"] if other else ["__x", "__y"]
+    box = at.agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")).first()
     distance = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y"))
-    if at.limit(few + 1).count() <= few:
-        done = best(asks.crossJoin(F.broadcast(at)).withColumn("distance", distance))
-    else:
-        done, left, size = None, asks, cell
-        for _ in range(max_rings):
-            def of(v: Column, size: float = size) -> Column:
-                return F.floor(v / size)
-
-            # cells whose number is too large to be exact wait for a larger size
-            around = left.where((F.abs(F.col("__x") / size) < 2.0**52) & (F.abs(F.col("__y") / size) < 2.0**52))
-            around = around.withColumn("__cx", F.explode(F.sequence(of(F.col("__x")) - 1, of(F.col("__x")) + 1)))
-            around = around.withColumn("__cy", F.explode(F.sequence(of(F.col("__y")) - 1, of(F.col("__y")) + 1)))
-            here = at.withColumns({"__cx": of(F.col("x")), "__cy": of(F.col("y"))})
-            near = around.join(here, ["__cx", "__cy"]).withColumn("distance", distance)
-            sure = best(near.where(F.col("distance") <= size)).persist()
-            done = sure if done is None else done.unionByName(sure)
-            left = left.join(sure, ["__x", "__y"], "left_anti")
-            if left.isEmpty():
-                break
-            size *= 4
-        else:
-            rest = best(left.crossJoin(at).withColumn("distance", distance))
-            done = rest if done is None else done.unionByName(rest)
+    done, left, size = None, asks, cell
+    while box["x1"] is not None:
+        gap = F.greatest(box["x1"] - F.col("__x"), F.col("__x") - box["x2"], box["y1"] - F.col("__y"), F.col("__y") - box["y2"], F.lit(0.0))
+        rest = left.agg(F.count("*").alias("n"), F.min(gap).alias("least"), F.max(gap).alias("most")).first()
+        enough = 2 * (rest["most"] or 0.0) + 2 * (box["x2"] - box["x1"]) + 2 * (box["y2"] - box["y1"]) + cell
+        if not rest["n"] or (done is not None and size > 4 * enough):
+            break
+        size = max(size, rest["least"])
+
+        def of(v: Column, size: float = size) -> Column:
+            return F.floor(v / size)
+
+        # cells whose number is too large to be exact wait for a larger size
+        around = left.where((F.abs(F.col("__x") / size) < 2.0**52) & (F.abs(F.col("__y") / size) < 2.0**52))
+        around = around.withColumn("__cx", F.explode(F.sequence(of(F.col("__x")) - 1, of(F.col("__x")) + 1)))
+        around = around.withColumn("__cy", F.explode(F.sequence(of(F.col("__y")) - 1, of(F.col("__y")) + 1)))
+        here = at.withColumns({"__cx": of(F.col("x")), "__cy": of(F.col("y"))})
+        near = around.join(here, ["__cx", "__cy"]).withColumn("distance", distance).where(F.col("distance") <= size)
+        if other:
+            near = near.where(F.col(place) != F.col("__k"))
+        best = near.groupBy(*names).agg(F.min(F.struct("distance", place)).alias("b"))
+        sure = checkpointed(best.select(*names, f"b.{place}", "b.distance"))
+        done = sure if done is None else done.unionByName(sure)
+        left = left.join(sure, names, "left_anti")
+        size *= 4
+    if done is None:
+        return points_.select(key, F.lit(None).cast(places.schema[place].dataType).alias(place), F.lit(None).cast("double").alias("distance"))
     same = (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))
+    if other:
+        same = same & (F.col(key) == F.col("__k"))
     return points_.select(key, "x", "y").join(done, same, "left").select(key, place, "distance")
 
 
@@ -261,16 +292,6 @@ def density_clusters(df: DataFrame, key: str, eps: float, min_samples: int, max_
     return named.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the shared folder of spark.checkpoint.dir (a local one where that is unset)."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def degree_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Planar degrees as metres, 111 000 to the degree."""
     return F.hypot(x1 - x2, y1 - y2) * 111000

@@ -339,16 +339,16 @@ def sl3(spark, sf):
     return counts.withColumn("rank", rank).where("rank <= 3")
 
 
-@query("sl4_seeded_sample")
+@query("sl4_seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey LIMIT 500")
 def sl4(spark, sf):
     """A reproducible sample of 500 rows: the smallest hashes."""
-    return table(spark, sf, "orders").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(500).select("o_orderkey")
+    return table(spark, sf, "orders").orderBy(F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(":42"))), "o_orderkey").limit(500).select("o_orderkey")
 
 
-@query("sl5_random_ids")
+@query("sl5_random_ids", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(CAST(user_id AS VARCHAR) || ':7'), user_id LIMIT 20")
 def sl5(spark, sf):
     users = table(spark, sf, "events").select("user_id").distinct()
-    return users.orderBy(F.xxhash64("user_id", F.lit(7)), "user_id").limit(20)
+    return users.orderBy(F.md5(F.concat(F.col("user_id").cast("string"), F.lit(":7"))), "user_id").limit(20)
 
 
 @query(

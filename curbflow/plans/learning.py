@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbflow.operators.profile import exact_quantiles
+from curbflow.sources.scratch import new_folder
+
 from .registry import query, table
 from .series import PANEL, panel
 
@@ -133,9 +136,11 @@ def ml5(spark, sf):
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns less their median, by their interquartile range where that isn't 0; the bounds are one row."""
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{c}") for c in columns])
-    joined = df.crossJoin(F.broadcast(bounds))
+    """Columns less their median, by their interquartile range where that isn't 0; the bounds are one row a column."""
+    joined = df
+    for c in columns:
+        bounds = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        joined = joined.crossJoin(F.broadcast(bounds.select(F.col("quantiles").alias(f"__{c}"))))
     scaled = {}
     for c in columns:
         q = F.col(f"__{c}")
@@ -188,14 +193,10 @@ def ml8(spark, sf):
 @query("ml6_saved_model")
 def ml6(spark, sf):
     """A fitted pipeline is saved to the shared folder, loaded again and applied."""
-    import tempfile
-    import uuid
-
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import DecisionTreeClassifier
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="model-")
-    path = f"{folder.rstrip('/')}/model-{uuid.uuid4().hex}"
+    path = new_folder(spark, "model")
     rows = embedded(spark, sf)
     Pipeline(stages=[DecisionTreeClassifier(maxDepth=3, seed=42)]).fit(rows).write().overwrite().save(path)
     return PipelineModel.load(path).transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"))

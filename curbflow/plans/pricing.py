@@ -71,11 +71,26 @@ SCHEDULES = [
 
 @query(
     "sc19_schedule_rules",
-    """SELECT * FROM (VALUES (0, 5, 28800, 50400, false), (0, 5, 57600, 72000, false), (0, 1, 32400, 50400, false), (1, 7, 0, 86400, true), (2, 1, 79200, 21600, true))
-       t(schedule_id, n_days, start_sec, end_sec, applies_holidays)""",
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 4 AS kind, p_size % 12 AS h FROM part)
+       SELECT k AS schedule_id, 5 AS n_days, CAST(h * 3600 AS INTEGER) AS start_sec, CAST((h + 8) * 3600 AS INTEGER) AS end_sec, false AS applies_holidays FROM p WHERE kind = 0
+       UNION ALL SELECT k, 5, CAST((h + 10) * 3600 AS INTEGER), 82800, false FROM p WHERE kind = 0
+       UNION ALL SELECT k, 1, 32400, 50400, false FROM p WHERE kind = 0
+       UNION ALL SELECT k, 7, 0, 86400, true FROM p WHERE kind = 1
+       UNION ALL SELECT k, 1, 79200, CAST(h * 3600 AS INTEGER), true FROM p WHERE kind = 2""",
 )
 def sc19(spark, sf):
-    rules = pricing.schedule_rules(schedules(spark))
+    """Schedule texts of the parts' sizes: two slots and a second day, a whole week, holidays, and one without rules."""
+    kind, h = F.col("p_partkey") % 4, F.col("p_size") % 12
+
+    def clock(hour):
+        return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":00"))
+
+    two = F.concat(F.lit("de Dl a Dv de "), clock(h), F.lit(" a "), clock(h + 8), F.lit(" i de "), clock(h + 10), F.lit(" a 23:00, Ds de 09:00 a 14:00"))
+    text = F.when(kind == 0, two).when(kind == 1, "Dl a Dg de 00:00 a 24:00").when(kind == 2, F.concat(F.lit("Diumenges i festius de 22:00 a "), clock(h)))
+    texts = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("schedule_id"), F.coalesce(text, F.lit("consulteu el tauler")).alias("description"), (kind == 1).cast("int").alias("includes_holidays")
+    )
+    rules = pricing.schedule_rules(texts)
     return rules.select("schedule_id", F.size("days").alias("n_days"), "start_sec", "end_sec", "applies_holidays")
 
 

@@ -130,7 +130,10 @@ def a12(spark, sf):
        SELECT part.p_brand, median(part.p_size) AS median, min(m.p_size) AS mode FROM part JOIN m ON part.p_brand = m.p_brand AND k = 1 GROUP BY 1""",
 )
 def a13(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.median("p_size").alias("median"), F.mode("p_size", True).alias("mode"))
+    sizes = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    modes = sizes.groupBy("p_brand").agg(F.min_by("p_size", F.struct(-F.col("n"), "p_size")).alias("mode"))
+    medians = pr.exact_quantiles(table(spark, sf, "part"), "p_size", [0.5], ["p_brand"])
+    return medians.join(modes, "p_brand").select("p_brand", F.col("quantiles")[0].alias("median"), "mode")
 
 
 @query(
@@ -299,8 +302,8 @@ def a30(spark, sf):
 )
 def a31(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_extendedprice")
-    cap = lines.agg(F.percentile("l_extendedprice", 0.99).alias("top"), F.min("l_extendedprice").alias("low")).first()
-    return pr.histogram(lines, "l_extendedprice", cap["low"], cap["top"], 50)
+    bounds = pr.exact_quantiles(lines, "l_extendedprice", [0.0, 0.99]).select(F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("top"))
+    return pr.histogram(lines.crossJoin(F.broadcast(bounds)), "l_extendedprice", F.col("low"), F.col("top"), 50)
 
 
 @query(
@@ -308,8 +311,8 @@ def a31(spark, sf):
     "SELECT l_returnflag, min(l_quantity) AS q0, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS q2, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS q4 FROM lineitem GROUP BY 1",
 )
 def a32(spark, sf):
-    boxes = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(pr.five_numbers("l_quantity").alias("q"))
-    return boxes.select("l_returnflag", *[F.col("q")[i].alias(f"q{i}") for i in range(5)])
+    boxes = pr.exact_quantiles(table(spark, sf, "lineitem"), "l_quantity", pr.FIVE, ["l_returnflag"])
+    return boxes.select("l_returnflag", *[F.col("quantiles")[i].alias(f"q{i}") for i in range(5)])
 
 
 @query("a33_bucket_counts", "SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

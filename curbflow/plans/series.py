@@ -55,7 +55,8 @@ def ts2(spark, sf):
 
 @query(
     "ts3_exact_lag",
-    f"WITH {GRID} SELECT a.user_id, a.ts, b.state AS lag_24h FROM grid a LEFT JOIN grid b ON a.user_id = b.user_id AND a.ts = b.ts + INTERVAL 24 HOUR",
+    f"""WITH {GRID}, g AS MATERIALIZED (SELECT user_id, ts, state, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM grid)
+        SELECT a.user_id, a.ts, b.state AS lag_24h FROM g a LEFT JOIN g b ON a.user_id = b.user_id AND a.h = b.h + 24""",
 )
 def ts3(spark, sf):
     return ts_.exact_lag(hourly(spark, sf), "user_id", "ts", "state", 86400, "lag_24h").select("user_id", "ts", "lag_24h")

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.functions.temporal import compact_timestamp
 from curbflow.sources import landing
+from curbflow.sources.scratch import new_folder
 
 from .registry import query, table
 
 
 def landing_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="landing-")
-    return f"{base.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    return new_folder(spark, "landed")
 
 
 def landed_history(spark, sf) -> str:
@@ -55,18 +52,20 @@ def io3(spark, sf):
 
 @query(
     "io4_prediction_json",
-    """SELECT o_orderkey AS "ID_TRAMO", strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS "FH_INICIO", o_orderpriority AS "PREDICCIONES" FROM orders WHERE o_custkey % 10 = 0""",
+    """SELECT o_orderkey AS "ID_TRAMO", strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS "FH_INICIO", o_orderpriority AS "PREDICCIONES" FROM orders""",
 )
 def io4(spark, sf):
     folder = landing_folder(spark)
-    o = table(spark, sf, "orders").where("o_custkey % 10 = 0")
+    o = table(spark, sf, "orders")
     properties = F.struct(
         F.col("o_orderkey").alias("ID_TRAMO"), F.lit("t").alias("TRAMO"), F.lit("x").alias("TIPO"), F.lit("a").alias("TARIFA"),
         F.lit("h").alias("HORARIO"), F.col("o_orderpriority").alias("PREDICCIONES"),
     )
     parts = F.array(F.struct(F.array(F.struct(properties.alias("properties"))).alias("features")))
     record = F.struct(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("FH_INICIO"), parts.alias("TRAMOS"))
-    by_customer = o.groupBy("o_custkey").agg(F.collect_list(record).alias("OPENDATA_PSIU_APPARKB")).drop("o_custkey")
+    # a customer's records, a hundredth of them a line, so that no line grows without bound
+    by_customer = o.groupBy("o_custkey", F.pmod(F.xxhash64("o_orderkey"), F.lit(100)).alias("part"))
+    by_customer = by_customer.agg(F.collect_list(record).alias("OPENDATA_PSIU_APPARKB")).drop("o_custkey", "part")
     by_customer.write.json(folder)
     return landing.read_predictions(spark, folder, multi_line=False).select("ID_TRAMO", "FH_INICIO", "PREDICCIONES")
 
@@ -109,11 +108,11 @@ def io13(spark, sf):
 
 @query(
     "io5_forecast_json",
-    """SELECT o_orderdate AS ts, round(avg(o_totalprice), 4) AS temp_c, o_orderstatus AS condition FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1, 3""",
+    """SELECT o_orderdate AS ts, round(avg(o_totalprice), 4) AS temp_c, o_orderstatus AS condition FROM orders GROUP BY 1, 3""",
 )
 def io5(spark, sf):
     folder = landing_folder(spark)
-    o = table(spark, sf, "orders").where("o_orderkey % 50 = 0")
+    o = table(spark, sf, "orders")
     daily = o.groupBy("o_orderdate", "o_orderstatus").agg(F.round(F.avg("o_totalprice"), 4).alias("t"))
     hour = F.struct(
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("time"),
@@ -121,8 +120,8 @@ def io5(spark, sf):
         F.struct(F.col("o_orderstatus").alias("text")).alias("condition"),
     )
     days = F.collect_list(F.struct(F.array(hour).alias("hour")))
-    by_status = daily.groupBy("o_orderstatus").agg(F.struct(days.alias("forecastday")).alias("forecast"))
-    by_status.drop("o_orderstatus").write.json(folder)
+    by_month = daily.groupBy("o_orderstatus", F.date_trunc("month", "o_orderdate").alias("month"))
+    by_month.agg(F.struct(days.alias("forecastday")).alias("forecast")).select("forecast").write.json(folder)
     return landing.read_forecast(spark, folder, multi_line=False).select("ts", "temp_c", "condition")
 
 
@@ -142,5 +141,38 @@ def io7(spark, sf):
 def io14(spark, sf):
     folder = landing_folder(spark)
     c = table(spark, sf, "customer").select("c_nationkey", F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("r"))
-    c.groupBy("c_nationkey").agg(F.struct(F.collect_list("r").alias("records")).alias("result")).drop("c_nationkey").write.json(folder)
+    # a nation's records, a thousandth of them a line, so that no line grows without bound
+    by_nation = c.groupBy("c_nationkey", F.pmod(F.xxhash64("r.id"), F.lit(1000)).alias("part"))
+    by_nation.agg(F.struct(F.collect_list("r").alias("records")).alias("result")).select("result").write.json(folder)
     return landing.read_records(spark, folder, "id: BIGINT, name: STRING", multi_line=False)
+
+
+@query(
+    "io2_months_by_name",
+    """SELECT o_custkey AS segment_id, o_orderdate AS ts, CAST(o_orderkey % 7 AS INTEGER) AS state FROM orders
+       WHERE o_orderdate >= TIMESTAMP '1996-11-01' AND o_orderdate < TIMESTAMP '1997-03-01'""",
+)
+def io2(spark, sf):
+    """Monthly folders of history files; only those whose name lies in the range are listed and read."""
+    folder = landing_folder(spark)
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("int").alias("idTram"),
+        F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("data"),
+        (F.col("o_orderkey") % 7).cast("int").alias("estatActual"),
+        (F.col("o_orderkey") % 5).cast("int").alias("estatPrevist"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+    )
+    o.write.option("header", True).partitionBy("month").csv(folder)
+    rows = landing.read_months(spark, folder, "1996-11", "1997-02")
+    return rows.select(F.col("segment_id").cast("long").alias("segment_id"), compact_timestamp(F.col("raw_ts")).alias("ts"), "state")
+
+
+@query(
+    "io10_report_csv",
+    "SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",
+)
+def io10_report(spark, sf):
+    folder = landing_folder(spark)
+    report = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"))
+    landing.write_report(report.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price")), folder)
+    return landing.read_csv(spark, folder, "priority STRING, n BIGINT, mean_price DOUBLE")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curbflow.operators import spatial as sp
+from curbflow.sources.landing import read_csv
+from curbflow.sources.scratch import new_folder
 
 from .registry import query, table
 
 XY = "xy AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS x2, CAST(embedding[4] AS DOUBLE) AS y2 FROM embeddings)"
 D = """CASE WHEN (s.x2-s.x)*(s.x2-s.x)+(s.y2-s.y)*(s.y2-s.y) > 0 THEN greatest(0.0, least(1.0, ((p.x-s.x)*(s.x2-s.x)+(p.y-s.y)*(s.y2-s.y)) / ((s.x2-s.x)*(s.x2-s.x)+(s.y2-s.y)*(s.y2-s.y)))) ELSE 0.0 END"""
 SEGMENTS = f"""{XY}, near AS (SELECT s.vec_id AS seg, p.vec_id AS place, p.label, sqrt(pow(p.x - s.x - t*(s.x2-s.x), 2) + pow(p.y - s.y - t*(s.y2-s.y), 2)) AS d
- FROM (SELECT s.*, p.vec_id AS pid, {D} AS t FROM xy s, xy p WHERE s.vec_id % 5 = 0) s JOIN xy p ON s.pid = p.vec_id)"""
+ FROM (SELECT s.*, p.vec_id AS pid, {D} AS t FROM xy s, xy p) s JOIN xy p ON s.pid = p.vec_id)"""
 
 
 def places(spark, sf):
@@ -21,7 +23,7 @@ def places(spark, sf):
 
 def segments(spark, sf):
     line, _ = sp.line_or_reason(*map(F.col, ("x", "y", "x2", "y2")))
-    return places(spark, sf).where("vec_id % 5 = 0").select(F.col("vec_id").alias("seg"), line.alias("line"))
+    return places(spark, sf).select(F.col("vec_id").alias("seg"), line.alias("line"))
 
 
 @query(
@@ -45,23 +47,24 @@ def a25(spark, sf):
 
 @query(
     "j12_nearest",
-    f"""WITH {XY}, d AS (SELECT a.vec_id, b.vec_id AS place, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM xy a, xy b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 1),
+    f"""WITH {XY}, d AS (SELECT a.vec_id, b.vec_id AS place, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM xy a, xy b WHERE a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, place) AS k FROM d) SELECT vec_id, place, round(d, 6) AS distance FROM r WHERE k = 1""",
 )
 def j12(spark, sf):
     p = places(spark, sf)
-    stops = p.where("vec_id % 4 = 1").select(F.col("vec_id").alias("place"), "x", "y")
-    return sp.nearest(p.where("vec_id % 4 = 0"), stops, "vec_id", "place", 0.02).withColumn("distance", F.round("distance", 6))
+    stops = p.select(F.col("vec_id").alias("place"), "x", "y")
+    return sp.nearest(p, stops, "vec_id", "place", 0.02, other=True).withColumn("distance", F.round("distance", 6))
 
 
 @query(
     "j13_stop_density",
-    f"""WITH {XY} SELECT a.vec_id, count(b.vec_id) AS n FROM xy a LEFT JOIN xy b ON b.vec_id % 4 = 1 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05 WHERE a.vec_id % 4 = 0 GROUP BY 1""",
+    f"""WITH {XY} SELECT a.vec_id, count(b.vec_id) AS n FROM xy a LEFT JOIN xy b ON b.vec_id <> a.vec_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.05 GROUP BY 1""",
 )
 def j13(spark, sf):
     p = places(spark, sf)
-    asks = p.where("vec_id % 4 = 0").select("vec_id", F.array(F.struct("x", "y"), F.struct("x", "y")).alias("line"))
-    near = sp.pairs_within(asks, p.where("vec_id % 4 = 1").select("x", "y"), 0.05).groupBy("vec_id").agg(F.count("*").alias("n"))
+    asks = p.select("vec_id", F.array(F.struct("x", "y"), F.struct("x", "y")).alias("line"))
+    near = sp.pairs_within(asks, p.select(F.col("vec_id").alias("place"), "x", "y"), 0.05).where("place <> vec_id")
+    near = near.groupBy("vec_id").agg(F.count("*").alias("n"))
     return asks.select("vec_id").join(near, "vec_id", "left").na.fill(0, ["n"])
 
 
@@ -71,7 +74,19 @@ def sp1(spark, sf):
     return p.agg(F.count("*").alias("n"), F.round(F.avg("point.x"), 6).alias("mean_x"))
 
 
-@query("sp2_projection")
+N, LON, LAT = 1 / 298.257223563 / (2 - 1 / 298.257223563), "radians(2.17 + x / 10)", "radians(41.39 + y / 10)"
+_ROOT = 2 * N**0.5 / (1 + N)
+_SERIES = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
+_RADIUS = 0.9996 * 6378137.0 / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
+
+
+@query(
+    "sp2_projection",
+    f"""WITH {XY}, a AS (SELECT vec_id, {LON} - radians(3) AS lam, sinh(atanh(sin({LAT})) - {_ROOT} * atanh({_ROOT} * sin({LAT}))) AS t FROM xy),
+        b AS (SELECT vec_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM a)
+        SELECT vec_id, round(500000.0 + {_RADIUS} * (eta + {" + ".join(f"{a} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1))}), 3) AS easting,
+          round({_RADIUS} * (xi + {" + ".join(f"{a} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_SERIES, 1))}), 3) AS northing FROM b""",
+)
 def sp2(spark, sf):
     lon, lat = 2.17 + F.col("x") / 10, 41.39 + F.col("y") / 10
     east, north = sp.utm(lon, lat)
@@ -80,7 +95,7 @@ def sp2(spark, sf):
 
 @query(
     "sp3_6_length_centroid",
-    f"""WITH {XY} SELECT vec_id AS seg, round(sqrt(pow(x - x2, 2) + pow(y - y2, 2)), 6) AS length, round((x + x2) / 2, 6) AS cx, round((y + y2) / 2, 6) AS cy FROM xy WHERE vec_id % 5 = 0""",
+    f"""WITH {XY} SELECT vec_id AS seg, round(sqrt(pow(x - x2, 2) + pow(y - y2, 2)), 6) AS length, round((x + x2) / 2, 6) AS cx, round((y + y2) / 2, 6) AS cy FROM xy""",
 )
 def sp3(spark, sf):
     s = segments(spark, sf)
@@ -168,8 +183,45 @@ def sp14(spark, sf):
 
 @query(
     "io10_wkt",
-    f"WITH {XY} SELECT vec_id AS seg, 2 AS n_points FROM xy WHERE vec_id % 5 = 0",
+    f"WITH {XY} SELECT vec_id AS seg, round(x, 4) AS x, round(y2, 4) AS y2, 2 AS n_points FROM xy",
 )
 def io10(spark, sf):
-    text = sp.wkt_line(F.col("line"))
-    return segments(spark, sf).select("seg", F.size(F.split(F.regexp_extract(text, r"LINESTRING \((.*)\)", 1), ", ")).alias("n_points"))
+    """Lines as text, written as CSV and read back."""
+    folder = new_folder(spark, "wkt")
+    segments(spark, sf).select("seg", sp.wkt_line(F.col("line")).alias("wkt")).write.option("header", True).csv(folder)
+    pairs = F.split(F.regexp_extract("wkt", r"LINESTRING \((.*)\)", 1), ", ")
+
+    def number(pair, at):
+        return F.round(F.split(pairs[pair], " ")[at].cast("double"), 4)
+
+    lines = read_csv(spark, folder, "seg BIGINT, wkt STRING")
+    return lines.select("seg", number(0, 0).alias("x"), number(1, 1).alias("y2"), F.size(pairs).alias("n_points"))
+
+
+@query(
+    "pf20_boundary_filter",
+    f"""WITH {XY} SELECT vec_id, label AS zone FROM xy WHERE x > -0.1 - label / 50.0 AND x < 0.1 AND y > -0.05 AND y < 0.15""",
+)
+def pf20(spark, sf):
+    """Points inside the boundary of their zone, from a table of one ring a zone."""
+    zones = table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n")).where("label is not null")
+    left = -0.1 - F.col("label") / 50.0
+    ring = F.array(*[F.struct(a.alias("x"), F.lit(b).alias("y")) for a, b in ((left, -0.05), (F.lit(0.1), -0.05), (F.lit(0.1), 0.15), (left, 0.15))])
+    boundaries = zones.select(F.col("label").alias("zone"), ring.alias("ring"))
+    return sp.within_boundary(places(spark, sf).withColumn("zone", F.col("label")), boundaries, "zone").select("vec_id", "zone")
+
+
+@query(
+    "sp17_rejected_geometry",
+    f"""WITH {XY} SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 'no coordinates' WHEN 1 THEN 'not finite' WHEN 2 THEN 'too few points' WHEN 3 THEN 'no length' ELSE 'usable' END AS reason,
+        CASE WHEN vec_id % 5 = 4 THEN 2 END AS n_points FROM xy""",
+)
+def sp17(spark, sf):
+    def point(x, y):
+        return F.array(x, y)
+
+    one, other = point(F.col("x"), F.col("y")), point(F.col("x2"), F.col("y2"))
+    kind = F.col("vec_id") % 5
+    raw = F.when(kind == 1, F.array(one, point(F.lit(float("nan")), F.col("y")))).when(kind == 2, F.array(one)).when(kind == 3, F.array(one, one)).when(kind == 4, F.array(one, other))
+    line, reason = sp.repaired_line(raw)
+    return places(spark, sf).select("vec_id", reason.alias("reason"), F.when(line.isNotNull(), F.size(line)).alias("n_points"))

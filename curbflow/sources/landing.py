@@ -26,7 +26,7 @@ GTFS_SCHEMAS = {
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """CSV with a header; lines that don't parse are dropped."""
+    """CSV with a header; lines that don't parse are dropped (``read_lines`` keeps and marks them, to be counted)."""
     return spark.read.option("header", True).schema(schema).option("mode", "DROPMALFORMED").csv(path)
 
 
@@ -51,6 +51,16 @@ def read_history(spark: SparkSession, path: str, start: str | None = None, end:
     return rows.where(month <= end) if end else rows
 
 
+def read_months(spark: SparkSession, folder: str, start: str, end: str) -> DataFrame:
+    """The history of the months from ``start`` to ``end`` (YYYY-MM) of a folder with one part a month (month=YYYY-MM).
+
+    The month is in the path, so files of other months aren't opened.
+    """
+    rows = spark.read.option("header", True).schema(f"{HISTORY_SCHEMA}, month STRING").option("mode", "DROPMALFORMED").csv(folder)
+    rows = rows.where((F.col("month") >= start) & (F.col("month") <= end))
+    return rows.select(F.col("idTram").alias("segment_id"), F.col("data").alias("raw_ts"), F.col("estatActual").alias("state"), "month")
+
+
 def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row for each segment of each record, properties flattened; a file holds one answer, or one in each line."""
     raw = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", multi_line).json(path)
@@ -91,9 +101,9 @@ def gtfs_seconds(clock: Column) -> Column:
 
 
 def write_monthly(df: DataFrame, ts: str, path: str) -> None:
-    """Parquet by year and month; rows meet by month first, so a month has few files."""
+    """Parquet by year and month; rows meet by day first, so a month has some thirty files and isn't one task's work."""
     dated = df.withColumns({"year": F.year(ts), "month": F.month(ts)})
-    dated.repartition("year", "month").sortWithinPartitions(ts).write.mode("overwrite").partitionBy("year", "month").parquet(path)
+    dated.repartition("year", "month", F.dayofmonth(ts)).sortWithinPartitions("year", "month", ts).write.mode("overwrite").partitionBy("year", "month").parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

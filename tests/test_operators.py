@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbflow.functions import calendars, pricing, temporal
-from curbflow.operators import clean, joins, spatial, timeseries
+from curbflow.operators import clean, joins, profile, spatial, timeseries
 from curbflow.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -122,14 +122,13 @@ def test_transit(spark):
     assert {r["id"]: r["count"] for r in near.groupBy("id").count().collect()} == {1: 2, 2: 2}
 
 
-@pytest.mark.parametrize(("few", "rings"), [(10_000, 24), (0, 3), (0, 0)])
-def test_nearest_of_places_without_coordinates(spark, few, rings):
+def test_nearest_of_places_without_coordinates(spark):
     nan, inf = float("nan"), float("inf")
     where = [(1.0, 1.0), (1.0, 1.0), (-3.0, 2.0), (40.0, 40.0), (None, 0.0), (0.0, None), (nan, 0.0), (0.0, inf)]
     stops = spark.createDataFrame([(i, *p) for i, p in enumerate(where)], "stop long, x double, y double")
     asked = [(0.9, 1.0), (0.9, 1.0), (-1.0, 1.5), (5000.0, 5000.0), (1e200, 0.0), (None, 1.0), (nan, 1.0), (1.0, -inf)]
     points = spark.createDataFrame([(i, *p) for i, p in enumerate(asked)], "id long, x double, y double")
-    got = {r["id"]: (r["stop"], r["distance"]) for r in spatial.nearest(points, stops, "id", "stop", 0.5, rings, few).collect()}
+    got = {r["id"]: (r["stop"], r["distance"]) for r in spatial.nearest(points, stops, "id", "stop", 0.5).collect()}
     want = {}
     for i, (x, y) in enumerate(asked):
         usable = x is not None and np.isfinite([x, y]).all()
@@ -137,10 +136,44 @@ def test_nearest_of_places_without_coordinates(spark, few, rings):
         want[i] = d[0][::-1]
     assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in want.items()}
     assert all(want[i][1] == pytest.approx(d) if d is not None else want[i][1] is None for i, (_, d) in got.items())
-    none = spatial.nearest(points, stops.limit(0), "id", "stop", 0.5, 2, -1 if few == 0 else few)
+    none = spatial.nearest(points, stops.limit(0), "id", "stop", 0.5)
     assert [(r["stop"], r["distance"]) for r in none.collect()] == [(None, None)] * 8
 
 
+def test_nearest_other_place(spark):
+    where = [(0.0, 0.0), (0.0, 0.0), (0.3, 0.0), (9.0, 9.0)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(where)], "id long, x double, y double")
+    got = {r["id"]: (r["place"], round(r["distance"], 6)) for r in spatial.nearest(rows, rows.withColumnRenamed("id", "place"), "id", "place", 0.1, other=True).collect()}
+    assert got == {0: (1, 0.0), 1: (0, 0.0), 2: (0, 0.3), 3: (2, round(float(np.hypot(8.7, 9)), 6))}
+    alone = rows.where("id = 3")
+    assert [r["place"] for r in spatial.nearest(alone, alone.withColumnRenamed("id", "place"), "id", "place", 0.1, other=True).collect()] == [None]
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    values = {g: rng.integers(0, 50, n).astype(float).tolist() for g, n in (("a", 1), ("b", 2), ("c", 1001))}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("d", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["quantiles"] for r in profile.exact_quantiles(df, "v", shares, ["g"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert all(np.allclose(got[g], np.quantile(values[g], shares)) for g in got)
+    every = profile.exact_quantiles(df, "v", shares).collect()
+    assert np.allclose(every[0]["quantiles"], np.quantile(sum(values.values(), []), shares))
+    assert profile.exact_quantiles(df.where("v is null"), "v", [0.5]).collect()[0]["quantiles"] == [None]
+
+
+def test_rejected_geometry(spark):
+    nan = float("nan")
+    cases = [(None, "no coordinates"), ([], "no coordinates"), ([[0.0, 1.0]], "too few points"), ([[0.0, 1.0], [nan, 1.0]], "not finite"),
+             ([[1.0, 1.0], [1.0, 1.0]], "no length"), ([[1.0, 1.0], [2.0, None], [3.0, 1.0]], "usable")]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c array<array<double>>")
+    line, reason = spatial.repaired_line(F.col("c"))
+    got = {r["i"]: (r["reason"], r["line"]) for r in df.select("i", reason.alias("reason"), line.alias("line")).collect()}
+    assert [got[i][0] for i in range(6)] == [r for _, r in cases]
+    assert len(got[5][1]) == 2 and got[4][1] is None
+
+
 def test_density_clusters(spark):
     rows = [
         (1, 40.7128, -74.0060), (2, 40.7129, -74.0061), (3, 40.7130, -74.0059), (4, 40.7580, -73.9850),
