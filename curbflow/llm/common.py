@@ -49,7 +49,7 @@ HEAVY_KEYS, HEAVY_FROM = 1000, 256
 
 
 def looked_up(
-    rows: DataFrame, values: DataFrame, key: str, spread: str, counts: DataFrame | None = None, how: str = "left"
+    rows: DataFrame, values: DataFrame, key: str, spread: str, counts: DataFrame | None = None
 ) -> DataFrame:
     """rows with the other columns of values, which has one row for each key; rows with a null key have no value.
 
@@ -57,8 +57,7 @@ def looked_up(
     broadcast table, and their rows and those with a null key are dealt out by
     the column ``spread``, so that a key with a third of all rows isn't one
     task's; the others meet by key.  ``counts`` (key, n) are the rows by key, if
-    known; ``how`` says what becomes of rows whose key has no value (left or
-    inner).
+    known.
     """
     if counts is None:
         counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -82,12 +81,9 @@ def looked_up(
     salt = F.when(apart, 1 + F.pmod(F.xxhash64(spread), F.lit(4096))).otherwise(0)
     marked = marked.withColumns({"__key": F.when(~apart, F.col(key)), "__salt": salt})
     found = values.select(
-        F.col(key).alias("__key"), F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__found"), *[F.col(c).alias(f"__{c}") for c in others]
+        F.col(key).alias("__key"), F.lit(0).cast("long").alias("__salt"), *[F.col(c).alias(f"__{c}") for c in others]
     )
     both = marked.join(found, ["__key", "__salt"], "left")
-    has = F.coalesce(F.col("__has"), F.col("__found")) if top else F.col("__found")
-    if how == "inner":
-        both = both.where(has)
     of = {c: F.when(F.col("__has"), F.col(f"__of_{c}")).otherwise(F.col(f"__{c}")) if top else F.col(f"__{c}") for c in others}
     return both.select(key, *[c for c in rows.columns if c != key], *[v.alias(c) for c, v in of.items()])
 

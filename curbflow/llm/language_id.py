@@ -70,8 +70,13 @@ class ContextTrees:
         return out
 
 
-def build(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 12, max_nodes: int = 12_000) -> ContextTrees:
-    """Trees from texts by language; contexts seen fewer than ``min_count`` times have no node."""
+def build(samples: dict[str, list[bytes]], order: int = 4, min_count: int = 12, max_nodes: int = 60_000) -> ContextTrees:
+    """Trees from texts by language; contexts seen fewer than ``min_count`` times have no node.
+
+    Of more than ``max_nodes`` contexts the most frequent are kept, shorter ones
+    first, which bounds the tables (a code length for each node, byte and
+    language) where there are many languages.
+    """
     langs = sorted(samples)
     seen = np.zeros(256, np.int64)
     joined = {}

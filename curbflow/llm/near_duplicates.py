@@ -110,12 +110,13 @@ def estimates(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((others == sketch).mean(1) - accident) / (1 - accident)
 
 
-SKETCHED = "doc_id long, n_shingles long, node binary, sketch binary"
+SKETCHED = "doc_id long, mark long, n_shingles long, node binary, sketch binary"
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (a 128-bit key of the set; null if empty) and sketch of each row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    """doc_id, mark (the text's hash), n_shingles, node (a 128-bit key of the set; null if empty) and sketch of each row."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +125,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "sketch"],
+                    names=["doc_id", "mark", "n_shingles", "node", "sketch"],
                 )
         _known.clear()
         give_back()
@@ -222,7 +224,8 @@ def candidate_edges(nodes: DataFrame, slack: float = 0.0) -> DataFrame:
         .select("bucket", "n")
     )
     sketches = nodes.select("node", "sketch")
-    rows = looked_up(band, met, "bucket", "node", met, "inner").join(sketches, "node")
+    # a node is in BANDS buckets once each, so the largest bucket has less than one in BANDS of these rows
+    rows = band.join(met, "bucket").join(sketches, "node")
     parts = F.ceil(F.col("n") / PART).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     first = written(leader_edges(rows, REACHABLE - slack))
@@ -340,7 +343,7 @@ def verified_links(members: DataFrame, threshold: int) -> DataFrame:
     main = main.select("cluster", F.col("main.label").alias("main"), (F.col("n") - F.col("main.m")).alias("rest"))
     todo = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     todo = looked_up(todo, size, "cluster", "node", size)
-    todo = looked_up(todo, main, "cluster", "node", size, "inner")
+    todo = looked_up(todo, main, "cluster", "node", size).where("main is not null")
     n_rest, at_rest = blocks_of(F.col("rest"), F.col("node"), BLOCK // 2)
     _, at = blocks_of(F.col("n"), F.col("node"), BLOCK // 2)
     left = todo.where(F.col("label") != F.col("main")).withColumn("i", at_rest)
@@ -376,7 +379,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, si
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 85
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row for each row of docs.
+    """doc_id, n_shingles, component_id, kept and mark (Spark's hash of the text), one row for each row of docs.
 
     Documents whose shingle sets have 100 * intersection >= threshold * union
     are linked; component_id is the smallest doc_id that links reach, and kept
@@ -384,7 +387,9 @@ def near_duplicates(
     have no shingles and link with nothing.  A row with a null id takes no part
     in links and is kept, with a null component.  Rows that repeat an id and
     text have the same result; rows that repeat an id with other texts each go
-    with their own text.  Other columns are not looked at.
+    with their own text, and id and mark tell them apart.  Other columns are not
+    looked at.  Texts of any length count whole; an empty table gives an empty
+    one.
     """
     base = written(sketched(docs, id_col, text_col, shingle))
     nodes = (
@@ -408,13 +413,12 @@ def near_duplicates(
         least.join(linked, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"), "n")
     )
     out = looked_up(
-        base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")),
+        base.select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")),
         result.select("node", "component_id"),
         "node",
         "doc_id",
         result.select("node", "n"),
     )
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "mark")

@@ -4,7 +4,7 @@ Strong findings stand alone: assignments to a password-like name, access
 identifiers, long hexadecimal runs.  Weak candidates - a bare 40-character key,
 a user or client identifier, an endpoint - are parts; an interval join of the
 parts of a document within a scope (a block without an empty line, and at most
-``reach`` characters apart) reports a part only when what complements it is
+``reach`` characters between them) reports a part only when what complements it is
 near: a bare key beside an identifier, an identifier beside a secret, an
 endpoint beside both.  The join walks sorted positions, so a text with many
 parts costs no pairs.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -52,15 +53,21 @@ def strong(text: str) -> list[tuple[str, int, int]]:
 
 
 class Near:
-    """Sorted spans, asked whether one begins within reach of a span and inside its scope."""
+    """Spans, asked whether one lies at most ``reach`` characters from a span, before or after it, inside its scope.
+
+    Spans hold no line end, so none reaches over a scope's edge: of those that
+    begin early enough, the largest end tells.
+    """
 
     def __init__(self, spans: list[tuple[int, int]], reach: int):
-        self.starts = sorted(s for s, _ in spans)
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.largest_end = list(accumulate((e for _, e in ordered), max))
         self.reach = reach
 
     def any(self, span: tuple[int, int], scope: tuple[int, int]) -> bool:
-        low, high = max(scope[0], span[0] - self.reach), min(scope[1], span[1] + self.reach)
-        return bisect_right(self.starts, high) > bisect_left(self.starts, low)
+        n = bisect_right(self.starts, min(scope[1], span[1] + self.reach))
+        return n > 0 and self.largest_end[n - 1] >= max(scope[0] + 1, span[0] - self.reach)
 
 
 def linked(text: str, found: list[tuple[str, int, int]], reach: int) -> list[tuple[str, int, int]]:
@@ -77,7 +84,7 @@ def linked(text: str, found: list[tuple[str, int, int]], reach: int) -> list[tup
     names = [m.span() for m in IDENTITY.finditer(text) if free(m)] if any(n in low for n in IDENTITY_NAMES) else []
     access = [(s, e) for k, s, e in found if k == "access"]
     secrets = [(s, e) for k, s, e in found if k != "access"]
-    if not ((keys and (names or access)) or (names and secrets)):
+    if not ((names or access) and (keys or secrets)):
         return []
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     breaks = [m.start() for m in BREAK.finditer(text)]
@@ -117,7 +124,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
     """docs with ``secrets``: an array of (kind, start, end), code points, end exclusive.
 
     The spans are ordered by start, then by kind in the order of KINDS.  Null
-    and empty texts have an empty array.  An old column named secrets is
+    and empty texts have an empty array, an empty table gives an empty one.  An old column named secrets is
     replaced; repeated rows stay; whole texts of any length are scanned in
     one pass without a shuffle.
     """
@@ -129,7 +136,11 @@ def secret_spans(docs: DataFrame, text_col: str = "text", reach: int = 200) -> D
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span of the text replaced by ``mark`` (overlapping spans by one)."""
+    """docs with every reported span of the text replaced by ``mark`` (overlapping spans by one).
+
+    Null and empty texts stay as they are, as do all other columns and their
+    order; repeated rows stay repeated.
+    """
     columns = docs.columns
 
     def compute(texts: list) -> list[pa.Array]:

@@ -229,7 +229,7 @@ def train_toxicity(
     The sample is bounded: rows are taken by a hash of their text, at rates
     that the two classes' counts set; texts beyond ``max_chars`` code points
     aren't trained on (all texts are scored).  Rows with a null text or label
-    are left out.
+    are left out; a text with both labels counts for both.
     """
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label"))
     rows = rows.where(F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.length("text") <= max_chars))
@@ -239,7 +239,8 @@ def train_toxicity(
         room = max(max_rows // 2, max_rows - sum(c for k, c in n.items() if k != label))
         dart = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
         take |= (F.col("label") == label) & (dart < int(min(1.0, room / n[label]) * (1 << 20)) + 1)
-    sample = sorted((r["text"], r["label"]) for r in rows.where(take).limit(2 * max_rows).collect()) if n else []
+    # a repeated row counts once, so the rates bound the sample whatever is repeated
+    sample = sorted((r["text"], r["label"]) for r in rows.where(take).distinct().collect()) if n else []
     return fit([t for t, _ in sample], [c for _, c in sample])
 
 

@@ -520,3 +520,113 @@ def test_repeats_in_small_blocks_and_salted_hashes(spark, monkeypatch):
             seen.add(w)
         want[i, t] = np.frombuffer(raw, np.uint8)[~hit].tobytes()
     assert got == Counter((i, want[i, t]) for i, t in made)
+
+
+def test_secret_spans_against_plain_loops():
+    """Base spans by a scan of characters, linked ones by all pairs of parts."""
+    import re
+
+    from curbflow.llm import secrets
+
+    rng = random.Random(12)
+    key = "aB3" + "x9Z" * 12 + "q"
+    parts = ["password", "API_KEY", "token", "secret", " = ", ":", "=", '"', "'", "abcdef", "hunter22", "AKIA", "AKIA" + "B7" * 9, "0123456789abcdef" * 2,
+             "deadbeef", key, key.lower(), "user=", "jane", "login: ", "client_id=", "xyz99", "https://h.example/p", "\n\n", "\n", " ", " filler " * 30, "é"]
+    for _ in range(400):
+        t = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        want = []
+        i = 0
+        names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+        while i < len(t):  # assignments, character by character
+            name = next((n for n in names if t[i : i + len(n)].lower() == n), None)
+            j = i + len(name) if name else i
+            if name:
+                j += t[j : j + 1] in ('"', "'")and 1 or 0
+                while t[j : j + 1] == " ":
+                    j += 1
+                ok = t[j : j + 1] in (":", "=") and j < len(t)
+                if ok:
+                    j += 1
+                    while t[j : j + 1] == " ":
+                        j += 1
+                    j += 1 if t[j : j + 1] in ('"', "'") and j < len(t) else 0
+                    k = j
+                    while k < len(t) and (t[k].isascii() and t[k].isalnum() or t[k] in "+/_.=-"):
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            want.append(("assign", i, k))
+                        i = k
+                        continue
+            i += 1
+        for kind, allowed, head, least in (("access", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "AKIA", 20), ("hex", "0123456789abcdef", "", 24)):
+            i = 0
+            while i < len(t):
+                if t.startswith(head, i) and (head or t[i] in allowed):
+                    k = i + len(head)
+                    while k < len(t) and t[k] in allowed:
+                        k += 1
+                    if k > i + len(head):
+                        if k - i >= least:
+                            want.append((kind, i, k))
+                        i = k
+                        continue
+                i += 1
+        got = [(x["kind"], x["start"], x["end"]) for x in secrets.scan(t, 200)]
+        assert sorted(x for x in got if x[0] in ("assign", "access", "hex")) == sorted(want), t
+        # linked parts, by all pairs
+        breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", t)]
+        block = lambda s: sum(b <= s for b in breaks)
+        clear = lambda m: all(e <= m.start() or s >= m.end() for _, s, e in want)
+        keys = [m.span() for m in secrets.BARE_KEY.finditer(t) if clear(m) and secrets.varied(m.group())]
+        users = [m.span() for m in secrets.IDENTITY.finditer(t) if clear(m)]
+        ends = [m.span() for m in secrets.ENDPOINT.finditer(t)]
+        ids, secret = users + [x[1:] for x in want if x[0] == "access"], keys + [x[1:] for x in want if x[0] != "access"]
+        near = lambda x, many: any(block(y[0]) == block(x[0]) and y[0] - x[1] <= 200 and x[0] - y[1] <= 200 for y in many)
+        linked = [("linked_secret", *x) for x in keys if near(x, ids)] + [("linked_identity", *x) for x in users if near(x, secret)]
+        linked += [("linked_endpoint", *x) for x in ends if near(x, ids) and near(x, secret)]
+        assert sorted(x for x in got if x[0].startswith("linked")) == sorted(linked), t
+
+
+def test_language_code_lengths_equal_plain_contexts():
+    """Method C with exclusion over dictionaries of contexts."""
+    from curbflow.llm.language_id import build
+
+    rng = random.Random(21)
+    order, least = 3, 4
+    samples = {k: ["".join(rng.choices(a, k=80)).encode() for _ in range(6)] for k, a in (("a", "abcd "), ("b", "abxyé "))}
+    trees = build(samples, order=order, min_count=least)
+    gap = b"\n" * order
+    joined = {k: gap + gap.join(v) for k, v in samples.items()}
+    seen = Counter(x[i - d : i] for x in joined.values() for d in range(order + 1) for i in range(order, len(x)))
+    known = {c for c, n in seen.items() if n >= least or not c}
+    known = {c for c in known if all(c[i:] in known for i in range(len(c)))}
+    alphabet = sorted(set(b"".join(joined.values())))
+    for column, lang in enumerate(trees.langs):
+        x = joined[lang]
+        follow = {}
+        for i in range(order, len(x)):
+            for d in range(order + 1):
+                follow.setdefault(x[i - d : i], Counter())[x[i]] += 1
+        for t in (b"abcd", "xyé zz".encode(), b"", b"dddd bbbb xyxy \x07"):
+            whole, bits = gap + t, 0.0
+            for i in range(order, len(whole)):
+                context = next(whole[i - d : i] for d in range(order, -1, -1) if whole[i - d : i] in known and all(whole[i - j : i] in known for j in range(d)))
+                p, escape, done = None, 1.0, set()
+                while True:
+                    c = {b: n for b, n in follow.get(context, {}).items() if b not in done}
+                    if c:
+                        total, kinds = sum(c.values()), len(c)
+                        if whole[i] in c:
+                            p = escape * c[whole[i]] / (total + kinds)
+                            break
+                        escape *= kinds / (total + kinds)
+                        done |= set(c)
+                    if not context:
+                        break
+                    context = context[1:]
+                if p is None:
+                    p = escape / (256 - len(done))
+                bits -= math.log2(p)
+            assert math.isclose(trees.lengths([t])[0, column], bits, rel_tol=1e-4, abs_tol=1e-3), (lang, t)
+    assert alphabet
