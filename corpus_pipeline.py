@@ -26,7 +26,11 @@ NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below TOXIC; the model is learned from all labelled documents."""
+    """Documents whose score stays below TOXIC; the model is learned from labelled documents, a bounded number of them.
+
+    Null and empty texts score low and stay; repeated rows stay repeated;
+    without labels nothing is learned and all stay.
+    """
     model = train_toxicity(labelled_texts(docs, table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model, score_col="__score")
     return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
@@ -35,22 +39,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Rows that repeat a doc_id and text count as one; rows without a doc_id stay.
+    Rows that repeat a doc_id and text count as one; an id's other texts are
+    documents of their own; rows without a doc_id, and texts without words,
+    stay.  An empty table stays empty.
     """
-    kept = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null").select("doc_id").distinct()
-    mark = F.xxhash64("text")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"])
+    found = near_duplicates(docs, threshold=NEAR).where("kept and doc_id is not null")
+    kept = found.select("doc_id", F.col("mark").alias("__mark")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    one = marked.join(kept, ["doc_id", "__mark"], "left_semi").dropDuplicates(["doc_id", "__mark"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of a benchmark item."""
+    """Documents without a window of ten words of a benchmark item.
+
+    Null and empty texts stay, as do repeated rows; an empty benchmark drops nothing.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret, and n_chars to match."""
+    """All documents, with a mark in place of each secret, and n_chars to match; null texts stay null."""
     clean = redact_secrets(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -59,7 +69,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 4096 tokens, each with its ids."""
+    """The pieces of sequences of 4096 tokens, each with its ids; a null or empty text is its end id alone."""
     return packed(docs, tokenizer("word_bpe_49k.json"))
 
 
