@@ -46,7 +46,8 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: list[st
     learns how many values lie before it (one row for each partition and group),
     and the neighbours of each quantile are the rows whose range of places holds
     its place.  No buffer holds a group's values, and no task all of them.
-    Without values there is one row with nulls (by nothing) or no row.
+    Nulls in `by` are a group.  Without values there is one row with nulls (by
+    nothing) or no row.
     """
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
@@ -56,10 +57,13 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: list[st
     sizes = placed.groupBy("__p", *by).agg(F.sum("__n").alias("__size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = F.sum("__size").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__p", *by, F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__size").over(group).alias("__all"))
+    starts = sizes.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__by_{c}") for c in by], F.coalesce(before, F.lit(0)).alias("__start"), F.sum("__size").over(group).alias("__all"))
     inside = Window.partitionBy("__p", *by).orderBy("__v")
     ranked = placed.withColumn("__upto", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = ranked.join(starts if by else F.broadcast(starts), ["__p", *by])
+    same = F.col("__p") == F.col("__q")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    ranked = ranked.join(starts if by else F.broadcast(starts), same)
     end = F.col("__start") + F.col("__upto")
     picks = []
     for i, q in enumerate(shares):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from curbflow.operators import profile as pr
@@ -105,14 +104,13 @@ def a10(spark, sf):
        round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max FROM events GROUP BY 1""",
 )
 def a11(spark, sf):
-    g = table(spark, sf, "events").groupBy("event_type").agg(
-        F.count("value").alias("n"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_samp("value"), 6).alias("std"),
-        pr.five_numbers("value").alias("q"),
+    e = table(spark, sf, "events")
+    stats = e.groupBy("event_type").agg(
+        F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std")
     )
-    q = F.col("q")
-    return g.select(
+    boxes = pr.exact_quantiles(e, "value", pr.FIVE, ["event_type"]).withColumnRenamed("event_type", "__type")
+    q = F.col("quantiles")
+    return stats.join(boxes, F.col("event_type").eqNullSafe(F.col("__type")), "left").select(
         "event_type", "n", "mean", "std", q[0].alias("min"), *[F.round(q[i], 6).alias(f"q{i}") for i in (1, 2, 3)], q[4].alias("max")
     )
 

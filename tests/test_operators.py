@@ -3,10 +3,10 @@
 import numbers
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,12 +151,12 @@ def test_nearest_other_place(spark):
 
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(4)
-    values = {g: rng.integers(0, 50, n).astype(float).tolist() for g, n in (("a", 1), ("b", 2), ("c", 1001))}
+    values = {g: rng.integers(0, 50, n).astype(float).tolist() for g, n in (("a", 1), ("b", 2), ("c", 1001), (None, 40))}
     rows = [(g, v) for g, vs in values.items() for v in vs] + [("d", None), ("c", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     shares = [0.0, 0.25, 0.5, 0.9, 1.0]
     got = {r["g"]: r["quantiles"] for r in profile.exact_quantiles(df, "v", shares, ["g"]).collect()}
-    assert set(got) == {"a", "b", "c"}
+    assert set(got) == {"a", "b", "c", None}
     assert all(np.allclose(got[g], np.quantile(values[g], shares)) for g in got)
     every = profile.exact_quantiles(df, "v", shares).collect()
     assert np.allclose(every[0]["quantiles"], np.quantile(sum(values.values(), []), shares))
@@ -219,26 +219,32 @@ def test_many_to_one_refuses_repeats(spark):
         joins.many_to_one(df, df, "k")
 
 
-SOME = ["ts1_resample_ffill", "ts13_run_lengths", "ts14_transitions", "j5_asof_nearest_tolerance", "j6_asof_nearest_unbounded", "sc18_parking_cost", "a17_null_profile", "io1_csv_scan", "io3_bad_lines", "a25_category_counts", "ml1_time_folds"]
+def comparable(v):
+    """A value as text, alike for both engines."""
+    if isinstance(v, numbers.Number | Decimal) and not isinstance(v, bool):
+        return str(v) if isinstance(v, int) and abs(v) >= 10**6 else f"{float(v) + 0.0:.6g}"
+    if isinstance(v, list | tuple):
+        return str([comparable(x) for x in v])
+    return str(v)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_has_its_oracles_rows(spark, name):
     con = duckdb.connect()
-    for t in ("events", "orders", "lineitem", "part", "embeddings", "customer"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(ORACLES[name]).df()
-    got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
-
-    def value(v):
-        if pd.isna(v):
-            return ""
-        return f"{float(v):.5f}" if isinstance(v, numbers.Number | Decimal) and not isinstance(v, bool) else str(v)
-
-    def rows(df):
-        return sorted(tuple(map(value, r)) for r in df.astype(object).itertuples(index=False))
-
-    assert rows(got) == rows(want)
+    con.sql("SET TimeZone = 'UTC'")
+    for path in Path(SF).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = con.execute(ORACLES[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    got = got.select(*[f"`{c}`" for c in columns]).collect()
+    assert sorted(tuple(map(comparable, r)) for r in got) == sorted(tuple(map(comparable, r)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_oracle_has_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_every_oracle_has_a_query():
