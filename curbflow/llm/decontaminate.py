@@ -39,7 +39,7 @@ def folded(text: str) -> str:
     return text.encode().translate(_FOLD).decode("latin-1")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def automaton(items: tuple[tuple[str, str], ...], n: int):
     """The automaton of the items' windows; each holds (number of words, item places)."""
     holders: dict[str, tuple[int, set[int]]] = {}
@@ -167,7 +167,7 @@ def contamination(
             return [pa.array(rows, ARROW_HIT)]
 
         columns.append(f"__hit_{k}")
-        out = with_columns(out, text_col, [T.StructField(columns[-1], HIT)], compute)
+        out = with_columns(out, text_col, [T.StructField(columns[-1], HIT)], compute, automaton.cache_clear)
 
     def union(field: str) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)[field] for c in columns]))))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 from .token_counts import RankMerger
 
 #: Tokens of a shard at most, but for one longer document.
@@ -35,7 +35,7 @@ EXACT = 2.0**28
 #: Fixed value: the published split pattern of this family of vocabularies, for lower-case text.
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: A worker forgets the words that it knows beyond this many.
-KNOWN_LIMIT = 400_000
+KNOWN_LIMIT = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -286,10 +286,14 @@ def packed(
                     if held and size + len(ids) > SHARD_TOKENS:
                         yield from settle()
                         owners, held, size = [], [], 0
+                        give_back()
                     owners.append(owner)
                     held.append(ids)
                     size += len(ids)
         if held:
             yield from settle()
+        owners, held = [], []
+        encoder(tokenizer_path).known.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)
