@@ -217,12 +217,8 @@ def candidate_edges(nodes: DataFrame, slack: float = 0.0) -> DataFrame:
     alike than nodes and leaders are, by the distance of one more step.
     """
     band = bands(nodes)
-    met = written(
-        band.groupBy("bucket")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("low") != F.col("high"))
-        .select("bucket", "n")
-    )
+    # nodes are distinct, so a bucket of one row holds nothing that meets
+    met = written(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     sketches = nodes.select("node", "sketch")
     # a node is in BANDS buckets once each, so the largest bucket has less than one in BANDS of these rows
     rows = band.join(met, "bucket").join(sketches, "node")
