@@ -50,6 +50,8 @@ LEADERS_REACHABLE = 0.2
 PART = 2048
 #: Nodes of a cluster that are intersected as one matrix, and nodes of a larger cluster that all its blocks hold.
 BLOCK, HUBS = 256, 64
+#: Bits of the filter through which texts pass before they meet the wanted documents: at most 2 ** 25 / 64 rows of 16 bytes.
+FILTER_BITS = 25
 #: A worker forgets the word hashes that it knows beyond this many.
 KNOWN_LIMIT = 300_000
 
@@ -350,10 +352,25 @@ def verified_links(members: DataFrame, threshold: int) -> DataFrame:
     return first.unionByName(links_in_groups(left.select(*columns).unionByName(right.select(*columns)), threshold))
 
 
+def perhaps_wanted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in wanted, and some more, without a shuffle of rows.
+
+    The hashes of wanted's keys set bits in a table of a fixed size, 64 to a row,
+    which is broadcast.  With many more keys than bits all rows pass: it saves
+    work before an exact join and decides nothing.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    one = wanted.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    words = one.groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    met = rows.withColumn("__word", word).join(F.broadcast(words), "__word")
+    return met.where(F.getbit("__bits", bit) == 1).select(*rows.columns)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, cluster, hashes) of wanted (node, cluster, doc_id), from the texts of those documents."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.join(wanted, "doc_id").select("node", "cluster", "text")
+    rows = perhaps_wanted(rows, wanted, "doc_id").join(wanted, "doc_id").select("node", "cluster", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,10 +414,10 @@ def near_duplicates(
     # a lower threshold lets linked nodes differ by more in their distance to a leader
     edges = candidate_edges(nodes, max(0, 85 - threshold) / 100)
     clusters = connected_components(edges).withColumnRenamed("label", "cluster")
-    wanted = clusters.join(nodes.select("node", F.col("least_id").alias("doc_id")), "node")
+    wanted = written(clusters.join(nodes.select("node", F.col("least_id").alias("doc_id")), "node"))
     sets = written(full_sets(docs, wanted, id_col, text_col, shingle))
     links = connected_components(written(verified_links(sets, threshold)))
-    forget(edges, sets)
+    forget(edges, wanted, sets)
     least = nodes.select("node", "least_id", "n")
     reached = links.join(least, "node")
     of_label = reached.groupBy("label").agg(F.min("least_id").alias("component_id"))

@@ -630,3 +630,16 @@ def test_language_code_lengths_equal_plain_contexts():
                 bits -= math.log2(p)
             assert math.isclose(trees.lengths([t])[0, column], bits, rel_tol=1e-4, abs_tol=1e-3), (lang, t)
     assert alphabet
+
+
+@pytest.mark.parametrize("bits", (6, 25))
+def test_filter_before_the_texts_meet(spark, monkeypatch, bits):
+    from curbflow.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "FILTER_BITS", bits)
+    rows = spark.range(-3000, 3000).selectExpr("id as doc_id", "'t' as text").unionByName(spark.sql("select cast(null as long) doc_id, 'n' text"))
+    wanted = spark.range(-3000, 3000, 7).withColumnRenamed("id", "doc_id")
+    got = [r["doc_id"] for r in nd.perhaps_wanted(rows, wanted, "doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) >= {r["doc_id"] for r in wanted.collect()}
+    assert len(got) < 1000 if bits == 25 else len(got) <= 6001
+    assert nd.perhaps_wanted(rows, wanted.limit(0), "doc_id").count() == 0
