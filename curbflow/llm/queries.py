@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_fit import best_fit_packed
 from .common import id_remainder, table
 from .decontaminate import contamination
 from .hidden_markov import hidden_markov_scores
@@ -108,6 +109,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit_packed(docs, tokenizer("byte_bpe_50k.json"), carry={"ids_crc32": F.crc32("ids")}).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_language_id": op2_language_id,
@@ -119,6 +127,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
 
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

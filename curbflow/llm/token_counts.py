@@ -54,6 +54,7 @@ class RankMerger:
         vocab = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
+        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[s] for s in byte_symbols()], dtype=np.int64)
         self.last = np.array([vocab[s + suffix] for s in byte_symbols()], dtype=np.int64)
