@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .best_fit import best_fit_packed
 from .common import id_remainder, table
 from .decontaminate import contamination
+from .hard_negatives import hard_negatives
 from .hidden_markov import hidden_markov_scores
 from .inner_products import top_products
 from .language_id import language_id, train_language_id
@@ -116,6 +117,11 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_language_id": op2_language_id,
@@ -128,6 +134,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -198,4 +205,28 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_hard_negatives": """
+        WITH usable AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+                   CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+            FROM usable a JOIN usable c ON c.vec_id <> a.vec_id AND len(a.v) = len(c.v)
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same)
+            WHERE place <= 5
+        ), ranked AS (
+            SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id AS negative_id, positive_score, score AS negative_score
+            FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+             AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        )
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
 }
