@@ -14,6 +14,7 @@ from .inner_products import top_products
 from .language_id import language_id, train_language_id
 from .near_duplicates import near_duplicates
 from .packing import packed
+from .prefix_trie import prefix_trie
 from .repeats import without_repeats
 from .secrets import secret_spans, span_text
 from .token_counts import token_counts
@@ -122,6 +123,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    kept = F.pmod(F.crc32(conv_id.cast("string").cast("binary")), F.lit(9))
+    return prefix_trie(table(spark, sf_dir, "conversations"), 8, conv_id - conv_id % 5, kept)
+
+
 QUERIES = {
     "op1_hidden_markov": op1_hidden_markov,
     "op2_language_id": op2_language_id,
@@ -135,6 +142,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -229,4 +237,43 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    # the inner list_reduce is a byte's eight steps of the CRC-32 with the reflected polynomial 0xEDB88320
+    "op13_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS source, xor(list_reduce(
+                list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+                lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte)),
+                CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ), r AS (
+            SELECT c.conv_id, 0 AS side, i, role, text FROM c JOIN t ON t.conv_id = source AND i < h
+            UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h
+        ), p AS (
+            SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+                   array_to_string(list(sha256(role || chr(1) || text)) OVER w, ',') AS key
+            FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY side, i)
+        ), members AS (
+            SELECT conv_id, depth, bytes, key, regexp_replace(key, ',?[0-9a-f]*$', '') AS up FROM p
+            UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c
+        ), n AS (
+            SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, count(*) AS n_convs,
+                   (count(*) - 1) * any_value(bytes) AS saved
+            FROM members GROUP BY key
+        ), k AS (
+            SELECT up AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up
+        ), s AS (
+            SELECT x.key, count(*) FILTER (k.key IS NULL) AS n_leaves, CAST(sum(y.saved) AS BIGINT) AS saved_tokens
+            FROM n x JOIN n y ON starts_with(y.key, x.key) LEFT JOIN k ON k.key = y.key GROUP BY x.key
+        ), ends AS (
+            SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+            FROM (SELECT conv_id, max_by(key, depth) AS key FROM members GROUP BY conv_id) GROUP BY key
+        )
+        SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+               saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN s ON s.key = n.key LEFT JOIN n m ON m.key = n.up LEFT JOIN k ON k.key = n.key LEFT JOIN ends ON ends.key = n.key
+    """,
 }
