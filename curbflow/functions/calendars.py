@@ -52,9 +52,18 @@ def school_holidays(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "start date, end date")
 
 
+#: Rows of a table that is still broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows have been counted and are few; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def with_date_flag(df: DataFrame, day: Column, dates: DataFrame, flag: str) -> DataFrame:
-    """df with a 0/1 flag: whether ``day`` is among the dates (one column; a calendar, so broadcast)."""
-    known = F.broadcast(dates.select(F.col(dates.columns[0]).cast("date").alias("__day")).distinct())
+    """df with a 0/1 flag: whether ``day`` is among the dates (one column, broadcast if small)."""
+    known = small(dates.select(F.col(dates.columns[0]).cast("date").alias("__day")).distinct())
     joined = df.withColumn("__of", day.cast("date")).join(known, F.col("__of") == F.col("__day"), "left")
     return joined.withColumn(flag, F.col("__day").isNotNull().cast("int")).drop("__of", "__day")
 
@@ -83,16 +92,16 @@ def merged_intervals(intervals: DataFrame) -> DataFrame:
 
 
 def with_interval_flag(df: DataFrame, ts: str, intervals: DataFrame, flag: str) -> DataFrame:
-    """df with a 0/1 flag: whether ``ts`` lies in any closed interval (start, end).
+    """df with a 0/1 flag: whether ``ts`` lies in any closed interval (start, end); 0 where it is null.
 
-    Intervals are merged and dealt to the days that they touch, so the join is
-    an equi-join by day; only distinct timestamps take part in it.
+    Intervals are merged and dealt to the days that they touch, one row a day
+    with its disjoint intervals in order.  A row looks its day up there, so df
+    isn't shuffled as long as the calendar is small.
     """
     daily = merged_intervals(intervals).select(
         F.explode(F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))).alias("__day"), "start", "end"
     )
-    times = df.select(F.col(ts).alias("__ts")).where(F.col("__ts").isNotNull()).distinct()
-    inside = times.withColumn("__day", F.col("__ts").cast("date")).join(F.broadcast(daily), "__day")
-    inside = inside.where((F.col("__ts") >= F.col("start")) & (F.col("__ts") <= F.col("end"))).select("__ts").distinct()
-    joined = df.join(inside, F.col(ts) == F.col("__ts"), "left")
-    return joined.withColumn(flag, F.col("__ts").isNotNull().cast("int")).drop("__ts")
+    by_day = daily.groupBy("__day").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__open"))
+    joined = df.withColumn("__of", F.col(ts).cast("date")).join(small(by_day), F.col("__of") == F.col("__day"), "left")
+    inside = F.exists("__open", lambda i: (F.col(ts) >= i["start"]) & (F.col(ts) <= i["end"]))
+    return joined.withColumn(flag, F.coalesce(inside, F.lit(False)).cast("int")).drop("__of", "__day", "__open")

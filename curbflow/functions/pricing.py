@@ -121,29 +121,41 @@ def seconds_of_day(clock: Column) -> Column:
     return parts[0].cast("int") * 3600 + parts[1].cast("int") * 60
 
 
-def schedule_rules(schedules: DataFrame) -> DataFrame:
-    """(schedule_id, days, start_sec, end_sec, applies_holidays) from schedule texts.
+def schedule_parts(schedules: DataFrame) -> DataFrame:
+    """(schedule_id, part, spec, slots, applies_holidays, reason): each part of each text, and why it is no rule (null if it is one).
 
-    Takes (schedule_id, description, includes_holidays).  A text is cut before
-    each day specification (longest first); each part holds up to two
-    `HH:MM a HH:MM` slots.  A part without slots or days gives no rule.
+    A text is cut before each day specification (longest first); a part holds
+    up to two `HH:MM a HH:MM` slots.  What stands before the first
+    specification is a part unless it is blank.  Where a text has no day at all
+    its slots are a rule of unknown days, with a null spec.  Null texts have no parts.
     """
-    specs = schedules.sparkSession.createDataFrame([(k.lower(), list(v)) for k, v in DAY_SPECS.items()], "spec string, days array<int>")
     names = "|".join(sorted(DAY_SPECS, key=len, reverse=True)).replace(" ", r"\s+")
     start = rf"(?i)(?:^|(?<=[,;.])\s*)(?:i\s+)?(?:de\s+)?({names})\b"
     text = F.trim(F.regexp_replace("description", r"\s{2,}", " "))
-    marked = F.regexp_replace(text, start, "\u0001$1")
-    parts = schedules.select("schedule_id", "includes_holidays", F.explode(F.split(marked, "\u0001")).alias("part"))
+    cut = F.filter(F.split(F.regexp_replace(text, start, "\u0001$1"), "\u0001"), lambda p: F.trim(p) != "")
+    parts = schedules.select("schedule_id", "includes_holidays", F.explode(cut).alias("part"), (F.size(cut) == 1).alias("alone"))
     spec = F.lower(F.regexp_replace(F.regexp_extract("part", rf"(?i)^({names})\b", 1), r"\s+", " "))
-    slots = F.slice(F.regexp_extract_all("part", F.lit(r"(\d{1,2}:\d{2}\s+a\s+\d{1,2}:\d{2})"), 1), 1, 2)
-    rules = parts.select(
-        "schedule_id",
-        spec.alias("spec"),
-        (F.col("includes_holidays").cast("boolean") | F.lower("part").contains("festius")).alias("applies_holidays"),
-        F.explode(slots).alias("slot"),
-    ).join(F.broadcast(specs), "spec")
+    parts = parts.withColumns(
+        {
+            "spec": F.when(spec != "", spec),
+            "slots": F.slice(F.regexp_extract_all("part", F.lit(r"(\d{1,2}:\d{2}\s+a\s+\d{1,2}:\d{2})"), 1), 1, 2),
+            "applies_holidays": F.col("includes_holidays").cast("boolean") | F.lower("part").contains("festius"),
+        }
+    )
+    dayless, empty = F.col("spec").isNull(), F.size("slots") == 0
+    reason = F.when(dayless & empty, "neither day nor slot").when(empty, "no slot").when(dayless & ~F.col("alone"), "no day")
+    return parts.withColumn("reason", reason).drop("includes_holidays", "alone")
+
+
+def schedule_rules(schedules: DataFrame) -> DataFrame:
+    """(schedule_id, days, start_sec, end_sec, applies_holidays) from schedule texts (schedule_id, description, includes_holidays).
+
+    A rule for each slot of each part that is one; days are null where the text names none.
+    """
+    specs = schedules.sparkSession.createDataFrame([(k.lower(), list(v)) for k, v in DAY_SPECS.items()], "spec string, days array<int>")
+    slots = schedule_parts(schedules).where("reason IS NULL").select("schedule_id", "spec", "applies_holidays", F.explode("slots").alias("slot"))
     ends = F.split("slot", r"\s+a\s+")
-    return rules.select(
+    return slots.join(F.broadcast(specs), "spec", "left").select(
         "schedule_id",
         "days",
         seconds_of_day(ends[0]).alias("start_sec"),
@@ -152,17 +164,22 @@ def schedule_rules(schedules: DataFrame) -> DataFrame:
     )
 
 
+def rejected_parts(schedules: DataFrame) -> DataFrame:
+    """(schedule_id, part, reason) of the parts of schedule texts that give no rule."""
+    return schedule_parts(schedules).where("reason IS NOT NULL").select("schedule_id", F.trim("part").alias("part"), "reason")
+
+
 def regulation_status(checks: DataFrame, ts: str, schedule_id: str, rules: DataFrame, schedules: DataFrame, holidays: DataFrame) -> DataFrame:
     """checks with ``status`` at ``ts``.
 
     rules as of schedule_rules; schedules has (schedule_id, only_inside) and
     holidays one date column.  All three are rule tables, so broadcast; a check
-    meets the rules of its own schedule only.
+    meets the rules of its own schedule only.  Rules of unknown days decide nothing.
     """
     from .calendars import with_date_flag
 
     second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    per_schedule = rules.groupBy("schedule_id").agg(
+    per_schedule = rules.where("days IS NOT NULL").groupBy("schedule_id").agg(
         F.collect_list(F.struct("days", "start_sec", "end_sec", "applies_holidays")).alias("rules")
     )
     known = schedules.select("schedule_id", "only_inside").join(per_schedule, "schedule_id", "left")

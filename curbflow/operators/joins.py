@@ -39,26 +39,35 @@ def micros(ts: Column) -> Column:
 def asof_nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, tolerance_s: int) -> DataFrame:
     """left with the columns of the right row nearest in time, at most ``tolerance_s`` away (inclusive).
 
-    Ties take the earlier row.  Times of right must be unique.  Both sides are
-    bucketed by the tolerance, a distinct left time looks into three buckets,
-    and the rest is an equi-join; no window spans the whole table.
+    Ties take the earlier row; times of right must be unique.  Both sides'
+    distinct times lie in one order within buckets as wide as the tolerance;
+    windows bring the last row before and the first after, and what may lie
+    over a bucket's edge are the last row of the bucket before and the first of
+    the one after.  So each row is looked at a fixed number of times, however
+    many fall into one tolerance.
     """
-    width = tolerance_s * 1_000_000
+    width = max(1, tolerance_s * 1_000_000)
     columns = [c for c in right.columns if c != right_ts]
-    stamps = left.select(F.col(left_ts).alias("__t")).where("__t is not null").distinct()
-    bucket = F.floor(micros(F.col("__t")) / width)
-    asks = stamps.select("__t", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("__b"))
-    rows = right.select(
-        F.floor(micros(F.col(right_ts)) / width).alias("__b"), F.col(right_ts).alias("__r"), *columns
-    ).where("__r is not null")
-    away = F.abs(micros(F.col("__t")) - micros(F.col("__r")))
-    near = asks.join(rows, "__b").withColumn("__away", away).where(F.col("__away") <= width)
-    best = near.groupBy("__t").agg(
-        F.min_by(F.struct("__r", *columns), F.struct("__away", "__r")).alias("__best")
+    row = F.struct(micros(F.col(right_ts)).alias("m"), F.col(right_ts).alias("r"), *columns)
+    rights = right.where(F.col(right_ts).isNotNull()).select(F.col(right_ts).alias("t"), row.alias("row"))
+    lefts = left.select(F.col(left_ts).alias("t")).where("t is not null").distinct()
+    both = lefts.withColumn("row", F.lit(None).cast(rights.schema["row"].dataType)).unionByName(rights)
+    both = both.withColumn("b", F.floor(micros(F.col("t")) / width))
+    edges = both.where("row is not null").groupBy("b").agg(F.min("row").alias("first"), F.max("row").alias("last"))
+    # both look back, in either order: a frame that reaches to the end is worked out anew for each row
+    prev, nxt = (
+        F.last("row", ignorenulls=True).over(Window.partitionBy("b").orderBy(t, F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+        for t in (F.asc("t"), F.desc("t"))
     )
-    joined = left.join(best, F.col(left_ts) == F.col("__t"), "left")
+    asks = both.withColumns({"prev": prev, "next": nxt}).where("row is null").drop("row")
+    asks = asks.join(edges.select((F.col("b") + 1).alias("b"), F.col("last").alias("before")), "b", "left")
+    asks = asks.join(edges.select((F.col("b") - 1).alias("b"), F.col("first").alias("after")), "b", "left")
+    m, a, b = micros(F.col("t")), F.coalesce("prev", "before"), F.coalesce("next", "after")
+    a, b = F.when(m - a["m"] <= tolerance_s * 1_000_000, a), F.when(b["m"] - m <= tolerance_s * 1_000_000, b)
+    best = F.when(b.isNull() | (m - a["m"] <= b["m"] - m), a).otherwise(b)
+    joined = left.join(asks.select(F.col("t").alias("__t"), best.alias("__best")), F.col(left_ts) == F.col("__t"), "left")
     return joined.select(
-        *[left[c] for c in left.columns], F.col("__best.__r").alias(right_ts), *[F.col(f"__best.{c}").alias(c) for c in columns]
+        *[left[c] for c in left.columns], F.col("__best.r").alias(right_ts), *[F.col(f"__best.{c}").alias(c) for c in columns]
     )
 
 
@@ -83,9 +92,11 @@ def asof_nearest_unbounded(left: DataFrame, right: DataFrame, left_ts: str, righ
         F.last("last", ignorenulls=True).over(years.rowsBetween(Window.unboundedPreceding, -1)).alias("before_day"),
         F.first("first", ignorenulls=True).over(years.rowsBetween(1, Window.unboundedFollowing)).alias("after_day"),
     )
-    w = Window.partitionBy("day").orderBy("t", F.col("row").isNull())
-    prev = F.last("row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("row", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # both look back, in either order: a frame that reaches to the end is worked out anew for each row
+    prev, nxt = (
+        F.last("row", ignorenulls=True).over(Window.partitionBy("day").orderBy(t, F.col("row").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+        for t in (F.asc("t"), F.desc("t"))
+    )
     known = both.withColumns({"prev": prev, "next": nxt}).where("row is null").join(F.broadcast(carried), "day", "left")
     a, b = F.coalesce("prev", "before_day"), F.coalesce("next", "after_day")
     closer = (micros(F.col("t")) - micros(a["r"])) <= (micros(b["r"]) - micros(F.col("t")))

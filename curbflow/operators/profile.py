@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import range_layout
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share); nulls are a value of their own."""
@@ -42,7 +44,7 @@ FIVE = [0.0, 0.25, 0.5, 0.75, 1.0]
 def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """(by, quantiles): the exact quantiles of a column, interpolated between neighbours; nulls don't count.
 
-    Values are counted first.  The counts are range-partitioned, a partition
+    Values are counted first.  The counts are range-partitioned and written, a partition
     learns how many values lie before it (one row for each partition and group),
     and the neighbours of each quantile are the rows whose range of places holds
     its place.  No buffer holds a group's values, and no task all of them.
@@ -52,8 +54,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], by: list[st
     by = by or []
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
     order = [*by, "__v"]
-    placed = counts.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = placed.withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33))
+    placed = range_layout(counts, order)
     sizes = placed.groupBy("__p", *by).agg(F.sum("__n").alias("__size"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = F.sum("__size").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))

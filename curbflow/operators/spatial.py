@@ -79,10 +79,46 @@ def usable_line(coordinates: Column) -> Column:
     return F.when(F.size(line) >= 2, line)
 
 
-def usable_parts(parts: Column) -> Column:
-    """The usable lines of a multi-line; none make null."""
-    lines = F.filter(F.transform(parts, usable_line), lambda x: x.isNotNull())
-    return F.when(F.size(lines) >= 1, lines)
+#: Depth of nesting of each kind's coordinates above a point's, and the least points of its lines or outer rings.
+GEOMETRY_KINDS = {"Point": (0, 1), "LineString": (1, 2), "MultiLineString": (2, 2), "Polygon": (2, 3), "MultiPolygon": (3, 3)}
+
+
+def typed_geometry(kind: Column, coordinates: Column) -> dict[str, Column]:
+    """parts, polygons and reason of a geometry of any kind, from its JSON coordinates.
+
+    Every kind is read as polygons (arrays of rings, arrays of points).  What
+    isn't a pair is skipped; then lines with fewer than two points, and polygons
+    whose outer ring has fewer than three, are skipped, and a geometry of which
+    nothing is left has a reason and nulls.  ``parts`` are the lines of a point or line
+    (a point is a line of one), ``polygons`` the rings of an area, outer first.
+    """
+    pair = "array<double>"
+    nested = [pair, f"array<{pair}>", f"array<array<{pair}>>", f"array<array<array<{pair}>>>"]
+    read = [F.from_json(coordinates, t) for t in nested]
+    depth = {d: kind.isin([k for k, (n, _) in GEOMETRY_KINDS.items() if n == d]) for d in range(4)}
+    # a point, a line and a multi-line are one polygon of lines, so that all kinds have one shape
+    shape = F.when(depth[0], F.array(F.array(F.array(read[0])))).when(depth[1], F.array(F.array(read[1]))).when(depth[2], F.array(read[2])).when(depth[3], read[3])
+
+    def ring(points_: Column) -> Column:
+        pairs = F.filter(points_, lambda p: F.size(p) == 2)
+        return F.transform(pairs, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+
+    rings = F.transform(shape, lambda part: F.transform(F.coalesce(part, F.array().cast(nested[2])), ring))
+    number = F.forall(rings, lambda part: F.forall(part, lambda r: F.forall(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())))
+    least = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, (_, n) in GEOMETRY_KINDS.items()])
+    area = kind.isin("Polygon", "MultiPolygon")
+    lines = F.filter(F.flatten(rings), lambda r: F.size(r) >= least)
+    polygons = F.filter(rings, lambda part: F.coalesce(F.size(F.get(part, F.lit(0))) >= least, F.lit(False)))
+    left = F.when(area, F.size(polygons)).otherwise(F.size(lines))
+    reason = (
+        F.when(kind.isNull() | coordinates.isNull(), "no geometry")
+        .when(~kind.isin(list(GEOMETRY_KINDS)), "unsupported kind")
+        .when(shape.isNull() | ~F.coalesce(number, F.lit(False)), "not numbers")
+        .when(F.coalesce(left, F.lit(0)) < 1, "too few points")
+        .otherwise("usable")
+    )
+    ok = reason == "usable"
+    return {"parts": F.when(ok & ~area, lines), "polygons": F.when(ok & area, polygons), "reason": reason}
 
 
 def repaired_line(coordinates: Column) -> tuple[Column, Column]:
@@ -129,8 +165,8 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return crossings % 2 == 1
 
 
-def point_line_distance(x: Column, y: Column, line: Column) -> Column:
-    """Distance from a point to the nearest place of a line."""
+def distances_to_edges(x: Column, y: Column, line: Column) -> Column:
+    """Distances from a point to each edge of a line."""
 
     def to_edge(e: Column) -> Column:
         dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
@@ -139,27 +175,62 @@ def point_line_distance(x: Column, y: Column, line: Column) -> Column:
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
         return F.hypot(x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy)
 
-    return F.array_min(F.transform(edges(line), to_edge))
+    return F.transform(edges(line), to_edge)
 
 
-def pairs_within(lines: DataFrame, places: DataFrame, radius: float) -> DataFrame:
-    """(columns of both, distance) for lines (line) and places (x, y) at most ``radius`` apart.
+def point_line_distance(x: Column, y: Column, line: Column) -> Column:
+    """Distance from a point to the nearest place of a line."""
+    return F.array_min(distances_to_edges(x, y, line))
+
 
-    A place has one grid cell, a line lists each cell near it once: the join is
-    on cells, and the distance is checked exactly.
+def edge_cells(lines: DataFrame, radius: float) -> DataFrame:
+    """lines (line) with a row for each edge and grid cell (__cx, __cy) that a place within ``radius`` of the edge may have.
+
+    An edge walks through the rows of cells that it comes near.  In each it is
+    clipped to the row's band, widened by the radius, and lists the cells from
+    the clipped part's least to its greatest x, widened likewise.  So the
+    number of cells grows with the edge's length and not with its box.
     """
+    pad = radius * (1 + 1e-9)
 
     def cell(v: Column) -> Column:
         return F.floor(v / radius)
 
-    def reach(axis: str) -> Column:
-        values = F.transform("line", lambda p: p[axis])
-        return F.explode(F.sequence(cell(F.array_min(values) - radius), cell(F.array_max(values) + radius)))
+    each = lines.select("*", F.posexplode(edges(F.col("line"))).alias("__edge", "__e")).select(
+        "*", *[F.col(f"__e.{end}.{axis}").cast("double").alias(f"__{end}{axis}") for end in "ab" for axis in "xy"]
+    )
+    ax, ay, bx, by = map(F.col, ("__ax", "__ay", "__bx", "__by"))
+    rows = F.sequence(cell(F.least(ay, by) - pad), cell(F.greatest(ay, by) + pad))
+    each = each.drop("__e").withColumn("__cy", F.explode(rows))
+    low, high = F.col("__cy") * radius - pad, (F.col("__cy") + 1) * radius + pad
+    slope = F.nullif(by - ay, F.lit(0.0))
+    t1, t2 = F.coalesce((low - ay) / slope, F.lit(0.0)), F.coalesce((high - ay) / slope, F.lit(1.0))
+    inside = [F.least(F.greatest(f(t1, t2), F.lit(0.0)), F.lit(1.0)) for f in (F.least, F.greatest)]
+    each = each.withColumns({"__x1": ax + inside[0] * (bx - ax), "__x2": ax + inside[1] * (bx - ax)})
+    x1, x2 = F.col("__x1"), F.col("__x2")
+    slack = pad + 1e-9 * (F.abs(ax) + F.abs(bx))
+    columns = F.sequence(cell(F.least(x1, x2) - slack), cell(F.greatest(x1, x2) + slack))
+    return each.withColumn("__cx", F.explode(columns)).drop("__x1", "__x2")
+
 
-    near = lines.withColumn("__cx", reach("x")).withColumn("__cy", reach("y"))
-    at = places.withColumns({"__cx": cell(F.col("x")), "__cy": cell(F.col("y"))})
-    joined = near.join(at, ["__cx", "__cy"]).withColumn("distance", point_line_distance(F.col("x"), F.col("y"), F.col("line")))
-    return joined.where(F.col("distance") <= radius).drop("__cx", "__cy")
+def pairs_within(lines: DataFrame, places: DataFrame, radius: float) -> DataFrame:
+    """(columns of both, distance) for lines (line) and places (x, y) at most ``radius`` apart.
+
+    A place has one grid cell, an edge lists the cells near it: the join is on
+    cells, and the distance to the edge is checked exactly.  Of a line's edges
+    the first of the least distance makes the pair, so none comes twice.  Null
+    lines and places without coordinates pair with nothing.
+    """
+    at = places.withColumns({f"__c{axis}": F.floor(F.col(axis) / radius) for axis in "xy"})
+    dx, dy = F.col("__bx") - F.col("__ax"), F.col("__by") - F.col("__ay")
+    px, py = F.col("x") - F.col("__ax"), F.col("y") - F.col("__ay")
+    square = dx * dx + dy * dy
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / square))).otherwise(0.0)
+    near = edge_cells(lines, radius).join(at, ["__cx", "__cy"]).withColumn("distance", F.hypot(px - t * dx, py - t * dy))
+    near = near.where(F.col("distance") <= radius)
+    others = F.when(F.size("line") > 2, distances_to_edges(F.col("x"), F.col("y"), F.col("line")))
+    mine = others.isNull() | (F.array_position(others, F.array_min(others)) == F.col("__edge") + 1)
+    return near.where(mine).select(*lines.columns, *places.columns, "distance")
 
 
 def category_counts(

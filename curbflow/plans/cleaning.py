@@ -369,6 +369,6 @@ def sl6(spark, sf):
 @query("sl1_total_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS place FROM events")
 def sl1(spark, sf):
     """The place of each row in a total order, from range partitions and their sizes."""
-    from .learning import with_row_index
+    from curbflow.operators.layout import with_row_index
 
     return with_row_index(table(spark, sf, "events"), ["ts", "event_id"], "place").select("event_id", "place")

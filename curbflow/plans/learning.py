@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbflow.operators.layout import with_row_index
 from curbflow.operators.profile import exact_quantiles
 from curbflow.sources.scratch import new_folder
 
@@ -12,23 +13,6 @@ from .registry import query, table
 from .series import PANEL, panel
 
 
-def with_row_index(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """df with the place of each row in a total order.
-
-    Rows are range-partitioned and sorted; a row's place is its place in the
-    partition plus the sizes of the partitions before, of which there is one
-    row each.
-    """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ordered.withColumn("__m", F.monotonically_increasing_id())
-    placed = placed.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND((1 << 33) - 1)})
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__start"))
-    joined = placed.join(F.broadcast(starts), "__p")
-    return joined.withColumn(name, F.col("__start") + F.col("__i")).drop("__m", "__p", "__i", "__start")
-
-
 def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
     """Expanding splits: train on rows before the first bound, test from it to the second."""
     size = n // (folds + 1)

@@ -94,6 +94,30 @@ def sc19(spark, sf):
     return rules.select("schedule_id", F.size("days").alias("n_days"), "start_sec", "end_sec", "applies_holidays")
 
 
+@query(
+    "sc19_rejected_parts",
+    """WITH p AS (SELECT p_partkey AS k, p_partkey % 5 AS kind, lpad(CAST(p_size % 12 AS VARCHAR), 2, '0') || ':00' AS h FROM part)
+       SELECT k AS schedule_id, 'rule' AS side, 'Dl a Dv de ' || h || ' a 20:00,' AS part, NULL AS reason FROM p WHERE kind = 0
+       UNION ALL SELECT k, 'reject', 'Ds', 'no slot' FROM p WHERE kind = 0
+       UNION ALL SELECT k, 'reject', 'matins ' || h || ' a 14:00,', 'no day' FROM p WHERE kind = 1
+       UNION ALL SELECT k, 'rule', 'Dg de 09:00 a 14:00', NULL FROM p WHERE kind = 1
+       UNION ALL SELECT k, 'rule', 'de ' || h || ' a 20:00', NULL FROM p WHERE kind = 2
+       UNION ALL SELECT k, 'reject', 'consulteu el tauler', 'neither day nor slot' FROM p WHERE kind = 3""",
+)
+def sc19_rejects(spark, sf):
+    """Each part of each text is either a rule's or a reject's; null texts have none."""
+    kind, clock = F.col("p_partkey") % 5, F.concat(F.lpad((F.col("p_size") % 12).cast("string"), 2, "0"), F.lit(":00"))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("de Dl a Dv de "), clock, F.lit(" a 20:00, i Ds")))
+        .when(kind == 1, F.concat(F.lit("matins "), clock, F.lit(" a 14:00, Dg de 09:00 a 14:00")))
+        .when(kind == 2, F.concat(F.lit("de "), clock, F.lit(" a 20:00")))
+        .when(kind == 3, "consulteu el tauler")
+    )
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("schedule_id"), text.alias("description"), F.lit(0).alias("includes_holidays"))
+    rules = pricing.schedule_parts(texts).where("reason IS NULL").select("schedule_id", F.lit("rule").alias("side"), F.trim("part").alias("part"), "reason")
+    return rules.unionByName(pricing.rejected_parts(texts).withColumn("side", F.lit("reject")))
+
+
 def schedules(spark):
     return spark.createDataFrame(SCHEDULES, "schedule_id int, description string, includes_holidays int, only_inside boolean")
 

@@ -167,6 +167,56 @@ def io2(spark, sf):
     return rows.select(F.col("segment_id").cast("long").alias("segment_id"), compact_timestamp(F.col("raw_ts")).alias("ts"), "state")
 
 
+@query(
+    "io2_history_files",
+    """SELECT o_custkey AS segment_id, o_orderdate AS ts, CAST(o_orderkey % 7 AS INTEGER) AS state, strftime(o_orderdate, '%Y_%m') AS file_month FROM orders
+       WHERE o_orderdate >= TIMESTAMP '1996-11-01' AND o_orderdate < TIMESTAMP '1997-03-01'""",
+)
+def io2_files(spark, sf):
+    """History files named by month, in one folder; the file system lists those of the range, and only they are opened."""
+    folder, parts = landing_folder(spark), landing_folder(spark)
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("int").alias("idTram"),
+        F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("data"),
+        (F.col("o_orderkey") % 7).cast("int").alias("estatActual"),
+        (F.col("o_orderkey") % 5).cast("int").alias("estatPrevist"),
+        F.date_format("o_orderdate", "yyyy_MM").alias("month"),
+    )
+    o.repartition("month").write.option("header", True).partitionBy("month").csv(parts)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for i, file in enumerate(fs.globStatus(path(f"{parts}/month=*/part-*.csv"))):  # a name for each landed file
+        month = file.getPath().getParent().getName().removeprefix("month=")
+        fs.rename(file.getPath(), path(f"{folder}/{month}_{i}_TRAMS_TRAMS.csv"))
+    rows = landing.read_history(spark, folder, "1996-11", "1997-02")
+    return rows.select(
+        F.col("segment_id").cast("long").alias("segment_id"), compact_timestamp(F.col("raw_ts")).alias("ts"), "state", F.substring("file_name", 1, 7).alias("file_month")
+    )
+
+
+@query(
+    "io3_rejected_lines",
+    """SELECT strftime(o_orderdate, '%Y') AS year, count(*) FILTER (o_orderkey % 10 NOT IN (0, 1)) AS n_good, count(*) FILTER (o_orderkey % 10 IN (0, 1)) AS n_bad,
+       CAST(coalesce(sum(o_custkey) FILTER (o_orderkey % 10 NOT IN (0, 1)), 0) AS BIGINT) AS sum_good FROM orders GROUP BY 1""",
+)
+def io3_rejects(spark, sf):
+    """CSV with a header, a fifth of its lines malformed: too few fields, or a word where a number belongs."""
+    folder = landing_folder(spark)
+    o, last = table(spark, sf, "orders"), F.col("o_orderkey") % 10
+    text = F.col("o_custkey").cast("string")
+    rest = F.concat_ws(",", F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("1"), F.lit("2"))
+    line = F.when(last == 0, "x,broken").when(last == 1, F.concat_ws(",", F.lit("none"), rest)).otherwise(F.concat_ws(",", text, rest))
+    header = ",".join(f.split()[0] for f in landing.HISTORY_SCHEMA.split(", "))
+    # the header is the one column's name, written without quotes or escapes
+    o.select(line.alias(header), F.year("o_orderdate").alias("year")).write.options(header=True, sep="\u0001", quote="").partitionBy("year").csv(folder)
+    rows = landing.read_marked(spark, folder, landing.HISTORY_SCHEMA + ", year STRING")
+    bad = F.col(landing.CORRUPT).isNotNull()
+    return rows.groupBy("year").agg(
+        F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"), F.coalesce(F.sum(F.when(~bad, F.col("idTram"))), F.lit(0)).alias("sum_good")
+    )
+
+
 @query(
     "io10_report_csv",
     "SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1",

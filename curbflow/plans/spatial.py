@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curbflow.operators import spatial as sp
-from curbflow.sources.landing import read_csv
+from curbflow.sources.landing import read_csv, read_geometries
 from curbflow.sources.scratch import new_folder
 
 from .registry import query, table
@@ -131,6 +131,47 @@ def sp5(spark, sf):
     return places(spark, sf).select("vec_id", F.size(sp.usable_line(raw)).alias("s")).select("vec_id", F.when(F.col("s") > 0, F.col("s")).alias("n_points"))
 
 
+@query(
+    "sp5_geometry_kinds",
+    f"""WITH {XY} SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'MultiLineString' WHEN 3 THEN 'Polygon' WHEN 4 THEN 'MultiPolygon'
+          WHEN 5 THEN 'LineString' WHEN 6 THEN 'MultiLineString' WHEN 7 THEN 'Polygon' WHEN 8 THEN 'GeometryCollection' ELSE 'Point' END AS kind,
+        CASE vec_id % 10 WHEN 5 THEN 'too few points' WHEN 6 THEN 'too few points' WHEN 7 THEN 'not numbers' WHEN 8 THEN 'unsupported kind' ELSE 'usable' END AS reason,
+        CASE vec_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 9 THEN 1 END AS n_lines, CASE vec_id % 10 WHEN 3 THEN 1 WHEN 4 THEN 1 END AS n_polygons,
+        CASE vec_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 3 THEN 7 WHEN 4 THEN 3 WHEN 9 THEN 1 END AS n_points,
+        round(CASE WHEN vec_id % 10 IN (0, 9) THEN x WHEN vec_id % 10 = 1 THEN x + x2 WHEN vec_id % 10 = 2 THEN 3 * x + 2 * x2 WHEN vec_id % 10 = 3 THEN 4 * x + 3 * x2 WHEN vec_id % 10 = 4 THEN 2 * x + x2 END, 6) AS sum_x FROM xy""",
+)
+def sp5_kinds(spark, sf):
+    """Geometries of all kinds, some not usable, landed as lines of JSON and read back."""
+    a, b = F.array("x", "y"), F.array("x2", "y2")
+    short = F.array(F.col("x"))
+    ring = F.array(a, b, a, a)
+    of = {
+        0: ("Point", a),
+        1: ("LineString", F.array(a, short, b)),
+        2: ("MultiLineString", F.array(F.array(a, b), F.array(a), F.array(a, b, a, short))),
+        3: ("Polygon", F.array(ring, F.array(b, b, a))),
+        4: ("MultiPolygon", F.array(F.array(F.array(a, b)), F.array(F.array(a, b, a)))),
+        5: ("LineString", F.array(a, short)),
+        6: ("MultiLineString", F.array(F.array(a), F.array(short))),
+        7: ("Polygon", F.array(F.array(a, F.array(F.lit(None).cast("double"), F.col("y")), b))),
+        8: ("GeometryCollection", F.array(a)),
+        9: ("Point", a),
+    }
+    way = F.col("vec_id") % 10
+    kind = F.coalesce(*[F.when(way == k, F.lit(name)) for k, (name, _) in of.items()])
+    text = F.coalesce(*[F.when(way == k, F.to_json(c)) for k, (_, c) in of.items()])
+    folder = new_folder(spark, "geometry")
+    geometry = F.concat(F.lit('{"type": "'), kind, F.lit('", "coordinates": '), text, F.lit("}"))
+    places(spark, sf).select(F.concat(F.lit('{"id": '), F.col("vec_id"), F.lit(', "geometry": '), geometry, F.lit("}")).alias("value")).write.text(folder)
+    rows = read_geometries(spark, folder)
+    typed = rows.withColumns(sp.typed_geometry(F.col("kind"), F.col("coordinates")))
+    points = F.coalesce(F.flatten("parts"), F.flatten(F.flatten("polygons")))
+    total = F.aggregate(points, F.lit(0.0), lambda s, p: s + p["x"])
+    counts = {"n_lines": F.when(F.col("parts").isNotNull(), F.size("parts")), "n_polygons": F.when(F.col("polygons").isNotNull(), F.size("polygons"))}
+    typed = typed.withColumns(counts | {"n_points": F.when(points.isNotNull(), F.size(points)), "sum_x": F.round(total, 6)})
+    return typed.select(F.col("id").alias("vec_id"), "kind", "reason", "n_lines", "n_polygons", "n_points", "sum_x")
+
+
 @query(
     "sp7_point_in_polygon",
     f"""WITH {XY} SELECT vec_id, x > -0.1 AND x < 0.1 AND y > -0.05 AND y < 0.15 AS inside FROM xy""",

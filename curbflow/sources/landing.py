@@ -14,8 +14,6 @@ PREDICTION_SCHEMA = (
     "OPENDATA_PSIU_APPARKB ARRAY<STRUCT<FH_INICIO: STRING, TRAMOS: ARRAY<STRUCT<features: ARRAY<STRUCT<"
     "properties: STRUCT<ID_TRAMO: BIGINT, TRAMO: STRING, TIPO: STRING, TARIFA: STRING, HORARIO: STRING, PREDICCIONES: STRING>>>>>>>"
 )
-#: Fixed value: the name of a monthly history file, year and month first.
-HISTORY_NAME = r"^(\d{4})_(\d{2})_.*?_TRAMS_TRAMS\.csv"
 GTFS_SCHEMAS = {
     "stops": "stop_id STRING, stop_name STRING, stop_lat DOUBLE, stop_lon DOUBLE",
     "stop_times": "trip_id STRING, stop_id STRING, arrival_time STRING",
@@ -25,9 +23,59 @@ GTFS_SCHEMAS = {
 }
 
 
+#: Where a line that doesn't parse is kept whole.
+CORRUPT = "_corrupt_record"
+
+
+def whole_lines(spark: SparkSession, path: str | list[str], schema: str, folder_columns: str = "") -> DataFrame:
+    """CSV with a header and `_corrupt_record`.
+
+    The reader converts only the columns that a query refers to, and marks a
+    line only for those; the filter, which holds always, refers to all of them.
+    """
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = spark.read.options(**options).schema(f"{schema}, {CORRUPT} STRING{folder_columns}").csv(path)
+    return rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(1)) == 0)
+
+
+def read_marked(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """CSV with a header: the schema's columns, `_corrupt_record` (the whole line where it doesn't parse) and file_name.
+
+    A line doesn't parse if it has another number of fields than the header or
+    a field that isn't of its type.  Whole lines are parsed whatever columns are asked for.
+    """
+    return whole_lines(spark, path, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """CSV with a header; lines that don't parse are dropped (``read_lines`` keeps and marks them, to be counted)."""
-    return spark.read.option("header", True).schema(schema).option("mode", "DROPMALFORMED").csv(path)
+    """The lines of CSV with a header that parse; ``rejected_lines`` has the others."""
+    return read_marked(spark, path, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file_name")
+
+
+def rejected_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(file_name, line): the side table of what ``read_csv`` leaves out."""
+    return read_marked(spark, path, schema).where(F.col(CORRUPT).isNotNull()).select("file_name", F.col(CORRUPT).alias("line"))
+
+
+def line_counts(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """(file_name, n_good, n_bad) of each file of CSV with a header; a file without lines below its header has no row."""
+    bad = F.col(CORRUPT).isNotNull()
+    return read_marked(spark, path, schema).groupBy("file_name").agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"))
+
+
+def files_of_months(spark: SparkSession, folder: str, start: str, end: str) -> list[str]:
+    """Paths of the monthly history files (YYYY_MM_..._TRAMS_TRAMS.csv) of a folder from ``start`` to ``end`` (YYYY-MM).
+
+    The file system lists the folder by one pattern a year; names outside the
+    range, and names of another form, are left out.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for year in range(int(start[:4]), int(end[:4]) + 1):
+        pattern = hadoop.Path(f"{folder}/{year}_[0-9][0-9]_*_TRAMS_TRAMS.csv")
+        statuses = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        found += [(f"{year}-{s.getPath().getName()[5:7]}", s.getPath().toString()) for s in statuses]
+    return sorted(path for month, path in found if start <= month <= end)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -38,17 +86,19 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """(segment_id, raw_ts, state, file_name) of monthly files; ``start`` and ``end`` (YYYY-MM) choose files by name."""
-    rows = read_csv(spark, path, HISTORY_SCHEMA).select(
-        F.col("idTram").alias("segment_id"),
-        F.col("data").alias("raw_ts"),
-        F.col("estatActual").alias("state"),
-        F.col("_metadata.file_name").alias("file_name"),
-    )
-    month = F.concat_ws("-", F.regexp_extract("file_name", HISTORY_NAME, 1), F.regexp_extract("file_name", HISTORY_NAME, 2))
-    if start:
-        rows = rows.where(month >= start)
-    return rows.where(month <= end) if end else rows
+    """(segment_id, raw_ts, state, file_name) of monthly files.
+
+    With ``start`` and ``end`` (YYYY-MM) ``path`` is a folder whose files of
+    these months, chosen by name, are all that is opened; without any there are no rows.
+    """
+    if (start is None) != (end is None):
+        raise ValueError("a range of months needs both ends")
+    paths = path if start is None else files_of_months(spark, path, start, end)
+    if paths:
+        rows = read_marked(spark, paths, HISTORY_SCHEMA).where(F.col(CORRUPT).isNull())
+    else:
+        rows = spark.createDataFrame([], f"{HISTORY_SCHEMA}, file_name STRING")
+    return rows.select(F.col("idTram").alias("segment_id"), F.col("data").alias("raw_ts"), F.col("estatActual").alias("state"), "file_name")
 
 
 def read_months(spark: SparkSession, folder: str, start: str, end: str) -> DataFrame:
@@ -56,8 +106,7 @@ def read_months(spark: SparkSession, folder: str, start: str, end: str) -> DataF
 
     The month is in the path, so files of other months aren't opened.
     """
-    rows = spark.read.option("header", True).schema(f"{HISTORY_SCHEMA}, month STRING").option("mode", "DROPMALFORMED").csv(folder)
-    rows = rows.where((F.col("month") >= start) & (F.col("month") <= end))
+    rows = whole_lines(spark, folder, HISTORY_SCHEMA, ", month STRING").where((F.col("month") >= start) & (F.col("month") <= end) & F.col(CORRUPT).isNull())
     return rows.select(F.col("idTram").alias("segment_id"), F.col("data").alias("raw_ts"), F.col("estatActual").alias("state"), "month")
 
 
@@ -117,14 +166,21 @@ def write_feature_sets(sets: dict[str, DataFrame], folder: str) -> None:
 
 
 def landed_columns(spark: SparkSession, path: str, expected: list[str]) -> DataFrame:
-    """(file_name, missing, n_rows) for each landed CSV file, from its header line and its lines."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("at"))
-    marked = lines.withColumn("head", F.array_sort(F.split(F.regexp_replace("value", '"', ""), ",")))
-    want = F.array(*map(F.lit, expected))
-    found = F.size(F.array_except(want, F.col("head"))) == 0
-    shared = F.size(F.array_intersect(want, F.col("head")))
-    by_file = marked.groupBy("file_name").agg(
-        F.bool_or(found).alias("complete"), F.max_by("head", shared).alias("best"), F.count("*").alias("n_lines")
+    """(file_name, missing, n_rows) for each landed CSV file, from its first line and the number of its lines.
+
+    A file's first block begins with its first line, and a task reads a block
+    in order, so the header is the line with the least running number there.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id")
     )
-    missing = F.when(F.col("complete"), F.array().cast("array<string>")).otherwise(F.array_except(want, F.col("best")))
+    first = F.min_by("value", F.when(F.col("at") == 0, F.col("id"))).alias("head")
+    by_file = lines.groupBy("file_name").agg(first, F.count("*").alias("n_lines"))
+    missing = F.array_except(F.array(*map(F.lit, expected)), F.split(F.regexp_replace("head", '"', ""), ","))
     return by_file.select("file_name", F.array_join(missing, ",").alias("missing"), (F.col("n_lines") - 1).alias("n_rows"))
+
+
+def read_geometries(spark: SparkSession, path: str, id_col: str = "id") -> DataFrame:
+    """(id, kind, coordinates) of lines of JSON with a geometry; coordinates stay JSON text, as their nesting depends on the kind."""
+    raw = spark.read.schema(f"{id_col} BIGINT, geometry STRUCT<type: STRING, coordinates: STRING>").json(path)
+    return raw.select(id_col, F.col("geometry.type").alias("kind"), F.col("geometry.coordinates").alias("coordinates"))

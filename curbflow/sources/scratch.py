@@ -28,6 +28,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written once in the shared folder: whatever reads it sees the same rows in the same files."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder."""
     context = df.sparkSession.sparkContext
