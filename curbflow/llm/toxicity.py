@@ -7,8 +7,8 @@ sample of labelled texts.  A label belongs to a text, not to a window, so the
 windows of a text are pooled: softly (log-sum-exp) in training, by the largest
 when scoring, which finds a few insults in a text of any length.  Misspelt
 words share most n-gram vectors with the words that they stand for; training
-also sees some words with a letter swapped out.  Scores are calibrated on rows
-of the sample that training leaves out.
+also sees some words with a letter swapped out.  Scores are calibrated on what
+models of a part of the sample give the texts of the other parts.
 
 After training each n-gram weighs one number (its vector times the difference
 of the two softmax rows), so a word costs one lookup.
@@ -79,6 +79,8 @@ class ToxicityModel:
     slope: float
     shift: float
     known: dict = field(default_factory=dict)
+    centre: float = 0.0
+    spread: float = 1.0
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -103,6 +105,10 @@ class ToxicityModel:
             self.known.clear()
         return out
 
+    def standard(self, raw: np.ndarray) -> np.ndarray:
+        """Raw scores by the scale of those of the texts that the model was trained on."""
+        return (raw - self.centre) / self.spread
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weight is None:
             return np.full(len(texts), self.shift)
@@ -117,15 +123,48 @@ def misspelt(word: str, rng: np.random.Generator) -> str:
     return word[:i] + (chr(97 + int(rng.integers(26))), word[i] * 2, "")[how] + word[i + 1 :]
 
 
+#: Parts of the sample for cross-fitted calibration, and the least slope in units of the raw scores' spread.
+FOLDS, LEAST_SLOPE = 3, 0.5
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128, seed: int = 7) -> ToxicityModel:
-    """Train embeddings and softmax jointly; Adagrad, log-sum-exp over windows."""
+    """A model of the whole sample, calibrated on raw scores that each text gets from a model that hasn't seen it.
+
+    The sample is cut into FOLDS parts with the labels dealt out evenly.  A
+    model without a part scores that part, standardised by its own scores of
+    all other texts, so that the parts' scores have one scale; the logistic
+    curve over all of them is carried over to the model of all texts.  The
+    slope has a positive lower bound, so scores rise with raw scores whatever the sample.
+    """
     y = np.array(labels, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return ToxicityModel(None, 0.0, 1.0, float(y[0]) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    n_held = len(y) // 6
-    held, used = order[:n_held], order[n_held:]
+    part = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        rows = rng.permutation(np.flatnonzero(y == label))
+        part[rows] = np.arange(len(rows)) % FOLDS
+    scaled, known = np.zeros(len(y)), np.zeros(len(y), bool)
+    for fold in range(FOLDS):
+        seen, left = np.flatnonzero(part != fold), np.flatnonzero(part == fold)
+        if not len(left) or len(np.unique(y[seen])) < 2:
+            continue
+        model = fit_weights([texts[i] for i in seen], y[seen], epochs, batch, seed + fold + 1)
+        scaled[left] = model.standard(model.raw([texts[i] for i in left]))
+        known[left] = True
+    model = fit_weights(texts, y, epochs, batch, seed)
+    if not known.any() or y[known].min() == y[known].max():
+        scaled, known = model.standard(model.raw(texts)), np.ones(len(y), bool)
+    slope, shift = calibrated(scaled[known], y[known])
+    model.slope = slope / model.spread
+    model.shift = shift - slope * model.centre / model.spread
+    return model
+
+
+def fit_weights(texts: list[str], y: np.ndarray, epochs: int, batch: int, seed: int) -> ToxicityModel:
+    """Train embeddings and softmax jointly; Adagrad, log-sum-exp over windows.  Both labels occur."""
+    rng = np.random.default_rng(seed)
+    used = np.arange(len(y))
     place: dict[str, int] = {}
     ids = []
     for text in texts:
@@ -191,8 +230,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 128,
         soft -= 0.1 * d_soft / np.sqrt(g_soft)
         bias -= 0.1 * d_bias / np.sqrt(g_bias)
     model = ToxicityModel(emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0]), 1.0, 0.0)
-    check = held if y[held].any() and not y[held].all() else order
-    model.slope, model.shift = calibrated(model.raw([texts[i] for i in check]), y[check])
+    raw = model.raw(texts)
+    # half-way between the classes, and the spread within them: a few outliers of one class don't set the scale
+    means = [raw[y == label].mean() for label in (0, 1)]
+    model.centre = float(sum(means) / 2)
+    model.spread = float(max(abs(means[1] - means[0]) / 2, raw.std() / 2, 1e-6))
     return model
 
 
@@ -208,17 +250,25 @@ def log_odds(ids: list[np.ndarray], y: np.ndarray, grams: np.ndarray, begin: np.
     return (np.log(rate[1]) - np.log(rate[0])) * held.sum(0) / (held.sum(0) + SHRINK)
 
 
-def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of y over raw, by Newton steps with a weak prior."""
-    mean, spread = raw.mean(), raw.std() + 1e-9
-    x = np.stack([(raw - mean) / spread, np.ones(len(raw))], 1)
-    w = np.zeros(2)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-3])
-        w -= np.linalg.solve(hess, x.T @ (p - y) + np.array([1e-2, 1e-3]) * w)
-    slope = max(w[0], 0.0) / spread
-    return float(slope), float(w[1] - slope * mean)
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope, LEAST_SLOPE at least, and shift of the logistic curve of y over standard scores x, by Newton steps with a weak prior."""
+    w = np.array([1.0, 0.0])
+
+    def step(free: np.ndarray) -> None:
+        p = 1 / (1 + np.exp(-np.clip(x * w[0] + w[1], -30, 30)))
+        columns = np.stack([x, np.ones(len(x))], 1)[:, free]
+        prior = np.array([1e-2, 1e-3])[free]
+        hess = (columns * (p * (1 - p))[:, None]).T @ columns + np.diag(prior)
+        move = np.linalg.solve(hess, columns.T @ (p - y) + prior * w[free])
+        w[free] -= np.clip(move, -2, 2)
+
+    for _ in range(60):
+        step(np.array([0, 1]))
+    if w[0] < LEAST_SLOPE:
+        w[0] = LEAST_SLOPE
+        for _ in range(60):
+            step(np.array([1]))
+    return float(w[0]), float(w[1])
 
 
 def train_toxicity(

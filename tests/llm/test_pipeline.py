@@ -1,5 +1,8 @@
 """The pipeline's stages, each against what brute force says about its own input."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -8,19 +11,52 @@ from curbflow.llm.common import table
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
-    docs = table(spark, SF, "documents")
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The smallest tables with 60 toxic and 60 clean documents more, of which two thirds are labelled."""
+    folder = str(tmp_path_factory.mktemp("planted"))
+    docs, rng = table(spark, SF, "documents"), random.Random(3)
+    rows = []
+    for i in range(120):
+        words = [f"{rng.choice(['ther', 'on', 'esh', 'ble'])}{rng.choice(['an', 'wh', 'ing', 'or', 'ut'])}{i % 7}" for _ in range(rng.randrange(20, 90))]
+        if i % 2:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choices(["slimeball", "rotbrain", "vilefool"], k=4)
+        rows.append((10**6 + i, " ".join(words), "en", "planted", 1))
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    labels = table(spark, SF, "labels")
+    known = spark.createDataFrame([(i, 1, i % 2) for i, *_ in rows if i % 3], labels.schema)
+    labels.unionByName(known).write.parquet(f"{folder}/labels.parquet")
+    table(spark, SF, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_stages(spark, planted):
+    docs = table(spark, planted, "documents")
     columns = docs.columns
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
+        out = stage(spark, docs, planted)
         if name != "packing":
             assert out.columns == columns
         docs = spark.createDataFrame(out.collect(), out.schema)
         sizes.append(docs.count())
+        if name == "toxicity":
+            left = {r["doc_id"] for r in docs.where("doc_id >= 1000000").collect()}
+            assert sum(i % 2 for i in left) <= 3 and sum(1 - i % 2 for i in left) >= 58
+            original = {r["doc_id"] for r in docs.where("doc_id < 1000000").collect()}
+            clean = {r["doc_id"] for r in table(spark, SF, "labels").where("toxic = 0").collect()}
+            assert clean <= original  # nothing that is labelled clean goes
     assert sizes[0] > sizes[1] >= sizes[2] >= sizes[3] == sizes[4] > 0
 
 
+def test_stages_of_an_empty_table(spark):
+    docs = table(spark, SF, "documents").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0, name
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     made = [(i, "a b c d e f g", "en", "s", 13) for i in (4, 3, 3, 9)] + [(None, "a b c d e f g", "en", "s", 13), (7, "", "en", "s", 0)]
     docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
