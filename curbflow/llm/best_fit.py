@@ -26,15 +26,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, slices
+from .packing import piece_classes
 from .shared_tables import written
 from .token_counts import SPLIT, RankMerger
 
 #: A worker forgets the pieces and pre-tokens that it knows beyond this many.
-KNOWN_LIMIT = 400_000
+KNOWN_LIMIT = 500_000
 #: White space of which a part forms a pre-token of its own; texts are cut before its last character.
 #: Fixed value: the characters that Unicode calls white space.
 SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WIDE_SPACE = re.compile(SPACE + "{3,}|" + SPACE + r"{2,}\Z")
+#: A text without any of these has no two such characters in a row.
+MAYBE_WIDE = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class ByteEncoder:
@@ -62,12 +65,39 @@ class ByteEncoder:
         self.tokens.update(zip(tokens, map(raw_ids.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def learn(self, pieces: list[str]) -> None:
-        """Pieces that begin with a line break stand for themselves, others for a blank and themselves."""
-        found = [self.split.findall(p if p[:1] == "\n" else " " + p) for p in pieces]
-        if new := list(set().union(*found).difference(self.tokens)):
-            self.learn_tokens(new)
-        of = self.tokens.__getitem__
-        self.pieces.update(zip(pieces, [b"".join(map(of, f)) for f in found], strict=True))
+        """Pieces that begin with a line break stand for themselves, others for a blank and themselves.
+
+        Pre-tokens end where the class of characters changes, and all new ones
+        are merged as one ragged array.  Pieces with an apostrophe, inner white
+        space or a rare character are cut by the pattern.
+        """
+        whole = [p if p[:1] == "\n" else " " + p for p in pieces]
+        points = np.frombuffer("".join(whole).encode("utf-32-le"), "<u4")
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        first = np.cumsum(sizes) - sizes
+        starts = np.zeros(len(points), bool)
+        starts[first] = True
+        classes = piece_classes()
+        kind = classes[np.minimum(points, len(classes) - 1)]
+        odd = (points == 39) | (points >= len(classes)) | ((kind == 0) & ~starts)
+        by_pattern = np.logical_or.reduceat(odd, first)
+        for i in np.flatnonzero(by_pattern).tolist():
+            self.pieces[pieces[i]] = b"".join(self.known_tokens(self.split.findall(whole[i])))
+        if by_pattern.all():
+            return
+        keep = np.repeat(~by_pattern, sizes)
+        points, kind, starts = points[keep], kind[keep], starts[keep]
+        after_start = np.r_[False, starts[:-1]]
+        cut = starts | np.where(after_start, np.r_[False, points[:-1] == 10], np.r_[True, kind[1:] != kind[:-1]])
+        at = np.flatnonzero(cut)
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800)
+        plain = np.flatnonzero(~by_pattern).tolist()
+        raw = np.frombuffer("".join([whole[i] for i in plain]).encode(), np.uint8)
+        place, ids = self.merger.merge_ragged(raw, np.add.reduceat(width, at))
+        piece = (np.cumsum(starts) - 1)[at][place]
+        edges = (np.r_[0, np.cumsum(np.bincount(piece, minlength=len(plain)))] * 4).tolist()
+        raw_ids = ids.astype("<u4").tobytes()
+        self.pieces.update(zip([pieces[i] for i in plain], map(raw_ids.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
     def parts(self, text: str) -> Iterator[str | bytes]:
         """Special strings as ids, wide white space as '' and itself, the rest as texts to cut."""
@@ -76,7 +106,7 @@ class ByteEncoder:
                 yield self.special_ids[part]
                 continue
             done = 0
-            for m in WIDE_SPACE.finditer(part):
+            for m in WIDE_SPACE.finditer(part) if any(x in part for x in MAYBE_WIDE) else ():
                 end = m.end() if m.end() == len(part) else m.end() - 1
                 if m.start() > done:
                     yield part[done : m.start()]
@@ -209,8 +239,7 @@ def cut_pieces(
                     pa.array(place),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        encoder(tokenizer_path).pieces.clear()
-        encoder(tokenizer_path).tokens.clear()
+        encoder(tokenizer_path).tokens.clear()  # the pieces stay for the worker's next task
         give_back()
 
     return rows.mapInArrow(run, schema)
