@@ -32,21 +32,33 @@ def tariff_unit(code: Column, fraction_type: Column, max_time: Column) -> Column
     )
 
 
-def parking_cost(
-    minutes: Column, unit: Column, fraction_type: Column, rate: Column, min_time: Column, max_time: Column, max_cost: Column
-) -> Column:
-    """The price of a stay in cents-exact decimals; null for an unknown unit or fraction type."""
-    units = (
+def charged_units(minutes: Column, unit: Column, min_time: Column, max_time: Column) -> Column:
+    """The hours, days or minutes that a stay is charged for; null for an unknown unit."""
+    return (
         F.when(unit == "hours", F.least(F.greatest(minutes / 60.0, min_time), max_time))
         .when(unit == "days", F.least(F.greatest(F.ceil(minutes / 1440.0).cast("double"), min_time), max_time))
         .when(unit == "minutes", F.least(F.greatest(minutes.cast("double"), min_time), max_time))
         .when(unit == "event/hours", F.least(minutes / 60.0, max_time))
     )
+
+
+def price_of_units(units: Column, fraction_type: Column, rate: Column) -> Column:
+    """The price before its cap; null for an unknown fraction type."""
     flat = F.when((rate > 0) & (units > 0), rate).otherwise(0.0)
-    raw = F.when(fraction_type.isin(1, 2), rate * units).when(fraction_type == 0, flat)
-    capped = F.greatest(F.least(raw, max_cost), F.lit(0.0))
-    cost = F.when(minutes < 0, 0.0).when(units.isNotNull() & raw.isNotNull(), capped)
-    return F.round(cost.cast("decimal(20,6)"), 2).cast("decimal(10,2)")
+    return F.when(fraction_type.isin(1, 2), rate * units).when(fraction_type == 0, flat)
+
+
+def with_parking_cost(df: DataFrame, minutes: str, unit: str, name: str = "cost") -> DataFrame:
+    """df (minutes, unit, fraction_type, rate, min_time, max_time, max_cost) with the price of a stay in cents-exact decimals.
+
+    Null for an unknown unit or fraction type.  Units and raw price are columns
+    of their own projections, so that nothing is worked out twice.
+    """
+    c = F.col
+    priced = df.withColumn("__units", charged_units(c(minutes), c(unit), c("min_time"), c("max_time")))
+    priced = priced.withColumn("__raw", F.when(c("__units").isNotNull(), price_of_units(c("__units"), c("fraction_type"), c("rate"))))
+    cost = F.when(c(minutes) < 0, 0.0).when(c("__raw").isNotNull(), F.greatest(F.least("__raw", "max_cost"), F.lit(0.0)))
+    return priced.withColumn(name, F.round(cost.cast("decimal(20,6)"), 2).cast("decimal(10,2)")).drop("__units", "__raw")
 
 
 def tariff_amount(text: Column) -> Column:

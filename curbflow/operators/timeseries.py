@@ -78,9 +78,10 @@ def exact_lag(df: DataFrame, key: str, ts: str, value: str, lag_s: int, name: st
 
 def fill_both_ways(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """Forward, then backward fill within the key; keys without any value go."""
-    w = Window.partitionBy(key).orderBy(ts)
-    back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # both look back, in either order: a frame that reaches to the end is worked out anew for each row
+    back, ahead = (
+        F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)) for t in (F.asc(ts), F.desc(ts))
+    )
     return df.withColumn(value, F.coalesce(back, ahead)).where(F.col(value).isNotNull())
 
 

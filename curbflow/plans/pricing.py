@@ -55,9 +55,9 @@ def sc18(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_partkey") % 7).alias("tariff_id"), (F.col("l_quantity") * 30 - 60).alias("minutes")
     )
-    unit = pricing.tariff_unit(F.col("code"), F.col("fraction_type"), F.col("max_time"))
-    cost = pricing.parking_cost(F.col("minutes"), unit, *map(F.col, ("fraction_type", "rate", "min_time", "max_time", "max_cost")))
-    return lines.join(F.broadcast(t), "tariff_id").select("l_orderkey", "l_linenumber", cost.alias("cost"))
+    # the unit is the tariff's, so it is worked out once a tariff
+    t = t.withColumn("unit", pricing.tariff_unit(F.col("code"), F.col("fraction_type"), F.col("max_time")))
+    return pricing.with_parking_cost(lines.join(F.broadcast(t), "tariff_id"), "minutes", "unit").select("l_orderkey", "l_linenumber", "cost")
 
 
 #: A made-up schedule table: id, description, whether it holds on holidays, whether parking is allowed only inside.

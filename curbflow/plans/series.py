@@ -43,6 +43,20 @@ def ts1_monthly(spark, sf):
     return ts_.resample_ffill(panel(spark, sf), "user_id", "ts", "state", 3600, reset_monthly=True)
 
 
+@query(
+    "ts1_monthly_reset",
+    """WITH p AS (SELECT o_custkey AS k, o_orderdate AS t, o_orderkey % 7 AS v, date_trunc('month', o_orderdate) AS m FROM orders),
+       s AS (SELECT k, m, date_trunc('day', min(t)) AS low, date_trunc('day', max(t)) AS high FROM p GROUP BY 1, 2),
+       u AS (SELECT k, m, unnest(generate_series(low, high, INTERVAL 1 DAY)) AS t, NULL AS v, 1 AS label FROM s UNION ALL SELECT k, m, t, v, 0 FROM p),
+       f AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY k, m ORDER BY t, label, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM u)
+       SELECT k AS o_custkey, t AS o_orderdate, state FROM f WHERE label = 1""",
+)
+def ts1_monthly_reset(spark, sf):
+    """Customers' orders over years: each month's grid is its own, and no value crosses into the next month."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", (F.col("o_orderkey") % 7).alias("state"))
+    return ts_.resample_ffill(o, "o_custkey", "o_orderdate", "state", 86400, reset_monthly=True)
+
+
 @query(
     "ts2_row_lags",
     f"""WITH {PANEL} SELECT event_id, {", ".join(f"lag(state, {n}) OVER w AS lag_{n}" for n in (1, 6, 12, 24))} FROM panel
@@ -55,8 +69,7 @@ def ts2(spark, sf):
 
 @query(
     "ts3_exact_lag",
-    f"""WITH {GRID}, g AS MATERIALIZED (SELECT user_id, ts, state, CAST(epoch(ts) AS BIGINT) // 3600 AS h FROM grid)
-        SELECT a.user_id, a.ts, b.state AS lag_24h FROM g a LEFT JOIN g b ON a.user_id = b.user_id AND a.h = b.h + 24""",
+    f"""WITH {GRID} SELECT user_id, ts, lag(state, 24) OVER (PARTITION BY user_id ORDER BY ts) AS lag_24h FROM grid""",  # the grid has every hour
 )
 def ts3(spark, sf):
     return ts_.exact_lag(hourly(spark, sf), "user_id", "ts", "state", 86400, "lag_24h").select("user_id", "ts", "lag_24h")
