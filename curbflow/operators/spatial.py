@@ -7,7 +7,8 @@ from math import radians, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.sources.scratch import checkpointed
+from curbflow.operators.layout import with_row_index
+from curbflow.sources.scratch import checkpointed, written
 
 #: The WGS84 / GRS80 ellipsoid's half axis and flattening (they agree to the millimetre), UTM scale.
 HALF_AXIS, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
@@ -320,47 +321,134 @@ def service_frequency(stop_times: DataFrame) -> DataFrame:
     return stop_times.groupBy("stop_id").agg((F.count("*") / 24).alias("trips_per_hour"))
 
 
-def density_clusters(df: DataFrame, key: str, eps: float, min_samples: int, max_rounds: int = 40) -> DataFrame:
-    """(key, cluster): DBSCAN on x and y; -1 is noise, clusters are numbered by their smallest key.
+def grid_neighbours(df: DataFrame, reach: int) -> DataFrame:
+    """df (cx, cy) once for each cell at most ``reach`` cells away in either direction."""
+    each = df.withColumn("cx", F.explode(F.sequence(F.col("cx") - reach, F.col("cx") + reach)))
+    return each.withColumn("cy", F.explode(F.sequence(F.col("cy") - reach, F.col("cy") + reach)))
 
-    eps is inclusive and min_samples counts the point itself.  Neighbours come
-    from a grid join; core points are connected by smallest labels with pointer
-    jumps, each round written out or checkpointed so that plans stay short; a
-    border point goes to the adjacent core of the smallest label.
+
+def box_gaps(a: str, b: str) -> tuple[Column, Column]:
+    """Least and greatest distance between a place in box ``a`` and one in box ``b`` (columns a_x1, a_x2, a_y1, a_y2, ...)."""
+    least, most = [], []
+    for axis in "xy":
+        low_a, high_a, low_b, high_b = (F.col(f"{p}_{axis}{i}") for p in (a, b) for i in (1, 2))
+        least.append(F.greatest(low_b - high_a, low_a - high_b, F.lit(0.0)))
+        most.append(F.greatest(high_b - low_a, high_a - low_b))
+    return F.hypot(*least), F.hypot(*most)
+
+
+def box() -> list[Column]:
+    """Aggregates that make the box x1, x2, y1, y2 of a group's places."""
+    return [f(axis).alias(f"{axis}{i}") for axis in "xy" for i, f in ((1, F.min), (2, F.max))]
+
+
+def touching_cells(spots: DataFrame, nodes: DataFrame, eps: float, side: float, direct: int) -> DataFrame:
+    """(a, b): labels of the nodes (cx, cy, label, n, box) that have spots (cx, cy, x, y) at most ``eps`` apart.
+
+    Boxes decide most pairs: they are further apart than eps, or nowhere so.  A pair
+    that stays open is compared spot by spot if it has at most ``direct`` pairs of
+    spots; else both cells are cut into 16 parts, whose boxes are judged likewise,
+    and so on.  Every round drops the pairs of cells that are known to touch.
     """
-    at = df.select(F.col(key).alias("k"), "x", "y").where("x is not null and y is not null")
+    corners = ["x1", "x2", "y1", "y2"]
+    a = nodes.select("cx", "cy", F.col("cx").alias("a_cx"), F.col("cy").alias("a_cy"), F.col("label").alias("a"), F.col("n").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in corners])
+    b = nodes.select("cx", "cy", F.col("cx").alias("b_cx"), F.col("cy").alias("b_cy"), F.col("label").alias("b"), F.col("n").alias("b_n"), *[F.col(c).alias(f"b_{c}") for c in corners])
+    open_pairs = grid_neighbours(a, 2).join(b, ["cx", "cy"]).where(F.struct("a_cx", "a_cy") < F.struct("b_cx", "b_cy")).drop("cx", "cy")
+    whole = {f"{p}_g{axis}": F.lit(0).cast("long") for p in "ab" for axis in "xy"}
+    open_pairs = open_pairs.withColumns(whole)
+    least, most = box_gaps("a", "b")
+    found, level, width = None, 0, None
+    cell, part = ["cx", "cy"], ["gx", "gy"]
+    while True:
+        judged = checkpointed(open_pairs.where(least <= eps).withColumn("sure", most <= eps))
+        here = spots.withColumns({f"g{axis}": F.lit(0).cast("long") if width is None else F.floor(F.col(axis) / width) for axis in "xy"})
+        few = judged.where(~F.col("sure") & (F.col("a_n") * F.col("b_n") <= direct))
+        sides = []
+        for p in "ab":
+            sides.append(here.select(*[F.col(c).alias(f"{p}_{c}") for c in cell + part], F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")))
+        met = few.join(sides[0], [f"a_{c}" for c in cell + part]).join(sides[1], [f"b_{c}" for c in cell + part])
+        near = met.where(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) <= eps)
+        linked = checkpointed(judged.where("sure").select("a", "b").union(near.select("a", "b")).distinct())
+        found = linked if found is None else found.union(linked)
+        many = judged.where(~F.col("sure") & (F.col("a_n") * F.col("b_n") > direct)).join(linked, ["a", "b"], "left_anti")
+        if many.isEmpty():
+            return found
+        level += 1
+        width = side / 4.0**level
+        inner = spots.withColumns({f"g{axis}": F.floor(F.col(axis) / width) for axis in "xy"})
+        outer = {f"o{axis}": F.lit(0).cast("long") if level == 1 else F.floor(F.col(axis) / (side / 4.0 ** (level - 1))) for axis in "xy"}
+        wanted = many.select(*[F.col(f"a_{c}").alias(c) for c in cell]).union(many.select(*[F.col(f"b_{c}").alias(c) for c in cell])).distinct()
+        parts = inner.join(wanted, cell, "left_semi").withColumns(outer).groupBy(*cell, "ox", "oy", *part).agg(F.count("*").alias("n"), *box())
+        parts = checkpointed(parts)
+        open_pairs = many.select("a", "b", *[f"{p}_{c}" for p in "ab" for c in cell], *[F.col(f"{p}_g{axis}").alias(f"{p}_o{axis}") for p in "ab" for axis in "xy"])
+        for p in "ab":
+            mine = parts.select(*[F.col(c).alias(f"{p}_{c}") for c in parts.columns])
+            open_pairs = open_pairs.join(mine, [f"{p}_{c}" for c in cell + ["ox", "oy"]])
+        open_pairs = open_pairs.drop(*[f"{p}_o{axis}" for p in "ab" for axis in "xy"])
+
+
+#: Places of one cell that one task of a pairing meets; cells with more have parts.
+CELL_PART = 4096
+
+
+def density_clusters(df: DataFrame, key: str, eps: float, min_samples: int, max_rounds: int = 40, direct: int = 4096) -> DataFrame:
+    """(key, cluster), one row for each of df: DBSCAN on x and y; -1 is noise, clusters are numbered by their smallest key.
+
+    Keys are unique; rows with a null key don't count, and get the cluster of
+    their location.  eps is inclusive and min_samples counts the point itself.
+    Equal locations are looked at once.  Cells are so small that all their points are neighbours:
+    a cell with min_samples points has cores only, so only places of other cells
+    count their neighbours, and a cell's cores are one node of the component
+    search, whatever their number.  Nodes are connected by smallest labels with
+    pointer jumps, each round checkpointed so that plans stay short.  A border
+    point goes to the adjacent core of the smallest label.  Points without
+    finite coordinates are noise; an empty table has no rows.
+    """
+    side = eps / sqrt(2) * (1 - 1e-6)
 
-    def cell(v: Column) -> Column:
-        return F.floor(v / eps)
-
-    here = at.withColumns({"cx": cell(F.col("x")), "cy": cell(F.col("y"))})
-    around = at.withColumn("cx", F.explode(F.sequence(cell(F.col("x")) - 1, cell(F.col("x")) + 1)))
-    around = around.withColumn("cy", F.explode(F.sequence(cell(F.col("y")) - 1, cell(F.col("y")) + 1)))
-    a, b = here.select("cx", "cy", "k", "x", "y"), around.select("cx", "cy", F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    close = a.join(b, ["cx", "cy"]).where(F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) <= eps)
-    close = close.select("k", "k2").persist()
-    cores = close.groupBy("k").count().where(F.col("count") >= min_samples).select("k")
-    links = close.join(cores, "k").join(cores.withColumnRenamed("k", "k2"), "k2").select("k", "k2").persist()
-    labels = links.groupBy("k").agg(F.min("k2").alias("label")).persist()
+    def finite(name: str) -> Column:
+        return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf"))
+
+    given = df.select(F.col(key).alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    spots = given.where(finite("x") & finite("y") & F.col("k").isNotNull()).groupBy("x", "y").agg(F.count("*").alias("w"), F.min("k").alias("k"))
+    spots = spots.withColumns({f"c{axis}": F.floor(F.col(axis) / side) for axis in "xy"})
+    sizes = spots.groupBy("cx", "cy").agg(F.sum("w").alias("weight"), F.ceil(F.count("*") / CELL_PART).alias("parts"))
+    spots = written(spots.join(sizes, ["cx", "cy"]).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts"))))
+
+    def meetings(asks: DataFrame, others: DataFrame) -> DataFrame:
+        """asks with all of the others at most eps away."""
+        at = grid_neighbours(asks.select("cx", "cy", F.col("x").alias("x0"), F.col("y").alias("y0")), 2)
+        cells = others.groupBy("cx", "cy").agg(F.max("parts").alias("parts"))
+        at = at.join(cells, ["cx", "cy"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        both = at.join(others.select("cx", "cy", "part", "x", "y", "w"), ["cx", "cy", "part"])
+        return both.where(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) <= eps)
+
+    full, thin = spots.where(F.col("weight") >= min_samples), spots.where(F.col("weight") < min_samples)
+    counts = meetings(thin, spots).groupBy("x0", "y0").agg(F.sum("w").alias("near")).where(F.col("near") >= min_samples)
+    cores = written(full.unionByName(thin.join(counts.select(F.col("x0").alias("x"), F.col("y0").alias("y")), ["x", "y"], "left_semi")))
+    nodes = checkpointed(cores.groupBy("cx", "cy").agg(F.min("k").alias("label"), F.count("*").alias("n"), *box()))
+    edges_ = touching_cells(cores.select("cx", "cy", "x", "y"), nodes, eps, side, direct)
+    links = checkpointed(edges_.union(edges_.select("b", "a")).toDF("node", "other"))
+    labels = nodes.select(F.col("label").alias("node"), "label")
     for _ in range(max_rounds):
-        near = links.join(labels.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("k").alias("label"), F.col("label").alias("far"))
-        new = labels.join(near, "k").join(jump, "label").select(
-            "k", F.least("label", "near", "far").alias("label"), F.col("label").alias("old")
+        reached = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("reached"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = labels.join(reached, "node", "left").join(jump, "label").select(
+            "node", F.least("label", "reached", "far").alias("label"), F.col("label").alias("old")
         )
         new = checkpointed(new)
         done = new.where("label != old").isEmpty()
-        labels = new.select("k", "label")
+        labels = new.select("node", "label")
         if done:
             break
     else:
         raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
-    border = close.join(labels.withColumnRenamed("k", "k2"), "k2").groupBy("k").agg(F.min("label").alias("edge"))
-    out = df.select(F.col(key).alias("k")).join(labels, "k", "left").join(border, "k", "left")
-    names = labels.select("label").distinct()
-    names = names.withColumn("cluster", F.row_number().over(Window.orderBy("label")) - 1)
-    named = out.withColumn("label", F.coalesce("label", "edge")).join(names, "label", "left")
-    return named.select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    numbers = with_row_index(labels.select("label").distinct(), ["label"]).select("label", F.col("row").cast("int").alias("cluster"))
+    named = nodes.select("cx", "cy", F.col("label").alias("node")).join(labels, "node").join(numbers, "label").select("cx", "cy", "cluster")
+    edge = meetings(thin.join(cores, ["x", "y"], "left_anti"), cores).select("x0", "y0", "cx", "cy").distinct()
+    border = edge.join(named, ["cx", "cy"]).groupBy(F.col("x0").alias("x"), F.col("y0").alias("y")).agg(F.min("cluster").alias("cluster"))
+    placed = cores.join(named, ["cx", "cy"]).select("x", "y", "cluster").unionByName(border)
+    return given.join(placed, ["x", "y"], "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def degree_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
