@@ -91,6 +91,26 @@ def ml2(spark, sf):
     return said.groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
+@query("ml2_boosted_trees")
+def ml2_boosted(spark, sf):
+    """Which of a vector's first four components is the largest, learnt from eight: confusion counts on the last quarter.
+
+    The eighth before it says when to stop.
+    """
+    from curbflow.operators.boosting import boosted_trees
+
+    e = table(spark, sf, "embeddings").where("embedding is not null")
+    names = [f"v{i}" for i in range(8)]
+    first = F.slice("embedding", 1, 4)
+    largest = F.array_position(first, F.array_max(first)).cast("int").alias("label")
+    rows = with_row_index(e.select("vec_id", largest, *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)]), ["vec_id"])
+    n = e.count()
+    train = rows.where(F.col("row") < n * 6 // 8).withColumn("valid", F.col("row") >= n * 5 // 8)
+    model = boosted_trees(train, names, "label", "valid", rounds=20, depth=3, n_bins=16)
+    said = model.predict(rows.where(F.col("row") >= n * 6 // 8))
+    return said.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
 @query("ml3_temporal_baseline")
 def ml3(spark, sf):
     """Accuracy by fold of a tree on clock features alone."""

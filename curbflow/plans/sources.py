@@ -50,24 +50,29 @@ def io3(spark, sf):
     return landing.read_lines(spark, folder, landing.HISTORY_SCHEMA).agg(F.count_if(~bad).alias("n_good"), F.count_if(bad).alias("n_bad"))
 
 
+def landed_predictions(spark, o) -> str:
+    """A folder of answers with o's (key, segment, tariff, start, slots), in the nesting of the prediction service."""
+    folder = landing_folder(spark)
+    properties = F.struct(
+        F.col("segment").alias("ID_TRAMO"), F.col("key").cast("string").alias("TRAMO"), F.lit("x").alias("TIPO"), F.col("tariff").alias("TARIFA"),
+        F.lit("h").alias("HORARIO"), F.col("slots").alias("PREDICCIONES"),
+    )
+    parts = F.array(F.struct(F.array(F.struct(properties.alias("properties"))).alias("features")))
+    record = F.struct(F.date_format("start", "dd/MM/yyyy HH:mm:ss").alias("FH_INICIO"), parts.alias("TRAMOS"))
+    # a day's records, a thousandth of them a line, so that no line holds a whole day
+    lines = o.groupBy(F.to_date("start").alias("day"), F.pmod(F.xxhash64("key"), F.lit(1000)).alias("part"))
+    lines.agg(F.collect_list(record).alias("OPENDATA_PSIU_APPARKB")).drop("day", "part").write.json(folder)
+    return folder
+
+
 @query(
     "io4_prediction_json",
     """SELECT o_orderkey AS "ID_TRAMO", strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS "FH_INICIO", o_orderpriority AS "PREDICCIONES" FROM orders""",
 )
 def io4(spark, sf):
-    folder = landing_folder(spark)
-    o = table(spark, sf, "orders")
-    properties = F.struct(
-        F.col("o_orderkey").alias("ID_TRAMO"), F.lit("t").alias("TRAMO"), F.lit("x").alias("TIPO"), F.lit("a").alias("TARIFA"),
-        F.lit("h").alias("HORARIO"), F.col("o_orderpriority").alias("PREDICCIONES"),
-    )
-    parts = F.array(F.struct(F.array(F.struct(properties.alias("properties"))).alias("features")))
-    record = F.struct(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss").alias("FH_INICIO"), parts.alias("TRAMOS"))
-    # a customer's records, a hundredth of them a line, so that no line grows without bound
-    by_customer = o.groupBy("o_custkey", F.pmod(F.xxhash64("o_orderkey"), F.lit(100)).alias("part"))
-    by_customer = by_customer.agg(F.collect_list(record).alias("OPENDATA_PSIU_APPARKB")).drop("o_custkey", "part")
-    by_customer.write.json(folder)
-    return landing.read_predictions(spark, folder, multi_line=False).select("ID_TRAMO", "FH_INICIO", "PREDICCIONES")
+    key = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(key.alias("key"), key.alias("segment"), F.lit("a").alias("tariff"), F.col("o_orderdate").alias("start"), F.col("o_orderpriority").alias("slots"))
+    return landing.read_predictions(spark, landed_predictions(spark, o), multi_line=False).select("ID_TRAMO", "FH_INICIO", "PREDICCIONES")
 
 
 @query(

@@ -96,3 +96,24 @@ def test_edges(spark):
     nothing = spark.createDataFrame([(None, 1), (None, 2), (None, 2)], "a double, t int")
     assert {r["prediction"] for r in boosted_trees(nothing, ["a"], "t", rounds=2).predict(nothing).collect()} == {2}
     assert boosted_trees(one, ["a"], "t", rounds=1).predict(one.where("false")).collect() == []
+
+
+def test_reports_of_registered_queries(spark):
+    """What is certain of a report: supports are the folds' labels, shares fit each other, and training beats the commonest label."""
+    from curbflow.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["pipeline_prediction_features"](spark, sf).select("slot_ts", "key", "slot", "state").collect()
+    states = [r["state"] for r in sorted(rows)]
+    size = len(states) // 4
+    report = QUERIES["pipeline_prediction_report"](spark, sf).collect()
+    for fold in (0, 1, 2, None):
+        test = states[len(states) - (3 - fold) * size :][:size] if fold is not None else states[len(states) - 3 * size :]
+        mine = [r for r in report if r["fold"] == fold]
+        assert {r["label"]: r["support"] for r in mine} == {s: test.count(s) for s in set(test)}
+        hits = sum(r["recall"] * r["support"] for r in mine)
+        assert len(mine) == 3 and all(hits / len(test) == pytest.approx(r["accuracy"]) for r in mine)
+        assert mine[0]["accuracy"] > max(r["support"] for r in mine) / len(test) + 0.05
+    confusion = QUERIES["ml2_boosted_trees"](spark, "/root/testdata/sf0.01").collect()
+    right = sum(r["n"] for r in confusion if r["label"] == r["prediction"])
+    assert right > 0.6 * sum(r["n"] for r in confusion)
