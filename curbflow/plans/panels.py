@@ -13,7 +13,11 @@ from .registry import ORACLES, query, table
 from .series import base_features
 from .spatial import SEGMENTS, XY, places, segments
 
-WEATHER = "w AS (SELECT date_trunc('hour', ts) + INTERVAL 30 MINUTE AS wts, round(avg(value), 6) AS temp_c FROM events WHERE event_type = 'error' GROUP BY 1)"
+#: Weather columns, and the type of event whose values stand for them.
+READINGS = {"temp_c": "error", "precip_mm": "purchase", "wind_kph": "view", "humidity": "click", "cloud_cover": "signup"}
+AVERAGES = ", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 6) AS {n}" for n, t in READINGS.items())
+# readings carry Barcelona's winter time, an hour before UTC
+WEATHER = f"w AS (SELECT date_trunc('hour', ts) + INTERVAL 30 MINUTE - INTERVAL 1 HOUR AS wts, {AVERAGES} FROM events GROUP BY 1)"
 CLUSTERS = ORACLES["sp14_density_clusters"]
 NEAREST = ORACLES["j12_nearest"]
 DENSITY = ORACLES["j13_stop_density"]
@@ -22,17 +26,17 @@ DENSITY = ORACLES["j13_stop_density"]
 @query(
     "pipeline_all_features",
     f"""WITH {WEATHER}, t AS (SELECT DISTINCT ts FROM events),
-        a AS (SELECT t.ts, w.temp_c, row_number() OVER (PARTITION BY t.ts ORDER BY abs(epoch_us(t.ts) - epoch_us(w.wts)), w.wts) AS k FROM t JOIN w ON abs(epoch_us(t.ts) - epoch_us(w.wts)) <= 7200000000),
+        a AS (SELECT t.ts, {", ".join(f"w.{n}" for n in READINGS)}, row_number() OVER (PARTITION BY t.ts ORDER BY abs(epoch_us(t.ts) - epoch_us(w.wts)), w.wts) AS k FROM t JOIN w ON abs(epoch_us(t.ts) - epoch_us(w.wts)) <= 7200000000),
         cl AS ({CLUSTERS}), ne AS ({NEAREST}), de AS ({DENSITY})
         SELECT e.event_id, e.user_id, e.ts, CAST(hour(e.ts) AS INTEGER) AS hour, CAST(isodow(e.ts) - 1 AS INTEGER) AS day_of_week, CAST(month(e.ts) AS INTEGER) AS month,
           CAST(isodow(e.ts) >= 6 AS INTEGER) AS is_weekend, CAST(CAST(e.ts AS DATE) IN (DATE '2024-01-01', DATE '2024-01-06') AS INTEGER) AS is_public_holiday,
-          a.temp_c, CAST({IN_INTERVALS.replace("ts ", "e.ts ")} AS INTEGER) AS is_event_ongoing,
+          {", ".join(f"a.{n}" for n in READINGS)}, CAST({IN_INTERVALS.replace("ts ", "e.ts ")} AS INTEGER) AS is_event_ongoing,
           CAST(CAST(e.ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-10', DATE '2024-01-20') AS INTEGER) AS is_event_day,
           cl.cluster, ne.place AS nearest_stop, ne.distance AS stop_distance, coalesce(de.n, 0) AS n_stops
         FROM events e LEFT JOIN a ON e.ts = a.ts AND a.k = 1 LEFT JOIN cl ON e.user_id = cl.vec_id LEFT JOIN ne ON e.user_id = ne.vec_id LEFT JOIN de ON e.user_id = de.vec_id""",
 )
 def all_features(spark, sf):
-    """Calendar, weather as of the moment, events, the place's cluster and the stops near it, in one table.
+    """Calendar, weather as of the moment (readings in local time, moments in UTC), events, the place's cluster and the stops near it, in one table.
 
     Features of time go to the rows by their timestamp, features of a place are
     worked out once a place and joined by its key.
@@ -43,9 +47,10 @@ def all_features(spark, sf):
         {"hour": F.hour(ts), "day_of_week": temporal.day_of_week(ts), "month": F.month(ts), "is_weekend": temporal.weekend_flags(ts)["is_weekend"]}
     )
     df = calendars.with_date_flag(df, ts, calendars.public_holidays(spark, range(2022, 2026), "CT"), "is_public_holiday")
-    errors = table(spark, sf, "events").where("event_type = 'error'")
-    readings = errors.groupBy((F.date_trunc("hour", "ts") + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("wts"))
-    readings = readings.agg(F.round(F.avg("value"), 6).alias("temp_c"))
+    local = (F.date_trunc("hour", "ts") + F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz")
+    means = [F.round(F.avg(F.when(F.col("event_type") == t, F.col("value"))), 6).alias(n) for n, t in READINGS.items()]
+    readings = table(spark, sf, "events").groupBy(local.alias("wts")).agg(*means)
+    readings = readings.withColumn("wts", temporal.local_to_utc(F.col("wts"))).where("wts is not null")
     df = joins.asof_nearest(df, readings, "ts", "wts", 7200).drop("wts")
     raw = spark.createDataFrame(INTERVALS, "start timestamp_ntz, end timestamp_ntz")
     df = calendars.with_interval_flag(df, "ts", raw.withColumn("end", calendars.whole_day_end(F.col("end"))), "is_event_ongoing")
