@@ -1,6 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are range-partitioned by length, longest first, and a task cuts its
+Vectors are laid out by length, longest first, in parts, and queries in groups.
+A query goes to the parts whose longest vector may give it a score that counts; a
+group meets a part in one cell, a group of a shuffle, which cuts the part's
 rows into buckets of similar length.  For a query q with current k-th score s,
 a bucket whose longest vector has length l can only help with vectors whose
 cosine with q reaches t = s / (|q| l), the bucket's local threshold:
@@ -10,8 +12,8 @@ cosine with q reaches t = s / (|q| l), the bucket's local threshold:
   coordinate lies in the interval that cosine t allows;
 * otherwise: length pruning - only vectors of length s / |q| or more.
 
-What stays is verified by its product.  Queries come in broadcast blocks of
-bounded size, each with a first bound for s from a fixed number of vectors.
+What stays is verified by its product.  A first bound for s comes from a fixed
+number of the longest vectors.  One plan serves any number of queries.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of a broadcast block of queries, vectors of a bucket, and vectors that give first bounds.
-BLOCK_BYTES, BUCKET, PILOT = 16 << 20, 2048, 2048
+from curbflow.llm.shared_tables import written
+
+#: Vectors of a bucket, vectors that give first bounds, and queries of a group.
+BUCKET, PILOT, QUERIES = 2048, 2048, 4096
+#: Vectors of a part, and the most parts, whose greatest lengths every task knows.
+PART, PARTS = 1 << 15, 1 << 14
 #: Local threshold from which coordinates prune rather than lengths.
 COORDINATE_FROM = 0.6
 #: Queries that are multiplied with a bucket at once.
@@ -122,6 +128,64 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 FOUND = "query_id long, vec_id long, score long"
+CELL = ["n", "queries", "part", "is_row"]
+
+
+def worked_off(cells: DataFrame, k: int) -> DataFrame:
+    """The k best of each query in each cell; a cell's queries come first, then its vectors, longest first."""
+
+    def found(best: Best) -> pa.RecordBatch:
+        keep = best.score > LOWEST
+        row = np.repeat(np.arange(len(best.ids)), keep.sum(1))
+        columns = [pa.array(x) for x in (best.ids[row], best.found[keep], best.score[keep])]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, best = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], 1).astype(np.int64)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(keys)].tolist(), strict=True):
+                if a == b:
+                    continue
+                *key, is_row = keys[a].tolist()
+                rows = batch.slice(a, b - a)
+                ids, v = rows.column(4).to_numpy(), matrix(rows.column(5), key[0])
+                if key != at:
+                    if best is not None:
+                        yield found(best)
+                    at, asked, best = key, [], None
+                if not is_row:
+                    asked.append((ids, v, rows.column(6).to_numpy()))
+                    continue
+                if best is None and asked:
+                    best = Best(*map(np.concatenate, zip(*asked, strict=True)), k)
+                for low in range(0, len(ids) if best is not None else 0, BUCKET):
+                    best.search(ids[low : low + BUCKET], v[low : low + BUCKET])
+        if best is not None:
+            yield found(best)
+
+    return cells.select(*CELL, "vec_id", "v", "bound").mapInArrow(run, FOUND)
+
+
+def bounded(queries: DataFrame, pilot: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """queries with ``bound``: the k-th best score among the pilot's vectors, where it has k others of the size."""
+    shared = queries.sparkSession.sparkContext.broadcast(pilot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            bound = np.full(len(sizes), LOWEST, np.int64)
+            for n in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == n)
+                if n in shared.value:
+                    rows = batch.take(pa.array(mine))
+                    best = Best(rows.column("vec_id").to_numpy(), matrix(rows.column("v"), n), bound[mine], k)
+                    best.search(*shared.value[n])
+                    bound[mine] = best.bound
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=[*batch.schema.names, "bound"])
+
+    return queries.mapInArrow(run, "vec_id long, v array<long>, n int, norm double, bound long")
 
 
 def top_products(
@@ -134,7 +198,8 @@ def top_products(
     Vectors that are null or empty or hold a null or non-finite component take
     no part, nor do null ids; vectors of different size don't meet.  If rows
     repeat a query's id the smallest vector is the query; repeated candidates
-    count each on their own.
+    count each on their own.  An empty table, or one without queries, gives no
+    rows.  Products beyond 64 bits overflow.
     """
     spark = vectors.sparkSession
     vector = F.col(f"`{vec_col}`")
@@ -142,49 +207,32 @@ def top_products(
     rows = clean.select(
         F.col(f"`{id_col}`").cast("long").alias("vec_id"), quantised(vector, scale).alias("v"), is_query.alias("asked")
     )
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    sizes = {r["n"]: (r["all"], r["asked"]) for r in rows.groupBy(F.size("v").alias("n")).agg(
-        F.count("*").alias("all"), F.count_if("asked").alias("asked")).collect()}
-    parts = []
-    for size, (_, asked) in sorted(sizes.items()):
-        same = rows.where(F.size("v") == size)
-        queries = same.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))
-        ordered = same.select("vec_id", "v", length.alias("length")).repartitionByRange(F.desc("length"), "vec_id")
-        ordered = ordered.sortWithinPartitions(F.desc("length"), "vec_id").select("vec_id", "v")
-        n_blocks = 1 + asked * size * 16 // BLOCK_BYTES
-        pilot = same.select("vec_id", "v").limit(PILOT).toArrow() if asked else None
-        for block in range(n_blocks if asked else 0):
-            mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block).toArrow()
-            if not mine.num_rows:
-                continue
-            q_ids = mine.column("vec_id").to_numpy()
-            q = matrix(mine.column("v").combine_chunks(), size)
-            start = Best(q_ids, q, np.full(len(q_ids), LOWEST, np.int64), k)
-            p_ids, p = pilot.column("vec_id").to_numpy(), matrix(pilot.column("v").combine_chunks(), size)
-            order = np.argsort(-(p.astype(np.float64) ** 2).sum(1), kind="stable")
-            start.search(p_ids[order], p[order])
-            shared = spark.sparkContext.broadcast((q_ids, q, start.bound))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared, size=size) -> Iterator[pa.RecordBatch]:
-                best = Best(*shared.value, k)
-                for batch in batches:
-                    ids, v = batch.column(0).to_numpy(), matrix(batch.column(1), size)
-                    for low in range(0, len(ids), BUCKET):
-                        best.search(ids[low : low + BUCKET], v[low : low + BUCKET])
-                keep = best.found >= 0 if len(best.ids) else np.zeros((0, k), bool)
-                keep |= best.score > LOWEST
-                row = np.repeat(np.arange(len(best.ids)), keep.sum(1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(best.ids[row]), pa.array(best.found[keep]), pa.array(best.score[keep])],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-            parts.append(ordered.mapInArrow(run, FOUND))
-    if not parts:
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = rows.select("*", F.size("v").alias("n"), length.alias("norm"))
+    n_rows, n_queries = rows.agg(F.count("*"), F.count_if("asked")).first()
+    if not n_queries:
         return spark.createDataFrame([], FOUND).selectExpr("query_id", "1 AS rank", "vec_id", "score")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = ["n", F.desc("norm"), "vec_id"]
+    placed = rows.repartitionByRange(max(1, min(PARTS, -(-n_rows // PART))), *order)
+    placed = written(placed.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    pilot: dict[int, list] = {}
+    for r in placed.orderBy(F.desc("norm"), "vec_id").limit(PILOT).select("vec_id", "v").collect():
+        pilot.setdefault(len(r["v"]), []).append((r["vec_id"], r["v"]))
+    first = {n: (np.array([i for i, _ in some]), np.array([v for _, v in some], np.int64)) for n, some in pilot.items()}
+    queries = placed.where("asked").groupBy("vec_id", "n").agg(F.min("v").alias("v"))
+    # a repeated id of several sizes asks with each of them, as vectors of different size don't meet
+    queries = bounded(queries.select("vec_id", "v", "n", length.alias("norm")), first, k)
+    longest = placed.groupBy("n", "part").agg(F.max("norm").alias("longest"))
+    groups = -(-n_queries // QUERIES)
+    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("queries")
+    sent = queries.join(longest, "n").where(F.col("bound") <= F.col("norm") * F.col("longest") * (1 + 1e-9)).select("n", group, "part", "vec_id", "v", "bound", "norm")
+    sent = written(sent)
+    cells = sent.select("n", "queries", "part").distinct()
+    left = sent.withColumn("is_row", F.lit(0))
+    right = placed.join(cells, ["n", "part"]).withColumns({"bound": F.lit(LOWEST), "is_row": F.lit(1)})
+    columns = [*CELL, "vec_id", "v", "bound", "norm"]
+    both = left.select(*columns).unionByName(right.select(*columns)).repartition("n", "queries", "part")
+    found = worked_off(both.sortWithinPartitions(*CELL, F.desc("norm"), "vec_id"), k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import operator
 import random
 import zlib
 from collections import Counter
@@ -14,6 +15,7 @@ from curbflow.llm import queries
 from curbflow.llm.components import connected_components
 from curbflow.llm.decontaminate import contamination
 from curbflow.llm.hidden_markov import hidden_markov_scores
+from curbflow.llm import inner_products
 from curbflow.llm.inner_products import top_products
 from curbflow.llm.language_id import language_id, train_language_id
 from curbflow.llm.near_duplicates import near_duplicates
@@ -398,6 +400,23 @@ def test_top_products(spark):
     assert [tuple(r) for r in top_products(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, -65536)]
 
 
+def test_top_products_of_many_groups_and_parts(spark, monkeypatch):
+    """Several sizes, lengths from short to long, groups of queries and parts of rows: the same as all products."""
+    for name, value in (("PILOT", 30), ("QUERIES", 8), ("PART", 40), ("BUCKET", 16)):
+        monkeypatch.setattr(inner_products, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=5 if i % 7 else 3) * 10.0 ** rng.uniform(-2, 1)).tolist(), "other") for i in range(400)]
+    rows += [(i, rows[i % 50][1], "copy") for i in range(400, 480)] + [(480, [0.0] * 5, "zero"), (485, [1e6] * 5, "beyond 53 bits"), (490, [1e6, -1e6, 1e6, 1e6, 1e6], "the same")]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, score string")
+    got = top_products(df, F.col("vec_id") % 5 == 0, k=4).collect()
+    floors = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    want = []
+    for q in (i for i in floors if i % 5 == 0):
+        others = [(-sum(map(operator.mul, floors[q], v)), i) for i, v in floors.items() if i != q and len(v) == len(floors[q])]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(others)[:4], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_products_of_a_repeated_query_id(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(60, 4))
