@@ -154,26 +154,37 @@ def code_lengths(counts: np.ndarray, up: np.ndarray, unseen: int) -> np.ndarray:
 
 
 def train_language_id(
-    texts: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 1 << 20, max_text: int = 60_000
+    texts: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_bytes: int = 1 << 20,
+    max_text: int = 60_000,
+    max_langs: int = 512,
 ) -> ContextTrees | None:
-    """Trees from a bounded sample of labelled texts, about ``sample_bytes`` for each language.
+    """Trees from a bounded sample of labelled texts, about ``sample_bytes`` of distinct text for each language.
 
     Texts are taken whole by a hash of the text, at a rate for each language
-    that its total size sets; texts beyond ``max_text`` code points aren't
-    trained on (all texts are scored).  Null texts and languages take no part.
+    that the size of its distinct texts sets, so that a text counts once however
+    often it is repeated.  Texts beyond ``max_text`` code points aren't trained
+    on (all texts are scored), nor are languages but the ``max_langs`` with the
+    most text, or what goes beyond twice ``sample_bytes`` in order of the hashes.
+    Null texts and languages take no part; an empty table, or one without text,
+    gives None.
     """
     rows = texts.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_text))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not any(sizes.values()):
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    once = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n"))
+    sizes = once.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not sizes:
         return None
-    dart = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    take = F.lit(False)
-    for lang, n in sizes.items():
-        take |= (F.col("lang") == lang) & (dart < int(min(1.0, sample_bytes / max(n, 1)) * (1 << 20)) + 1)
+    darts = 1 << 50
+    rates = [(r["lang"], int(min(1.0, sample_bytes / r["n"]) * darts)) for r in sizes]
+    rates = texts.sparkSession.createDataFrame(rates, "lang string, rate long")
+    taken = rows.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(darts)) < F.col("rate"))  # max_langs rows
     samples: dict[str, list[bytes]] = {}
-    room = dict.fromkeys(sizes, 2 * sample_bytes)
-    for lang, text in sorted((r["lang"], r["text"]) for r in rows.where(take).distinct().collect()):
+    room = {r["lang"]: 2 * sample_bytes for r in sizes}
+    for lang, _, text in sorted(tuple(r) for r in taken.select("lang", "h", "text").distinct().collect()):
         raw = text.encode()
         if len(raw) <= room[lang]:
             room[lang] -= len(raw)

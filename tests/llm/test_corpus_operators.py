@@ -380,6 +380,22 @@ def test_toxicity_of_held_out_offsets_and_repeats():
     assert (model.score([" ".join(clean(30)) for _ in range(40)]) < 0.7).mean() > 0.95
 
 
+def test_language_id_trains_on_distinct_texts(spark):
+    """A page repeated without end doesn't lower its language's share of the sample; few texts and few languages are kept."""
+    rng = random.Random(4)
+    letters = {"aa": "abcde ", "bb": "vwxyz "}
+    rows = [("".join(rng.choices(letters[k], k=200)), k) for k in letters for _ in range(60)]
+    many = rows + [(rows[0][0], "aa")] * 20_000 + [("q" * 10, "cc"), ("", "dd"), (None, "aa"), ("text", None)]
+    df = spark.createDataFrame(many, "text string, lang string")
+    trees = train_language_id(df, sample_bytes=8000, max_langs=2)
+    assert trees.langs == ["aa", "bb"]
+    plain = train_language_id(spark.createDataFrame(rows, "text string, lang string"), sample_bytes=8000)
+    assert np.array_equal(trees.bits, plain.bits)
+    tests_ = spark.createDataFrame([("".join(rng.choices(letters[k], k=40)), k) for k in letters for _ in range(20)], "text string, lang string")
+    assert language_id(tests_, trees).where("lang_pred <> lang").count() == 0
+    assert train_language_id(df.limit(0)) is None and train_language_id(df.where("lang = 'dd'")) is None
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 8)) * rng.uniform(0.1, 3, (300, 1))
