@@ -47,9 +47,10 @@ CHUNK = 1 << 19
 BLOCK = 1 << 19
 #: Kinds of stretches of a hash that a suffix array takes in.
 NARROW = 4096
-#: One document in SAMPLE is asked for the most frequent hashes (at most HOT, if seen HOT_FROM times), which only
-#: decides how rows are dealt: such a hash meets in parts, one for each HOT_FROM times, at most SALTS.
-SAMPLE, HOT, HOT_FROM, SALTS = 64, 256, 64, 1024
+#: One document in SAMPLE is asked for the frequent hashes (seen HOT_FROM times), which only decides how rows are dealt:
+#: such a hash meets in parts, one for each HOT_FROM times.  Of more than HOT such hashes the rest, each of which has
+#: less than one in HOT of all rows, meet whole.
+SAMPLE, HOT, HOT_FROM = 64, 1 << 20, 64
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A place is a run of window starts of a text: which text of the id, the first start, and how many more follow.
 MORE_BITS, FIRST_BITS, TEXT_BITS = 7, 31, 21
@@ -204,6 +205,8 @@ def anchor_rows(texts: DataFrame, hot: np.ndarray, parts: np.ndarray) -> DataFra
                 ids = np.repeat(part.column(0).to_numpy(), n)
                 nth = np.repeat(part.column(1).to_numpy().astype(np.int64), n)
                 h, digest, first, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                if nth.max(initial=0) > TEXT:
+                    raise ValueError(f"doc_id {ids[nth.argmax()]} has too many different texts")
                 place = place_of(nth, first, more)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -219,13 +222,12 @@ def anchor_rows(texts: DataFrame, hot: np.ndarray, parts: np.ndarray) -> DataFra
 
 
 def hot_hashes(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent hashes of some documents, sorted, at most HOT; and the number of parts of each."""
+    """The frequent hashes of some documents, sorted, 16 bytes each and at most HOT; and the number of parts of each."""
     some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).withColumn("nth", F.lit(0))
     none = np.empty(0, np.int64)
     counted = anchor_rows(some, none, none).groupBy("hash").count().where(F.col("count") >= HOT_FROM)
-    rows = sorted((r["hash"], r["count"]) for r in counted.orderBy(F.desc("count"), "hash").limit(HOT).collect())
-    hashes, counts = np.array(rows, np.int64).reshape(-1, 2).T
-    return np.ascontiguousarray(hashes), np.minimum(1 + counts // HOT_FROM, SALTS).astype(np.uint64)
+    rows = counted.orderBy(F.desc("count"), "hash").limit(HOT).toArrow().sort_by("hash")
+    return rows["hash"].to_numpy(), (1 + rows["count"].to_numpy() // HOT_FROM).astype(np.uint64)
 
 
 def met_anchors(rows: DataFrame) -> DataFrame:
@@ -384,7 +386,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input, not on what is left; overlaps count.  Rows with a null
     id take no part and lose nothing.  Rows that repeat an id and text count as
     one document with one result; an id's different texts are ordered by their
-    bytes.  Texts of any length count whole (one text is one task's work), an
+    bytes, and more than 2^21 of them are an error.  Texts of any length count whole (one text is one task's work), an
     empty table gives an empty one, and other columns are not looked at.
     """
     # a renaming that changes nothing would keep Spark from seeing that the joins read equal exchanges

@@ -557,6 +557,31 @@ def test_repeats_in_small_blocks_and_salted_hashes(spark, monkeypatch):
     assert got == Counter((i, want[i, t]) for i, t in made)
 
 
+def test_frequent_hashes_have_no_fixed_number(spark, monkeypatch):
+    """All hashes seen often enough are dealt in parts by their frequency, more than 256 of them here."""
+    from curbflow.llm import repeats
+
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rng = random.Random(41)
+    page = "".join(rng.choices("abcdefgh ", k=12_000))
+    texts = spark.createDataFrame([(i, page) for i in range(200)], "doc_id long, text string")
+    hashes, parts = repeats.hot_hashes(texts)
+    assert len(hashes) > 256 and (np.diff(hashes) > 0).all() and (parts >= 1 + 200 // 64).all()
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in without_repeats(texts).collect()}
+    assert kept == {i: page.encode() if i == 0 else b"" for i in range(200)}
+
+
+def test_more_texts_of_an_id_than_places_hold(spark, monkeypatch):
+    from curbflow.llm import repeats
+
+    monkeypatch.setattr(repeats, "TEXT", 3)
+    made = [(1, str(i) * 120) for i in range(5)]
+    texts = spark.createDataFrame(made, "doc_id long, text string").withColumn("nth", F.substring("text", 1, 1).cast("int"))
+    none = np.empty(0, np.int64)
+    with pytest.raises(Exception, match="doc_id 1 has too many different texts"):
+        repeats.anchor_rows(texts.select("doc_id", "nth", "text"), none, none).count()
+
+
 def test_secret_spans_against_plain_loops():
     """Base spans by a scan of characters, linked ones by all pairs of parts."""
     import re
