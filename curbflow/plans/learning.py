@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbflow.operators import models
 from curbflow.operators.layout import with_row_index
 from curbflow.operators.profile import exact_quantiles
 from curbflow.sources.scratch import new_folder
 
 from .registry import query, table
-from .series import PANEL, panel
+from .series import PANEL, STATE, panel
 
 
 def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
@@ -130,6 +131,42 @@ def ml3(spark, sf):
     return out
 
 
+@query(
+    "ml3_clock_lookup",
+    f"""WITH {FOLDS}, x AS (SELECT fold, part, hour(f.ts) AS h, isodow(f.ts) AS d, CAST({STATE} AS INTEGER) AS s FROM f JOIN events USING (event_id)),
+       o AS (SELECT fold, h, d, s, row_number() OVER (PARTITION BY fold, h, d ORDER BY count(*) DESC, s) AS i FROM x WHERE part = 'train' GROUP BY 1, 2, 3, 4),
+       w AS (SELECT fold, s, row_number() OVER (PARTITION BY fold ORDER BY count(*) DESC, s) AS i FROM x WHERE part = 'train' GROUP BY 1, 2),
+       p AS (SELECT x.fold, x.s, coalesce(o.s, w.s) AS p FROM x LEFT JOIN o ON x.fold = o.fold AND x.h = o.h AND x.d = o.d AND o.i = 1 JOIN w ON x.fold = w.fold AND w.i = 1 WHERE part = 'test')
+       SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, round(count(*) FILTER (s = p) / count(*), 9) AS accuracy FROM p GROUP BY 1""",
+)
+def ml3_lookup(spark, sf):
+    """Accuracy by fold of the most frequent state of each hour and weekday of the training rows."""
+    p = panel(spark, sf).select("event_id", "ts", "state", F.hour("ts").alias("hour"), F.weekday("ts").alias("dow"))
+    said = models.lookup_predictions(with_folds(p, ["ts", "event_id"], 3), ["hour", "dow"], "state")
+    right = F.avg((F.col("prediction") == F.col("state")).cast("double"))
+    return said.groupBy("fold").agg(F.count("*").alias("n"), F.round(right, 9).alias("accuracy"))
+
+
+EDGES = [i / 16 for i in range(-7, 8)]
+
+
+@query(
+    "ml5_split_gains",
+    f"""WITH v AS (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS feature, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+       b AS (SELECT feature, label, len(list_filter({EDGES}, lambda e: e <= CAST(x AS DOUBLE))) AS bin, count(*) AS n FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY 1, 2, 3),
+       t AS (SELECT feature, label, CAST(sum(n) AS DOUBLE) AS c FROM b GROUP BY 1, 2),
+       l AS (SELECT feature, label, k, c, CAST(coalesce(sum(n) FILTER (bin < k), 0) AS DOUBLE) AS l FROM t JOIN b USING (feature, label), range(1, {len(EDGES) + 1}) r(k) GROUP BY 1, 2, 3, 4),
+       g AS (SELECT feature, k, (sum(l * l) / nullif(sum(l), 0) + sum((c - l) * (c - l)) / nullif(sum(c - l), 0) - sum(c * c) / sum(c)) / sum(c) AS g FROM l GROUP BY 1, 2),
+       o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY g DESC NULLS LAST, k) AS i FROM g)
+       SELECT CAST(feature AS INTEGER) AS feature, CASE WHEN g IS NOT NULL THEN {EDGES}[k] END AS edge, round(coalesce(g, 0), 9) AS gain FROM o WHERE i = 1""",
+)
+def ml5_gains(spark, sf):
+    """The best split of each component of the vectors by itself."""
+    e = table(spark, sf, "embeddings").where("embedding is not null and label is not null")
+    gains = models.split_gains(e.select("label", F.posexplode("embedding").alias("feature", "value")), EDGES)
+    return gains.withColumn("gain", F.round("gain", 9))
+
+
 @query("ml5_feature_importance")
 def ml5(spark, sf):
     from pyspark.ml.classification import RandomForestClassifier
@@ -170,14 +207,21 @@ def ml7_scaled(spark, sf):
     return robust_scaled(user_shares(spark, sf), SHARES).select("user_id", *[F.round(c, 5).alias(c) for c in SHARES])
 
 
-def profile_clusters(spark, sf, k: int = 3) -> DataFrame:
+def fitted_profiles(spark, sf, k: int):
+    """The shares, their scaled form with a cluster each, and the centers."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     shares = user_shares(spark, sf)
     scaled = VectorAssembler(inputCols=SHARES, outputCol="features").transform(robust_scaled(shares, SHARES).orderBy("user_id"))
-    found = KMeans(k=k, seed=42).fit(scaled).transform(scaled).select("user_id", F.col("prediction").alias("cluster"))
-    return shares.join(found, "user_id")
+    model = KMeans(k=k, seed=42).fit(scaled)
+    found = model.transform(scaled).withColumnRenamed("prediction", "cluster")
+    return shares, found, [c.tolist() for c in model.clusterCenters()]
+
+
+def profile_clusters(spark, sf, k: int = 3) -> DataFrame:
+    shares, found, _ = fitted_profiles(spark, sf, k)
+    return shares.join(found.select("user_id", "cluster"), "user_id")
 
 
 @query("ml7_profile_clusters")
@@ -188,19 +232,59 @@ def ml7(spark, sf):
 @query("ml8_cluster_characteristics")
 def ml8(spark, sf):
     """Size, mean and deviation of each share, and the dominant state, by cluster."""
-    stats = [x for c in SHARES for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"))]
-    rows = profile_clusters(spark, sf).groupBy("cluster").agg(F.count("*").alias("n"), *stats)
-    best = F.array_max(F.array(*[F.struct(F.col(f"share_{k}_mean").alias("m"), F.lit(-k).alias("k")) for k in range(5)]))
-    return rows.withColumn("dominant_state", -best["k"])
+    return models.group_profiles(profile_clusters(spark, sf), "cluster", SHARES, "dominant_state")
 
 
-@query("ml6_saved_model")
-def ml6(spark, sf):
-    """A fitted pipeline is saved to the shared folder, loaded again and applied."""
+@query("ml7_nearest_centers", "SELECT count(DISTINCT user_id) AS n, 0 AS n_nearer FROM events")
+def ml7_nearest(spark, sf):
+    """Users whose cluster has a center, and those to whom another center is nearer, by distances worked out again."""
+    _, found, centers = fitted_profiles(spark, sf, 3)
+    away = models.squared_distances(SHARES, centers)
+    nearer = F.element_at(away, F.col("cluster") + 1) > F.array_min(away) + 1e-9
+    return found.agg(F.count("cluster").alias("n"), F.count_if(nearer).cast("int").alias("n_nearer"))
+
+
+@query(
+    "ml8_dominant_state_profiles",
+    f"""WITH {PANEL}, s AS (SELECT user_id, {", ".join(f"count(*) FILTER (state = {k}) / count(*) AS share_{k}" for k in range(5))} FROM panel GROUP BY 1),
+       c AS (SELECT *, list_position([{", ".join(SHARES)}], greatest({", ".join(SHARES)})) - 1 AS cluster FROM s),
+       m AS (SELECT cluster, count(*) AS n, {", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in SHARES)} FROM c GROUP BY 1)
+       SELECT CAST(cluster AS INTEGER) AS cluster, n, {", ".join(f"round({c}_{x}, 9) AS {c}_{x}" for c in SHARES for x in ("mean", "std"))},
+              CAST(list_position([{", ".join(f"{c}_mean" for c in SHARES)}], greatest({", ".join(f"{c}_mean" for c in SHARES)})) - 1 AS INTEGER) AS dominant_state FROM m""",
+)
+def ml8_dominant(spark, sf):
+    """The profiles of the users grouped by the state that each is in most often, the first of equal ones."""
+    shares = user_shares(spark, sf)
+    top = F.array_position(F.array(*SHARES), F.greatest(*SHARES)).cast("int") - 1
+    profiles = models.group_profiles(shares.withColumn("cluster", top), "cluster", SHARES, "dominant_state")
+    return profiles.withColumns({f"{c}_{x}": F.round(f"{c}_{x}", 9) for c in SHARES for x in ("mean", "std")})
+
+
+def saved_and_loaded(spark, rows: DataFrame):
+    """A fitted pipeline, and what comes back after it was saved to the shared folder."""
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import DecisionTreeClassifier
 
     path = new_folder(spark, "model")
+    fitted = Pipeline(stages=[DecisionTreeClassifier(maxDepth=3, seed=42)]).fit(rows)
+    fitted.write().overwrite().save(path)
+    return fitted, PipelineModel.load(path)
+
+
+@query("ml6_saved_model")
+def ml6(spark, sf):
+    """A fitted pipeline is saved to the shared folder, loaded again and applied."""
+    rows = embedded(spark, sf)
+    _, loaded = saved_and_loaded(spark, rows)
+    return loaded.transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query("ml6_round_trip", "SELECT count(*) AS n, 0 AS n_changed FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL")
+def ml6_round_trip(spark, sf):
+    """Rows whose prediction or class probabilities a saved and loaded model changes."""
     rows = embedded(spark, sf)
-    Pipeline(stages=[DecisionTreeClassifier(maxDepth=3, seed=42)]).fit(rows).write().overwrite().save(path)
-    return PipelineModel.load(path).transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+    fitted, loaded = saved_and_loaded(spark, rows)
+    before = fitted.transform(rows).select("vec_id", "features", F.struct("prediction", "probability").alias("before"))
+    after = loaded.transform(before).select("before", F.struct("prediction", "probability").alias("after"))
+    changed = F.col("before").cast("string") != F.col("after").cast("string")
+    return after.agg(F.count("*").alias("n"), F.count_if(changed).cast("int").alias("n_changed"))
