@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Patterns of the first number in a tariff text (two forms), of a span of hours, of its slots.
+FIRST_NUMBER = r"(\d+(?:\.\d+)?)"
+LOOSE_NUMBER = r"\d+\.?\d*"
+HOUR_SPAN = r"(\d{1,2})(?::\d{2})?\s*-\s*(\d{1,2})(?::\d{2})?"
+CLOCK_SPAN = r"(\d{2}:\d{2}-\d{2}:\d{2})"
+SPOKEN_SPAN = r"(\d{1,2}:\d{2}\s+a\s+\d{1,2}:\d{2})"
+
+
+# The codes, labels and units of this and the next function are fixed values.
 def tariff_type(code: Column) -> Column:
     return (
         F.when(code.isin("A", "B", "C", "D"), F.concat(F.lit("Blue Zone "), code))
@@ -63,29 +72,28 @@ def with_parking_cost(df: DataFrame, minutes: str, unit: str, name: str = "cost"
 
 def tariff_amount(text: Column) -> Column:
     """The first number in a tariff text, 0 if there is none."""
-    return F.coalesce(F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.regexp_extract(text, FIRST_NUMBER, 1).try_cast("double"), F.lit(0.0))
 
 
 def tariff_text_features(text: Column) -> dict[str, Column]:
     return {
         "has_tarifa": text.isNotNull(),
-        "tarifa_amount": F.regexp_extract(text, r"\d+\.?\d*", 0).try_cast("double"),
+        "tarifa_amount": F.regexp_extract(text, LOOSE_NUMBER, 0).try_cast("double"),
         "tarifa_period": F.when(F.lower(text).contains("hora"), "hour").when(text.isNotNull(), "day"),
     }
 
 
 def schedule_hours(text: Column) -> dict[str, Column]:
     """Start, end and total hours of a text such as `8:00-20:00`; 8 to 20 if it can't be read."""
-    shape = r"(\d{1,2})(?::\d{2})?\s*-\s*(\d{1,2})(?::\d{2})?"
     whole = F.coalesce(F.upper(text).contains("24H"), F.lit(False))
-    start, end = (F.regexp_extract(text, shape, i).try_cast("int") for i in (1, 2))
+    start, end = (F.regexp_extract(text, HOUR_SPAN, i).try_cast("int") for i in (1, 2))
     start = F.when(whole, 0).otherwise(F.coalesce(start, F.lit(8)))
     end = F.when(whole, 24).otherwise(F.coalesce(end, F.lit(20)))
     return {"start_hour": start, "end_hour": end, "total_hours": end - start, "is_24h": whole}
 
 
 def schedule_text_features(text: Column) -> dict[str, Column]:
-    ranges = F.regexp_extract_all(text, F.lit(r"(\d{2}:\d{2}-\d{2}:\d{2})"), 1)
+    ranges = F.regexp_extract_all(text, F.lit(CLOCK_SPAN), 1)
     none = F.array().cast("array<string>")
 
     def days(mark: str, *names: str) -> Column:
@@ -150,7 +158,7 @@ def schedule_parts(schedules: DataFrame) -> DataFrame:
     parts = parts.withColumns(
         {
             "spec": F.when(spec != "", spec),
-            "slots": F.slice(F.regexp_extract_all("part", F.lit(r"(\d{1,2}:\d{2}\s+a\s+\d{1,2}:\d{2})"), 1), 1, 2),
+            "slots": F.slice(F.regexp_extract_all("part", F.lit(SPOKEN_SPAN), 1), 1, 2),
             "applies_holidays": F.col("includes_holidays").cast("boolean") | F.lower("part").contains("festius"),
         }
     )

@@ -158,7 +158,7 @@ EDGES = [i / 16 for i in range(-7, 8)]
        l AS (SELECT feature, label, k, c, CAST(coalesce(sum(n) FILTER (bin < k), 0) AS DOUBLE) AS l FROM t JOIN b USING (feature, label), range(1, {len(EDGES) + 1}) r(k) GROUP BY 1, 2, 3, 4),
        g AS (SELECT feature, k, (sum(l * l) / nullif(sum(l), 0) + sum((c - l) * (c - l)) / nullif(sum(c - l), 0) - sum(c * c) / sum(c)) / sum(c) AS g FROM l GROUP BY 1, 2),
        o AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY g DESC NULLS LAST, k) AS i FROM g)
-       SELECT CAST(feature AS INTEGER) AS feature, CASE WHEN g IS NOT NULL THEN {EDGES}[k] END AS edge, round(coalesce(g, 0), 9) AS gain FROM o WHERE i = 1""",
+       SELECT CAST(feature AS INTEGER) AS feature, CASE WHEN g IS NOT NULL THEN CAST({EDGES}[k] AS DOUBLE) END AS edge, round(coalesce(g, 0), 9) AS gain FROM o WHERE i = 1""",
 )
 def ml5_gains(spark, sf):
     """The best split of each component of the vectors by itself."""
