@@ -140,7 +140,9 @@ def contamination(
     end) code points of the original.  An item with fewer words than a window,
     but not none, is one window.  Null and empty texts have no words; items
     with a null id or text take no part; an empty benchmark hits nothing.
-    Old columns of these names are replaced; repeated rows stay.
+    Old columns of these names are replaced; repeated rows stay, and repeated
+    items count as one.  A text of any length is scanned whole, in one task; an
+    empty table gives an empty one.
     """
     out = docs
     columns = []

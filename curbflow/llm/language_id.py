@@ -217,8 +217,8 @@ def language_id(docs: DataFrame, trees: ContextTrees | None, text_col: str = "te
     Null texts and texts without a letter are `und` with score 0; so is every
     text if nothing was learned.  Ties go to the first language in text order.
     Old columns of the two names are replaced, others kept; repeated rows
-    stay.  Whole texts; one pass without a shuffle; the trees have a bounded
-    size.
+    stay; an empty table gives an empty one.  Whole texts of any length; one
+    pass without a shuffle; the trees have a bounded size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 

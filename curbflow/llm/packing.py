@@ -249,7 +249,8 @@ def packed(
     piece; a sequence's pieces lie gapless from offset 0 on and come to
     ``window`` ids, or, at the end of a shard, to a power of two below it.
     Rows that repeat an id are documents of their own; a null id stays null;
-    other columns are not looked at.
+    other columns are not looked at, whatever their names; an empty table gives
+    no pieces.  A text longer than a shard makes up one by itself.
     """
     rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text"))
     names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

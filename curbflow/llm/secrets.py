@@ -139,7 +139,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", reach: int = 200, ma
     """docs with every reported span of the text replaced by ``mark`` (overlapping spans by one).
 
     Null and empty texts stay as they are, as do all other columns and their
-    order; repeated rows stay repeated.
+    order; repeated rows stay repeated; an empty table stays empty, and a text
+    of any length is scanned whole, in one task.
     """
     columns = docs.columns
 
