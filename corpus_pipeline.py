@@ -29,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below TOXIC; the model is learned from labelled documents, a bounded number of them.
 
     Null and empty texts score low and stay; repeated rows stay repeated;
-    without labels nothing is learned and all stay.
+    without labels nothing is learned and all stay.  Texts of any length are
+    scored whole, other columns are kept as they are, an empty table stays empty.
     """
     model = train_toxicity(labelled_texts(docs, table(spark, sf_dir, "labels")))
     scored = score_toxicity(docs, model, score_col="__score")
@@ -54,13 +55,18 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a window of ten words of a benchmark item.
 
     Null and empty texts stay, as do repeated rows; an empty benchmark drops nothing.
+    Texts of any length are scanned whole; only the columns of docs come back.
     """
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret, and n_chars to match; null texts stay null."""
+    """All documents, with a mark in place of each secret, and n_chars to match; null texts stay null.
+
+    Repeated rows stay repeated, other columns are kept, texts of any length are
+    scanned whole, an empty table stays empty.
+    """
     clean = redact_secrets(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -69,7 +75,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 4096 tokens, each with its ids; a null or empty text is its end id alone."""
+    """The pieces of sequences of 4096 tokens, each with its ids; a null or empty text is its end id alone.
+
+    Rows that repeat a doc_id are documents of their own, other columns aren't
+    looked at, a long text is cut into many pieces, an empty table has none.
+    """
     return packed(docs, tokenizer("word_bpe_49k.json"))
 
 
