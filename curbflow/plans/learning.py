@@ -177,16 +177,20 @@ def ml5(spark, sf):
 
 
 def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns less their median, by their interquartile range where that isn't 0; the bounds are one row a column."""
-    joined = df
-    for c in columns:
-        bounds = exact_quantiles(df, c, [0.25, 0.5, 0.75])
-        joined = joined.crossJoin(F.broadcast(bounds.select(F.col("quantiles").alias(f"__{c}"))))
+    """Columns less their median, by their interquartile range where that isn't 0.
+
+    The quantiles of all columns come from one layout of (column, value), so df
+    is read twice whatever the number of columns; their table is one row with an
+    entry for each column.  A column without values stays null.
+    """
+    values = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")
+    quantiles = exact_quantiles(values, "value", [0.25, 0.5, 0.75], ["feature"])
+    bounds = quantiles.agg(F.map_from_entries(F.collect_list(F.struct("feature", "quantiles"))).alias("__bounds"))
     scaled = {}
     for c in columns:
-        q = F.col(f"__{c}")
+        q = F.try_element_at("__bounds", F.lit(c))
         scaled[c] = (F.col(c) - q[1]) / F.coalesce(F.nullif(q[2] - q[0], F.lit(0.0)), F.lit(1.0))
-    return joined.withColumns(scaled).drop(*[f"__{c}" for c in columns])
+    return df.join(F.broadcast(bounds)).withColumns(scaled).drop("__bounds")
 
 
 SHARES = [f"share_{k}" for k in range(5)]

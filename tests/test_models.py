@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from curbflow.operators import models
+from curbflow.plans.learning import robust_scaled
 
 
 def test_lookup_predictions(spark):
@@ -59,3 +60,16 @@ def test_group_profiles_and_distances(spark):
     assert got[1]["a_std"] == pytest.approx(np.std([0.5, 0.1], ddof=1)) and got[2]["a_std"] is None and got[2]["b_mean"] is None
     away = df.where("g = 1 and a = 0.5").select(models.squared_distances(["a", "b"], [[0.5, 0.5], [0.0, 0.5]]).alias("d")).first()["d"]
     assert away == pytest.approx([0.0, 0.25])
+
+
+def test_robust_scaled_columns(spark):
+    rows = [(i, float(i), 5.0, None, i % 2) for i in range(9)] + [(9, None, 5.0, None, 1)]
+    df = spark.createDataFrame(rows, "id int, a double, flat double, none double, whole int")
+    got = {r["id"]: r for r in robust_scaled(df, ["a", "flat", "none", "whole"]).collect()}
+    low, mid, high = np.quantile(np.arange(9.0), [0.25, 0.5, 0.75])
+    q = np.quantile([r[4] for r in rows], [0.25, 0.5, 0.75])
+    for i, a, _, _, w in rows:
+        assert got[i]["a"] == (None if a is None else pytest.approx((a - mid) / (high - low)))
+        assert got[i]["flat"] == 0.0 and got[i]["none"] is None
+        assert got[i]["whole"] == pytest.approx((w - q[1]) / (q[2] - q[0]))
+    assert robust_scaled(df.limit(0), ["a"]).count() == 0
