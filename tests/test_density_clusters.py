@@ -71,3 +71,22 @@ def test_rows_without_a_place_or_key(spark):
     got = spatial.density_clusters(frame(spark, rows), "id", 1.0, 2).collect()
     assert sorted((r["id"] or 0, r["cluster"]) for r in got) == [(0, -1), (0, 0), (1, 0), (2, 0), (3, -1), (4, -1), (5, -1)]
     assert spatial.density_clusters(frame(spark, []), "id", 1.0, 2).collect() == []
+
+
+def broadcasts(spark) -> int:
+    """Broadcasts in the plans of all executions of the session so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, n = store.executionsList().iterator(), 0
+    while runs.hasNext():
+        nodes = store.planGraph(runs.next().executionId()).allNodes().iterator()
+        while nodes.hasNext():
+            n += nodes.next().name() == "BroadcastExchange"
+    return n
+
+
+def test_joins_stay_away_from_the_driver(spark):
+    """Only the offsets of a layout's partitions are broadcast, in however many rounds the clusters settle."""
+    chain = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 0.9).alias("x"), F.lit(0.0).alias("y"))
+    before = broadcasts(spark)
+    assert spatial.density_clusters(chain, "k", 1.0, 3).where("cluster = 0").count() == 400
+    assert broadcasts(spark) - before <= 1
