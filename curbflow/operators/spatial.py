@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import radians, sqrt
+from math import ceil, log2, radians, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -262,15 +262,22 @@ def category_counts(
     return out.withColumns({p: F.col(n) > 0 for n, p in flags})
 
 
+#: Locations that a cell may hold where a search starts.
+FULL_CELL = 8
+
+
 def nearest(points_: DataFrame, places: DataFrame, key: str, place: str, cell: float, other: bool = False) -> DataFrame:
     """(key, place, distance) of the nearest place (ties to the smaller place), one row for each row of points (key, x, y).
 
     With ``other`` a place whose id is the point's own key doesn't count.  Places
     without finite coordinates take no part; points without them, and points for
     which there is no place, get nulls.  Equal locations are looked at once.
-    Rings of grid cells grow from ``cell`` on, four times as wide each or as wide
-    as the points left are away from all places, and a ring settles the points
-    with a place within its width; they grow until every point is settled.
+    Rings of grid cells start at ``cell`` or so much narrower that no cell holds
+    more than ``FULL_CELL`` locations, and grow four times as wide each or as wide
+    as the points left are away from all places.  A ring settles the points with
+    a place within its width; they grow until every point is settled.  Where
+    points are places themselves, few of those that are left share a cell, so
+    the pairs looked at grow as the rows do, however dense the places lie.
     """
 
     def finite(name: str) -> Column:
@@ -280,11 +287,21 @@ def nearest(points_: DataFrame, places: DataFrame, key: str, place: str, cell: f
     asks = points_.where(finite("x") & finite("y")).select(*own, F.col("x").alias("__x"), F.col("y").alias("__y")).distinct()
     nth = F.row_number().over(Window.partitionBy("x", "y").orderBy(place))
     at = places.where(finite("x") & finite("y") & F.col(place).isNotNull()).select(place, "x", "y").distinct()
-    at = checkpointed(at.withColumn("__nth", nth).where(F.col("__nth") <= (2 if other else 1)).drop("__nth"))
+    at = checkpointed(at.withColumn("__nth", nth).where(F.col("__nth") <= (2 if other else 1)))
+    asks = checkpointed(asks)
     names = ["__k", "__x", "__y"] if other else ["__x", "__y"]
     box = at.agg(F.min("x").alias("x1"), F.max("x").alias("x2"), F.min("y").alias("y1"), F.max("y").alias("y2")).first()
     distance = F.hypot(F.col("x") - F.col("__x"), F.col("y") - F.col("__y"))
     done, left, size = None, asks, cell
+    locations = at.where("__nth = 1").select("x", "y")
+    at = at.drop("__nth")
+    # cells must stay wide enough for their numbers to be exact
+    least_size = max([abs(v) for v in box if v is not None], default=0.0) * 2.0**-40
+    while box["x1"] is not None and size > least_size:
+        fullest = locations.groupBy(*[F.floor(F.col(axis) / size) for axis in "xy"]).count().agg(F.max("count")).first()[0]
+        if fullest <= FULL_CELL:
+            break
+        size /= 2.0 ** max(1, ceil(log2(fullest / FULL_CELL) / 2))
     while box["x1"] is not None:
         gap = F.greatest(box["x1"] - F.col("__x"), F.col("__x") - box["x2"], box["y1"] - F.col("__y"), F.col("__y") - box["y2"], F.lit(0.0))
         rest = left.agg(F.count("*").alias("n"), F.min(gap).alias("least"), F.max(gap).alias("most")).first()
@@ -301,20 +318,20 @@ def nearest(points_: DataFrame, places: DataFrame, key: str, place: str, cell: f
         around = around.withColumn("__cx", F.explode(F.sequence(of(F.col("__x")) - 1, of(F.col("__x")) + 1)))
         around = around.withColumn("__cy", F.explode(F.sequence(of(F.col("__y")) - 1, of(F.col("__y")) + 1)))
         here = at.withColumns({"__cx": of(F.col("x")), "__cy": of(F.col("y"))})
-        near = around.join(here, ["__cx", "__cy"]).withColumn("distance", distance).where(F.col("distance") <= size)
+        near = shuffled_join(around, here, ["__cx", "__cy"]).withColumn("distance", distance).where(F.col("distance") <= size)
         if other:
             near = near.where(F.col(place) != F.col("__k"))
         best = near.groupBy(*names).agg(F.min(F.struct("distance", place)).alias("b"))
         sure = checkpointed(best.select(*names, f"b.{place}", "b.distance"))
         done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure, names, "left_anti")
+        left = checkpointed(shuffled_join(left, sure, names, "left_anti"))
         size *= 4
     if done is None:
         return points_.select(key, F.lit(None).cast(places.schema[place].dataType).alias(place), F.lit(None).cast("double").alias("distance"))
     same = (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y"))
     if other:
         same = same & (F.col(key) == F.col("__k"))
-    return points_.select(key, "x", "y").join(done, same, "left").select(key, place, "distance")
+    return shuffled_join(points_.select(key, "x", "y"), done, same, "left").select(key, place, "distance")
 
 
 def route_coverage(pairs: DataFrame, stop_times: DataFrame, trips: DataFrame, key: str) -> DataFrame:
