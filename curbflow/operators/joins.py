@@ -65,7 +65,9 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
     m, a, b = micros(F.col("t")), F.coalesce("prev", "before"), F.coalesce("next", "after")
     a, b = F.when(m - a["m"] <= tolerance_s * 1_000_000, a), F.when(b["m"] - m <= tolerance_s * 1_000_000, b)
     best = F.when(b.isNull() | (m - a["m"] <= b["m"] - m), a).otherwise(b)
-    joined = left.join(asks.select(F.col("t").alias("__t"), best.alias("__best")), F.col(left_ts) == F.col("__t"), "left")
+    # one row a distinct time grows with the input: by shuffles, not through the driver
+    found = asks.select(F.col("t").alias("__t"), best.alias("__best")).hint("merge")
+    joined = left.join(found, F.col(left_ts) == F.col("__t"), "left")
     return joined.select(
         *[left[c] for c in left.columns], F.col("__best.r").alias(right_ts), *[F.col(f"__best.{c}").alias(c) for c in columns]
     )
@@ -101,7 +103,7 @@ def asof_nearest_unbounded(left: DataFrame, right: DataFrame, left_ts: str, righ
     a, b = F.coalesce("prev", "before_day"), F.coalesce("next", "after_day")
     closer = (micros(F.col("t")) - micros(a["r"])) <= (micros(b["r"]) - micros(F.col("t")))
     best = known.select(F.col("t").alias("__t"), F.when(b.isNull() | (a.isNotNull() & closer), a).otherwise(b).alias("__best"))
-    joined = left.join(best, F.col(left_ts) == F.col("__t"), "left")
+    joined = left.join(best.hint("merge"), F.col(left_ts) == F.col("__t"), "left")
     return joined.select(
         *[left[c] for c in left.columns], F.col("__best.r").alias(right_ts), *[F.col(f"__best.{c}").alias(c) for c in columns]
     )

@@ -63,11 +63,11 @@ def all_features(spark, sf):
     density = pairs.groupBy("vec_id").agg(F.count("*").alias("n_stops"))
     of_place = (
         sp.density_clusters(p, "vec_id", 0.012, 4)
-        .join(near.withColumn("stop_distance", F.round("distance", 6)).drop("distance"), "vec_id", "left")
-        .join(density, "vec_id", "left")
+        .join(near.withColumn("stop_distance", F.round("distance", 6)).drop("distance").hint("merge"), "vec_id", "left")
+        .join(density.hint("merge"), "vec_id", "left")
         .withColumnRenamed("vec_id", "user_id")
     )
-    out = df.join(of_place, "user_id", "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0).cast("long")))
+    out = sp.shuffled_join(df, of_place, "user_id", "left").withColumn("n_stops", F.coalesce("n_stops", F.lit(0).cast("long")))
     return out.select(*events.columns, *[c for c in out.columns if c not in events.columns])
 
 

@@ -149,3 +149,15 @@ def test_geometry_of_every_kind(spark):
     assert sizes == [[1], None, [2], [2]]
     assert [[len(ring) for ring in p] for p in got[4]["polygons"]] == [[3, 3]] and len(got[6]["polygons"]) == 1
     assert all(r["parts"] is None for r in got[4:])
+
+
+def test_asof_join_is_no_broadcast(spark):
+    """The rows found for each distinct time go back to the left side by shuffles, however small they seem."""
+    left = spark.range(300).select(F.timestamp_seconds(F.col("id") * 7).cast("timestamp_ntz").alias("ts"))
+    right = spark.range(30).select(F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("r"), F.col("id").alias("v"))
+    bounded, unbounded = joins.asof_nearest(left, right, "ts", "r", 60), joins.asof_nearest_unbounded(left, right, "ts", "r")
+    for out in (bounded, unbounded):
+        assert out.count() == 300
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        top = [line for line in plan.splitlines() if "Join" in line][0]
+        assert "SortMergeJoin" in top and "__t" in top
