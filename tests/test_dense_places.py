@@ -1,8 +1,5 @@
 """Searches and counts whose work doesn't grow with the square of how dense places lie."""
 
-import math
-import random
-
 from pyspark.sql import functions as F
 
 from curbflow.operators import spatial
