@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from math import ceil, log2, radians, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from curbflow.operators.layout import with_row_index
+from curbflow.operators.strips import Strips, counts_near
 from curbflow.sources.scratch import checkpointed, written
 
 #: The WGS84 / GRS80 ellipsoid's half axis and flattening (they agree to the millimetre), UTM scale.
@@ -243,23 +247,82 @@ def pairs_within(lines: DataFrame, places: DataFrame, radius: float) -> DataFram
     return near.where(mine).select(*lines.columns, *places.columns, "distance")
 
 
+#: Locations of a tile, and lines near it, that one call of the counting meets; tiles with more have parts of either.
+TILE_SPOTS, TILE_LINES = 1 << 16, 1 << 13
+
+
+def counts_near_lines(lines: DataFrame, spots: DataFrame, key: str, names: list[str], radii: list[float]) -> DataFrame:
+    """(key, n_0, n_1, ...): sums of the columns ``names`` of spots (x, y) at most each radius from straight lines (line of two points).
+
+    Sums are ordered by name, then by radius; a line has a row for each part of a
+    tile that it comes near.  Tiles are as wide as the largest radius.  In a tile
+    the spots lie in strips; where a strip is near a line in its whole height
+    its spots are counted by two places in their order, and only those about
+    the ends are measured (``strips``), so the work for a line grows with the
+    root of the number of spots around it.
+    """
+    size = max(radii)
+    tile, ends = ["__cx", "__cy"], ["__ax", "__ay", "__bx", "__by"]
+    spots = written(spots.select("x", "y", *names, *[F.floor(F.col(axis) / size).alias(f"__c{axis}") for axis in "xy"]))
+    asks = edge_cells(lines, size).select(*tile, key, *ends)
+    parts = spots.groupBy(*tile).agg(F.ceil(F.count("*") / TILE_SPOTS).alias("__parts"))
+    asks = shuffled_join(asks, parts, tile)
+    slices = asks.groupBy(*tile).agg(F.ceil(F.count("*") / TILE_LINES).alias("__slices"), F.first("__parts").alias("__parts"))
+
+    def dealt(df: DataFrame, columns: list[str], mine: str, all_: str) -> DataFrame:
+        """df in the parts of its own number, once for each part of the other side."""
+        df = df.withColumn("__mine", F.pmod(F.xxhash64(*columns), F.col(mine)))
+        return df.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(all_) - 1))).drop("__parts", "__slices")
+
+    left = dealt(shuffled_join(asks.drop("__parts"), slices, tile), [key, *ends], "__slices", "__parts")
+    right = dealt(shuffled_join(spots, slices, tile), ["x", "y"], "__parts", "__slices")
+
+    def counted(asks_: pa.Table, spots_: pa.Table) -> pa.Table:
+        found = [asks_.column(key)]
+        if asks_.num_rows and spots_.num_rows:
+            at = Strips(*[spots_.column(c).to_numpy() for c in "xy"], np.column_stack([spots_.column(c).to_numpy() for c in names]))
+            from_to = np.column_stack([asks_.column(c).to_numpy() for c in ends])
+            by_radius = [counts_near(at, from_to, r) for r in radii]
+            found += [pa.array(n[:, i]) for i in range(len(names)) for n in by_radius]
+        else:
+            found = [asks_.column(key).slice(0, 0)] + [pa.array([], pa.int64())] * (len(names) * len(radii))
+        return pa.Table.from_arrays(found, names=[key, *sums])
+
+    sums = [f"n_{i}" for i in range(len(names) * len(radii))]
+    schema = StructType([lines.schema[key], *[StructField(n, LongType()) for n in sums]])
+    groups = [*tile, "__part", "__slice"]
+    left = left.withColumnsRenamed({"__mine": "__slice", "__other": "__part"}).groupBy(*groups)
+    return left.cogroup(right.withColumnsRenamed({"__mine": "__part", "__other": "__slice"}).groupBy(*groups)).applyInArrow(counted, schema)
+
+
 def category_counts(
     lines: DataFrame, places: DataFrame, key: str, category: str, categories: list, radii: list[float], unit: float = 1.0
 ) -> DataFrame:
-    """Count and presence for each (category, radius), 0 and false where nothing is near: one join, one aggregate.
+    """Count and presence for each (category, radius), 0 and false where nothing is near.
 
+    Straight lines are counted tile by tile, without their pairs; a bent line's
+    edges share places, so its pairs are made, all radii from one join.
     ``unit`` is the metres that a unit of length stands for, in the columns' names.
     """
-    pairs = pairs_within(lines, places, max(radii))
-    counts, flags = [], []
-    for c in categories:
-        for r in radii:
-            name = f"poi_{c}_count_{r * unit:g}m"
-            counts.append(F.count_if((F.col(category) == c) & (F.col("distance") <= r)).alias(name))
-            flags.append((name, f"poi_{c}_present_{r * unit:g}m"))
-    found = pairs.groupBy(key).agg(*counts)
-    out = lines.select(key).join(found, key, "left").na.fill(0, [n for n, _ in flags])
-    return out.withColumns({p: F.col(n) > 0 for n, p in flags})
+
+    def finite(v: Column) -> Column:
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+    x, y = (F.col(axis).cast("double") for axis in "xy")
+    each = {f"__n{i}": F.count_if(F.col(category) == c) for i, c in enumerate(categories)}
+    spots = places.where(finite(x) & finite(y) & F.col(category).isin(categories)).groupBy(x.alias("x"), y.alias("y"))
+    spots = spots.agg(*[n.alias(name) for name, n in each.items()])
+    names = [(c, r, f"poi_{c}_count_{r * unit:g}m", f"poi_{c}_present_{r * unit:g}m") for c in categories for r in radii]
+    straight = (F.size("line") == 2) & F.forall("line", lambda p: finite(p["x"]) & finite(p["y"]))
+    found = counts_near_lines(lines.select(key, "line").where(straight), spots, key, list(each), radii)
+    bent = lines.select(key, "line").where(F.size("line") > 2)
+    if not bent.isEmpty():
+        pairs = pairs_within(bent, places.select(category, "x", "y"), max(radii))
+        counts = [F.count_if((F.col(category) == c) & (F.col("distance") <= r)).alias(f"n_{i}") for i, (c, r, _, _) in enumerate(names)]
+        found = found.unionByName(pairs.groupBy(key).agg(*counts))
+    found = found.groupBy(key).agg(*[F.sum(f"n_{i}").alias(n) for i, (_, _, n, _) in enumerate(names)])
+    out = shuffled_join(lines.select(key), found, key, "left").na.fill(0, [n for _, _, n, _ in names])
+    return out.withColumns({p: F.col(n) > 0 for _, _, n, p in names})
 
 
 #: Locations that a cell may hold where a search starts.
