@@ -93,16 +93,46 @@ def margins(bins: np.ndarray, start: np.ndarray, rounds: list[Trees]) -> np.ndar
     return out
 
 
+def values_of(column: pa.Array, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binary rows, and how many each row has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype), np.diff(at) // size
+
+
 def matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+    return values_of(column, dtype)[0].reshape(-1, width)
 
 
-def binary(rows: np.ndarray) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+def binary(values: np.ndarray, starts: np.ndarray | None = None) -> pa.Array:
+    """Rows of a matrix as bytes, or a vector cut at ``starts``."""
+    if starts is None:
+        starts = np.arange(len(values)) * values.shape[1]
+    offsets = (np.append(starts, values.size) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 HISTOGRAM = "slot int, feature int, bin int, g long, h long"
-DATA = "y int, w double, valid boolean, h long, bins binary, margin binary"
+#: A row stands for the rows of one partition with the same label and bins; h holds their hashes, 8 bytes each.
+DATA = "y int, w double, valid boolean, h binary, bins binary, margin binary"
+#: Rows of a partition that are grouped together, and the most hashes of a group, which bounds what 10 000 groups take.
+GROUPED, MOST_HASHES = 1 << 20, 256
+#: Groups that are written at once.
+WRITTEN = 1 << 13
+
+
+def same_bins(y: np.ndarray, valid: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order in which rows with the same label and bins are neighbours, and where their groups start in it."""
+    key = np.zeros((len(y), -(-(bins.shape[1] + 2) // 8) * 8), np.uint8)
+    key[:, 0], key[:, 1], key[:, 2 : 2 + bins.shape[1]] = y, valid, bins
+    words = key.view(np.uint64)
+    order = np.lexsort(words.T)
+    words = words[order]
+    new = np.append(True, (words[1:] != words[:-1]).any(axis=1))
+    starts = np.flatnonzero(new)
+    new |= (np.arange(len(y)) - starts[np.cumsum(new) - 1]) % MOST_HASHES == 0
+    return order, np.flatnonzero(new)
 
 
 def histogram_task(new: list[Trees], now: Trees, level: int, n_bins: int, kept: Callable[[np.ndarray], np.ndarray]):
@@ -114,17 +144,19 @@ def histogram_task(new: list[Trees], now: Trees, level: int, n_bins: int, kept:
         for batch in batches:
             c = {name: batch.column(name) for name in batch.schema.names}
             y, w = c["y"].to_numpy(), c["w"].to_numpy()
-            valid, h = c["valid"].to_numpy(zero_copy_only=False), c["h"].to_numpy()
+            valid = c["valid"].to_numpy(zero_copy_only=False)
             if not len(y):
                 continue
+            h, n = values_of(c["h"], np.int64)
+            mine = np.add.reduceat(kept(h).astype(np.int64), np.cumsum(n) - n)
             bins = matrix(c["bins"], np.uint8, len(c["bins"][0].as_py()))
             p = softmax(margins(bins, matrix(c["margin"], np.float64, classes), new))
             if level == 0:
                 lost = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)) * w
                 for i, part in enumerate((~valid, valid)):
-                    loss[i] += [int(np.rint(lost[part] * UNIT).sum()), int(np.rint(w[part] * UNIT).sum())]
-            use = ~valid & kept(h)
-            y, w, bins, p = y[use], w[use], bins[use], p[use]
+                    loss[i] += [int((np.rint(v[part] * UNIT) * n[part]).sum()) for v in (lost, w)]
+            use = ~valid & (mine > 0)
+            y, w, bins, p, mine = y[use], w[use], bins[use], p[use], mine[use]
             if total is None:
                 total = np.zeros((classes * nodes, bins.shape[1], n_bins, 2), np.int64)
             for k in range(classes):
@@ -132,7 +164,7 @@ def histogram_task(new: list[Trees], now: Trees, level: int, n_bins: int, kept:
                 hess = np.rint(p[:, k] * (1 - p[:, k]) * w * UNIT)
                 at = node_of(bins, now.feature[k], now.threshold[k], level) * n_bins
                 for j in range(bins.shape[1]):
-                    for i, v in enumerate((g, hess)):
+                    for i, v in enumerate((g * mine, hess * mine)):
                         s = np.bincount(at + bins[:, j], v, nodes * n_bins).reshape(nodes, n_bins)
                         total[k * nodes : (k + 1) * nodes, j, :, i] += s.astype(np.int64)
         found = np.empty((0, 3), np.int64) if total is None else np.argwhere(total.any(axis=3))
@@ -206,8 +238,10 @@ def boosted_trees(
 
     Features are cut into at most ``n_bins`` bins (254 at most) at approximate
     quantiles; null and NaN are a bin of their own.  Binned rows are written
-    once and carry their margins, rewritten every ``refresh`` rounds; a level of
-    a round is one pass over them without a shuffle of rows.  What reaches the
+    once, those of a partition that have the same label and bins as one, and carry
+    their margins, rewritten every ``refresh`` rounds; a level of a round is one
+    pass over them without a shuffle of rows, that looks at each row's hash and
+    at each group's bins.  What reaches the
     driver is classes x nodes x features x bins sums, whatever the number of
     rows.  Rows with a null label are left out; no rows at all are an error.
     """
@@ -238,11 +272,31 @@ def boosted_trees(
     base = model.base
 
     def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_: list[tuple] = []
+        waiting = 0
+
+        def groups() -> Iterator[pa.RecordBatch]:
+            y, w, valid, h, bins = (np.concatenate(v) for v in zip(*held_, strict=True))
+            order, starts = same_bins(y, valid, bins)
+            ends = np.append(starts, len(order))
+            for a in range(0, len(starts), WRITTEN):
+                at, last = starts[a : a + WRITTEN], ends[min(a + WRITTEN, len(starts))]
+                of = order[at]
+                columns = [pa.array(v[of]) for v in (y, w, valid)]
+                columns += [binary(h[order[at[0] : last]], at - at[0]), binary(bins[of]), binary(np.tile(base, (len(of), 1)))]
+                yield pa.RecordBatch.from_arrays(columns, ["y", "w", "valid", "h", "bins", "margin"])
+
         for b in batches:
+            if not b.num_rows:
+                continue
             flat = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(edges))
-            columns = [b.column(c) for c in ("y", "w", "valid", "h")]
-            start = binary(np.tile(base, (len(flat), 1)))
-            yield pa.RecordBatch.from_arrays([*columns, binary(binned(flat, edges)), start], ["y", "w", "valid", "h", "bins", "margin"])
+            held_.append((*[b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "valid", "h")], binned(flat, edges)))
+            waiting += b.num_rows
+            if waiting >= GROUPED:
+                yield from groups()
+                held_, waiting = [], 0
+        if held_:
+            yield from groups()
 
     data = written(given.mapInArrow(to_bins, DATA))
     pending: list[Trees] = []

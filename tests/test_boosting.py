@@ -117,3 +117,23 @@ def test_reports_of_registered_queries(spark):
     confusion = QUERIES["ml2_boosted_trees"](spark, "/root/testdata/sf0.01").collect()
     right = sum(r["n"] for r in confusion if r["label"] == r["prediction"])
     assert right > 0.6 * sum(r["n"] for r in confusion)
+
+
+def test_rows_with_the_same_bins_are_one(spark, monkeypatch):
+    """What each pass reads are a few groups, and in them the hash of every row."""
+    from curbflow.operators import boosting
+
+    tables = []
+
+    def kept(df):
+        tables.append(written(df))
+        return tables[-1]
+
+    written = boosting.written
+    monkeypatch.setattr(boosting, "written", kept)
+    df = spark.range(100_000).select((F.col("id") % 4).cast("double").alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") % 4 > 1).cast("int").alias("t"))
+    model = boosting.boosted_trees(df, ["a", "b"], "t", rounds=1)
+    data = tables[0]
+    assert data.count() <= 100_000 // boosting.MOST_HASHES + 12 * data.rdd.getNumPartitions()
+    assert data.agg(F.sum(F.length("h")), F.max(F.length("h"))).first() == (800_000, 8 * boosting.MOST_HASHES)
+    assert model.losses[1][0] < model.losses[0][0] == pytest.approx(0.693147, abs=1e-5)
