@@ -16,50 +16,54 @@ def floor_to(ts: Column, step_s: int) -> Column:
     return F.timestamp_seconds(whole).cast("timestamp_ntz")
 
 
+#: Labels of one array of a resampled grid.
+STRETCH = 4096
+
+
 def resample_ffill(
     df: DataFrame, key: str, ts: str, value: str, step_s: int = 300, reset_monthly: bool = False
 ) -> DataFrame:
     """(key, ts, value) on the grid from each key's first to its last label.
 
-    A label has the last reading at or before it, null before the first.  Grids
-    are made by key and month, which bounds the array that is exploded; with
-    ``reset_monthly`` values don't cross into the next month.  Readings with a
-    null key or time are left out; of several at one time the largest counts.
+    A label has the last reading at or before it, null before the first.  Only
+    readings are sorted: what counts from a label on holds to the next that has
+    a reading, and these stretches are laid out in arrays of ``STRETCH`` labels.
+    With ``reset_monthly`` values don't cross into the next month.  Readings with
+    a null key or time are left out; of several at one time the largest counts.
     """
     readings = df.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(value).alias("v")).where(
         "k is not null and t is not null"
     )
-    month = F.trunc("t", "month")
-    spans = readings.groupBy("k", month.alias("m")).agg(
-        F.min(floor_to(F.col("t"), step_s)).alias("low"), F.max(floor_to(F.col("t"), step_s)).alias("high")
+    step, whole = F.expr(f"INTERVAL {step_s} SECONDS"), F.expr(f"INTERVAL {step_s * STRETCH} SECONDS")
+    low = floor_to(F.col("t"), step_s)
+    at = F.when(low < F.col("t"), low + step).otherwise(low)
+    keys = ["k", "m"] if reset_monthly else ["k"]
+    last = F.max(F.when(F.col("v").isNotNull(), F.struct("t", "v")))
+    met = readings.withColumns({"m": F.trunc("t", "month"), "low": low, "at": at}).groupBy(*keys, "at")
+    met = met.agg(last.alias("last"), F.min("low").alias("low"), F.max("low").alias("high"))
+    part = Window.partitionBy(*keys)
+    order = part.orderBy("at")
+    held = met.select(
+        "k",
+        "at",
+        "low",
+        F.row_number().over(order).alias("nth"),
+        F.last("last.v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("v"),
+        (F.lead("at").over(order) - step).alias("next"),
+        F.max("high").over(part).alias("high"),
     )
-    if not reset_monthly:
-        whole = Window.partitionBy("k")
-        first, last = F.min("low").over(whole), F.max("high").over(whole)
-        months = spans.withColumns({"first": first, "last": last}).groupBy("k").agg(
-            F.min("first").alias("first"), F.max("last").alias("last")
-        )
-        months = months.select(
-            "k",
-            "first",
-            "last",
-            F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("INTERVAL 1 MONTH"))).alias("m"),
-        )
-        end = (F.add_months("m", 1).cast("timestamp") - F.expr(f"INTERVAL {step_s} SECONDS")).cast("timestamp_ntz")
-        spans = months.select(
-            "k",
-            "m",
-            F.greatest("first", F.col("m").cast("timestamp_ntz")).alias("low"),
-            F.least(F.col("last"), end).alias("high"),
-        )
-    grid = spans.select("k", "m", F.explode(F.sequence("low", "high", F.expr(f"INTERVAL {step_s} SECONDS"))).alias("t"))
-    both = readings.select("k", month.alias("m"), "t", "v", F.lit(False).alias("label")).unionByName(
-        grid.select("k", "m", "t", F.lit(None).cast(readings.schema["v"].dataType).alias("v"), F.lit(True).alias("label"))
-    )
-    part = Window.partitionBy("k", "m") if reset_monthly else Window.partitionBy("k")
-    upto = part.orderBy("t", "label", "v").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("filled", F.last("v", ignorenulls=True).over(upto)).where("label")
-    return filled.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("filled").alias(value))
+
+    def stretch(when: Column, first: Column, end: Column, v: Column) -> Column:
+        one = F.struct(first.alias("first"), end.alias("end"), v.cast(readings.schema["v"].dataType).alias("v"))
+        return F.array_compact(F.array(F.when(when, one)))
+
+    before = stretch((F.col("nth") == 1) & (F.col("low") < F.col("at")), F.col("low"), F.col("low"), F.lit(None))
+    since = stretch(F.col("at") <= F.col("high"), F.col("at"), F.least("next", "high"), F.col("v"))
+    grid = held.select("k", F.inline(F.concat(before, since)))
+    grid = grid.select("k", "v", "end", F.explode(F.sequence("first", "end", whole)).alias("first"))
+    labels = F.sequence("first", F.least(F.col("end"), F.col("first") + whole - step), step)
+    grid = grid.select("k", F.explode(labels).alias("t"), "v")
+    return grid.select(F.col("k").alias(key), F.col("t").alias(ts), F.col("v").alias(value))
 
 
 def row_lags(df: DataFrame, key: str, ts: str, value: str, steps: dict[str, int]) -> DataFrame:
