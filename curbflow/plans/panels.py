@@ -58,9 +58,7 @@ def all_features(spark, sf):
     p = places(spark, sf)
     stops = p.select(F.col("vec_id").alias("nearest_stop"), "x", "y")
     near = sp.nearest(p, stops, "vec_id", "nearest_stop", 0.02, other=True)
-    line = F.array(F.struct("x", "y"), F.struct("x", "y")).alias("line")
-    pairs = sp.pairs_within(p.select("vec_id", line), stops, 0.05).where("nearest_stop <> vec_id")
-    density = pairs.groupBy("vec_id").agg(F.count("*").alias("n_stops"))
+    density = sp.others_within(p, "vec_id", 0.05).withColumnRenamed("n", "n_stops")
     of_place = (
         sp.density_clusters(p, "vec_id", 0.012, 4)
         .join(near.withColumn("stop_distance", F.round("distance", 6)).drop("distance").hint("merge"), "vec_id", "left")
