@@ -26,18 +26,18 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in order, cut where the texts reach SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, cut where the texts reach ``most`` bytes."""
     texts = batch.column(text_at)
     if batch.num_rows == 0:
         return
-    if texts.nbytes <= SLICE_BYTES:
+    if texts.nbytes <= most:
         yield batch
         return
     start, size = 0, 0
     for i, text in enumerate(texts):
         n = 0 if not text.is_valid else text.as_buffer().size
-        if i > start and size + n > SLICE_BYTES:
+        if i > start and size + n > most:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n

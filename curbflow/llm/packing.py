@@ -36,6 +36,11 @@ EXACT = 2.0**28
 WORD_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: A worker forgets the words that it knows beyond this many.
 KNOWN_LIMIT = 200_000
+#: Texts of about so many bytes are cut into words at once, postings of about so many tokens are counted at
+#: once, and pieces of about so many bytes are handed over at once, so that these take little beside the shard.
+TEXT_BYTES, COUNT_TOKENS, OUT_BYTES = 1 << 18, 1 << 17, 1 << 20
+#: What a piece takes beside its ids.
+PIECE_BYTES = 64
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +124,9 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    made = WordEncoder(path)
+    give_back()
+    return made
 
 
 def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
@@ -127,29 +134,48 @@ def encode(texts: list[str | None], path: str, end_id: int) -> list[np.ndarray]:
     return encoder(path).encode(texts, end_id)
 
 
+def posted(docs: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of each document in order, how often it has each, and how many it has."""
+    tokens, times, kinds = [], [], np.zeros(len(docs), np.int64)
+    at, before = 0, np.r_[0, np.cumsum(sizes)]
+    while at < len(docs):
+        end = max(at + 1, int(np.searchsorted(before, before[at] + COUNT_TOKENS, "right")) - 1)
+        key = np.concatenate(docs[at:end]).astype(np.int64)
+        key |= np.repeat(np.arange(end - at) << 32, sizes[at:end])
+        key, n = np.unique(key, return_counts=True)
+        kinds[at:end] = np.bincount(key >> 32, minlength=end - at)
+        tokens.append(key.astype(np.uint32))
+        times.append(n.astype(np.int32))
+        at = end
+    return np.concatenate(tokens), np.concatenate(times), kinds
+
+
 class ShardIndex:
     """A BM25 inverted index over the documents of a shard."""
 
     def __init__(self, docs: list[np.ndarray]):
         sizes = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        key, times = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + owner, return_counts=True)
-        term, doc = key // len(docs), key % len(docs)
-        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-        held = np.diff(np.r_[first, len(term)])
+        token, times, kinds = posted(docs, sizes)
+        self.terms_of = np.r_[0, np.cumsum(kinds)]
+        order = np.argsort(token, kind="stable")  # by term, then by document
+        token = token[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        held = np.diff(np.r_[first, len(token)])
+        number = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        # the terms of each document
+        self.terms = np.empty(len(number), np.int32)
+        self.terms[order] = number
+        times, doc = times[order], np.repeat(np.arange(len(docs), dtype=np.int32), kinds)[order]
+        del token, order
         idf = np.log1p((len(docs) - held + 0.5) / (held + 0.5))
         norm = K1 * (1 - B + B * sizes / sizes.mean())
         weight = np.rint(EXACT * np.repeat(idf, held) * times * (K1 + 1) / (times + norm[doc]))
-        number = np.repeat(np.arange(len(held)), held)
-        # the terms of each document
-        order = np.argsort(doc, kind="stable")
-        self.terms = number[order]
-        self.terms_of = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(docs)))]
         # common terms are rows over the documents, the others have lists of them
         common = held > COMMON * len(docs)
         self.row = np.where(common, np.cumsum(common) - 1, -1)
         listed = ~common[number]
-        self.dense = np.zeros((int(common.sum()), len(docs)))
+        # their weights are below 2 ** 31: the share bounds idf
+        self.dense = np.zeros((int(common.sum()), len(docs)), np.int32)
         self.dense[self.row[number[~listed]], doc[~listed]] = weight[~listed]
         self.number, self.doc, self.weight = number[listed], doc[listed], weight[listed]
         self.begin = np.r_[0, np.cumsum(np.bincount(self.number, minlength=len(held)))]
@@ -261,26 +287,33 @@ def packed(
         done, owners, held, size = 0, [], [], 0
         id_type = None
 
+        def record(rows: list[tuple]) -> pa.RecordBatch:
+            types = [id_type, *[pa.int64()] * 5, pa.binary()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names
+            )
+
         def settle() -> Iterator[pa.RecordBatch]:
             nonlocal done
-            columns: list[list] = [[] for _ in names]
-            for pieces in pack(held, window) if held else ():
+            give_back()  # what encoding took, before the index takes its part
+            rows, room = [], OUT_BYTES
+            for pieces in pack(held, window):
                 offset = 0
                 for i, start, n in pieces:
                     ids = held[i][start : start + n].tobytes()
-                    row = (owners[i], start, n, len(held[i]), first_id + done, offset, ids)
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
+                    rows.append((owners[i], start, n, len(held[i]), first_id + done, offset, ids))
                     offset += n
+                    room -= len(ids) + PIECE_BYTES
+                    if room <= 0:
+                        yield record(rows)
+                        rows, room = [], OUT_BYTES
                 done += 1
-            types = [id_type, *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-            )
+            if rows:
+                yield record(rows)
 
         for batch in batches:
             id_type = batch.column(0).type
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_BYTES):
                 for owner, ids in zip(
                     part.column(0).to_pylist(), encode(part.column(1).to_pylist(), tokenizer_path, end_id), strict=True
                 ):
